@@ -96,9 +96,10 @@ def exact_percentile(df: DataFrame, group: Sequence[str], value: str, q: float,
     group = list(group)
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
     cum = running_totals(counts, group, [value], {"__hi": "__n"})
-    cum = with_totals(cum, group, __total=F.sum("__n")) if group else cum.join(
-        counts.agg(F.sum("__n").alias("__total"))
-    )
+    if group:
+        cum = with_totals(cum, group, __total=F.sum("__n"))
+    else:
+        cum = cum.withColumn("__total", counts.agg(F.sum("__n")).scalar())
     pos = (F.col("__total") - 1) * F.lit(float(q))
     lo = F.col("__hi") - F.col("__n")
     low_rank, high_rank = F.floor(pos), F.ceil(pos)
