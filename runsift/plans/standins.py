@@ -40,3 +40,9 @@ SELECT l_orderkey AS parent_id, l_linenumber AS line_no,
   CAST(l_quantity AS BIGINT) AS masked_position_count
 FROM lineitem
 """)
+
+# Word-length lists as token ids, one per conversation turn.
+standin("token_rows", """
+SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS row_id, conv_id, turn, role, text, split(text, ' ') AS words
+FROM conversations
+""")
