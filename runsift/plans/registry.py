@@ -34,6 +34,7 @@ class Tables:
         if name in STANDINS:
             sql = STANDINS[name]
             used = {n: getattr(self, n) for n in _names_in(sql) if n != name}
+            sql = sql.replace("{", "{{").replace("}", "}}")
             for n in used:
                 sql = re.sub(rf"\b{n}\b", "{" + n + "}", sql)
             return self.spark.sql(sql, **used)

@@ -46,3 +46,23 @@ standin("token_rows", """
 SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS row_id, conv_id, turn, role, text, split(text, ' ') AS words
 FROM conversations
 """)
+
+# One question pair with a trace and a final answer per order: two equations,
+# the second one changed in Q*; the answer wording rotates over six forms.
+standin("pairs", """
+SELECT o_orderkey AS pair_id, o_orderpriority AS category, o_orderstatus AS status,
+  concat('Solve the system.', chr(10), a, 'x + ', b, 'y = ', c, chr(10), '1x - 1y = ', d, chr(10)) AS original_question,
+  concat('Solve the system.', chr(10), a, 'x + ', b, 'y = ', c, chr(10), '1x - 1y = ', e, chr(10)) AS counterfactual_question,
+  concat('(', d, ', ', b, '/', a, ')') AS original_answer, concat('(', e, ', ', b, '/', a, ')') AS counterfactual_answer,
+  a, b, c, d, e,
+  CASE o_orderkey % 6
+    WHEN 0 THEN concat('Therefore x = ', d, ' and y = ', b, '/', a, '. The prompt states it.')
+    WHEN 1 THEN concat('So it is (', e, ', ', b, '/', a, ') and nothing else')
+    WHEN 2 THEN concat('x = ', d, ', y = ', b, '/', a, ' at first; however the prompt differs. Final answer: x = ', e, ', y = ', b, '/', a)
+    WHEN 3 THEN concat('I solve x - y = ', e, ' and then re-check x - y = ', d, ' against the scratchpad, a mismatch')
+    WHEN 4 THEN concat('Take ', chr(92), 'frac{', b, '}{', a, '} of $', d, '$ or 1,', 100 + a, '.5, wait')
+    ELSE 'No value was found.' END AS final_answer,
+  concat('Step 1: x - y = ', e, '.', chr(10), chr(10), 'So x is ', e, '. Check it: ', b, '/', a, chr(10), '2. **Final Review', chr(10), 'Done') AS thought
+FROM (SELECT *, CAST(o_custkey % 7 + 2 AS STRING) AS a0, CAST(o_orderkey % 9 + 1 AS STRING) AS b, CAST(o_custkey % 7 + 2 AS BIGINT) AS a,
+  CAST(o_orderkey % 50 + 3 AS STRING) AS c, CAST(o_custkey % 90 + 10 AS STRING) AS d, CAST(o_custkey % 90 + 10 + 1 + o_orderkey % 3 AS STRING) AS e FROM orders) o
+""")
