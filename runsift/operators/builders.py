@@ -121,52 +121,58 @@ def _coefficient(term: Column) -> Column:
         digits.try_cast("bigint"))
 
 
-def _coefficient_sum(variable: str) -> Column:
-    mine = F.filter("__terms", lambda t: t.endswith(variable))
-    return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, t: a + _coefficient(t))
+def _check(equation: Column, number: Column, values: Column, variables: Sequence[str]) -> Column:
+    """struct(equation_no, equation, status, check_line) of one equation with the values put in."""
+    left = F.replace(F.split_part(equation, F.lit("="), F.lit(1)), F.lit("+ -"), F.lit("-"))
+    rhs = F.trim(F.split_part(equation, F.lit("="), F.lit(2))).try_cast("bigint")
+    terms = F.regexp_extract_all(left, F.lit(r"([+-]?\s*\d*\s*[xyz])"), 1)
+
+    def summed(ts: Column, variable: str) -> Column:
+        mine = F.filter(ts, lambda t: t.endswith(variable))
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, t: a + R.let(t, _coefficient))
+
+    den = F.aggregate(values, F.lit(1).cast("bigint"), lambda a, v: F.try_multiply(a, v["den"]))
+
+    def total(cs: Column, d: Column) -> Column:
+        shares = F.zip_with(cs, values, lambda k, v: F.try_multiply(F.try_multiply(k, v["num"]), F.call_function("div", d, v["den"])))
+        return F.aggregate(shares, F.lit(0).cast("bigint"), lambda a, x: F.try_add(a, x))
+
+    def shown(cs: Column) -> Column:
+        named = F.zip_with(cs, F.array(*map(F.lit, variables)), lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v))
+        text = lambda e, value: F.when(e["k"] == 1, F.concat(e["v"], F.lit("="), value)).otherwise(
+            F.concat(e["k"].cast("string"), e["v"], F.lit("="), e["k"].cast("string"), F.lit("("), value, F.lit(")")))
+        parts = F.zip_with(named, values, lambda e, v: F.when(e["k"] != 0, text(e, R.to_text(v))))
+        return F.array_join(F.filter(parts, lambda x: x.isNotNull()), ", ")
+
+    def result(cs: Column, side: Column) -> Column:
+        ok = F.coalesce(side["num"] == F.try_multiply(rhs, side["den"]), F.lit(False))
+        status = F.when(ok, "Correct").otherwise("Mismatch")
+        line = F.concat(
+            F.lit("    * Check ("), number.cast("string"), F.lit(") `"), equation, F.lit("`: "), shown(cs), F.lit("; left side = "),
+            R.to_text(side), F.lit(" = "), rhs.cast("string"), F.lit(". ("), status, F.lit(")"))
+        return F.named_struct(
+            F.lit("equation_no"), number, F.lit("equation"), equation, F.lit("status"), status, F.lit("check_line"), line)
+
+    coefficients = lambda ts: F.array(*[summed(ts, v) for v in variables])
+    side = lambda cs: R.let(den, lambda d: F.named_struct(F.lit("num"), total(cs, d), F.lit("den"), d))
+    return R.let(terms, lambda ts: R.let(coefficients(ts), lambda cs: R.let(side(cs), lambda sd: result(cs, sd))))
+
+
+def with_checks(df: DataFrame, question: str, answer: str, variables: Sequence[str], name: str = "checks") -> DataFrame:
+    """Adds one check struct per equation: the stored answer put in, both sides compared exactly.
+
+    The check stays inside the row, so it is a narrow step.
+    """
+    out = df.withColumns({
+        "__vals": R.answer_values(F.col(answer)), "__lines": F.transform(S.equation_lines(F.col(question)), S.tidy_equation)})
+    checks = F.transform("__lines", lambda eq, i: _check(eq, i + 1, F.col("__vals"), variables))
+    return out.withColumn(name, checks).drop("__vals", "__lines")
 
 
 def check_answers(df: DataFrame, row_id: str, question: str, answer: str, variables: Sequence[str]) -> DataFrame:
-    """One row per equation: the stored answer put in, both sides compared exactly.
-
-    Adds equation_no, equation, status and a readable check line.
-    """
-    rows = df.select(
-        F.col(row_id), R.answer_values(F.col(answer)).alias("__vals"),
-        F.transform(S.equation_lines(F.col(question)), S.tidy_equation).alias("__eqs"))
-    rows = rows.select(row_id, "__vals", F.posexplode("__eqs").alias("__i", "equation"))
-    left = F.replace(F.split_part(F.col("equation"), F.lit("="), F.lit(1)), F.lit("+ -"), F.lit("-"))
-    rows = rows.withColumns({
-        "__terms": F.regexp_extract_all(left, F.lit(r"([+-]?\s*\d*\s*[xyz])"), 1),
-        "__rhs": F.trim(F.split_part(F.col("equation"), F.lit("="), F.lit(2))).try_cast("bigint")})
-    cols = {}
-    for i, v in enumerate(variables):
-        cols[f"__c{i}"] = _coefficient_sum(v)
-        cols[f"__v{i}"] = F.get(F.col("__vals"), F.lit(i))
-    rows = rows.withColumns(cols)
-    n = range(len(variables))
-    den = F.lit(1).cast("bigint")
-    for i in n:
-        den = F.try_multiply(den, F.col(f"__v{i}.den"))
-    rows = rows.withColumn("__den", den)
-    total = F.lit(0).cast("bigint")
-    for i in n:
-        share = F.call_function("div", F.col("__den"), F.col(f"__v{i}.den"))
-        total = F.try_add(total, F.try_multiply(F.try_multiply(F.col(f"__c{i}"), F.col(f"__v{i}.num")), share))
-    rows = rows.withColumn("__num", total)
-    ok = F.col("__num") == F.try_multiply(F.col("__rhs"), F.col("__den"))
-    rows = rows.withColumn("status", F.when(ok, "Correct").otherwise("Mismatch"))
-    value = lambda i: R.to_text(F.col(f"__v{i}"))
-    shown = F.array_compact(F.array(*[
-        F.when(F.col(f"__c{i}") == 1, F.concat(F.lit(f"{v}="), value(i))).when(
-            F.col(f"__c{i}") != 0, F.concat(F.col(f"__c{i}").cast("string"), F.lit(f"{v}="), F.col(f"__c{i}").cast("string"), F.lit("("), value(i), F.lit(")")))
-        for i, v in enumerate(variables)]))
-    side = R.to_text(F.named_struct(F.lit("num"), F.col("__num"), F.lit("den"), F.col("__den")))
-    no = (F.col("__i") + 1).cast("string")
-    line = F.concat(
-        F.lit("    * Check ("), no, F.lit(") `"), F.col("equation"), F.lit("`: "), F.array_join(shown, ", "), F.lit("; left side = "),
-        side, F.lit(" = "), F.col("__rhs").cast("string"), F.lit(". ("), F.col("status"), F.lit(")"))
-    return rows.select(row_id, (F.col("__i") + 1).alias("equation_no"), "equation", "status", line.alias("check_line"))
+    """One row per equation with its number, text, status and readable check line."""
+    rows = with_checks(df, question, answer, variables).select(row_id, F.explode("checks").alias("__c"))
+    return rows.select(row_id, "__c.*")
 
 
 ABLATION_VARIANTS = [
@@ -180,13 +186,12 @@ ABLATION_VARIANTS = [
 
 def source_ablation(items: DataFrame, item: str, qstar: str, qstar_answer: str, thought: str, variables: Sequence[str]) -> DataFrame:
     """Item x five trace variants: raw, truncated, minimal, weak and verified."""
-    checks = check_answers(items, item, qstar, qstar_answer, variables).groupBy(item).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("equation_no", "check_line"))), lambda x: x["check_line"]), "\n").alias("__checks"))
     eqs = F.array_join(F.transform(S.equation_lines(F.col(qstar)), lambda l, i: F.concat(
         F.lit("    ("), (i + 1).cast("string"), F.lit(") `"), S.tidy_equation(l), F.lit("`"))), "\n")
     values = F.transform(R.answer_values(F.col(qstar_answer)), R.to_text)
     sol = F.array_join(F.zip_with(F.array(*map(F.lit, variables)), values, lambda v, x: F.concat(v, F.lit(" = "), x)), ", ")
-    rows = items.join(checks, item).withColumns({"__eqs": eqs, "__sol": sol})
+    rows = with_checks(items, qstar, qstar_answer, variables, "__c").withColumns({
+        "__eqs": eqs, "__sol": sol, "__checks": F.array_join(F.transform("__c", lambda x: x["check_line"]), "\n")})
     rows = expand_variants(rows, ABLATION_VARIANTS)
     kind, e, s = F.col("variant_id"), F.col("__eqs"), F.col("__sol")
     made = (
@@ -197,7 +202,7 @@ def source_ablation(items: DataFrame, item: str, qstar: str, qstar_answer: str,
         .otherwise(fill(vocab.STRONG_STATE, eqs=e, sol=s, checks=F.col("__checks"))))
     rows = rows.withColumns({"injected_thought": made, "intervention_id": F.concat_ws("::", item, "variant_id")})
     prefix = F.concat(F.lit(vocab.THOUGHT_OPEN + "\n"), F.col("injected_thought"), F.lit(vocab.ANSWER_OPEN))
-    return rows.withColumn("injected_raw_prefix", prefix).drop("__checks", "__eqs", "__sol")
+    return rows.withColumn("injected_raw_prefix", prefix).drop("__checks", "__eqs", "__sol", "__c")
 
 
 def candidate_texts(pairs: DataFrame, pair: str, q: str, qstar: str, variable_count: Column, templates: Sequence[str]) -> DataFrame:

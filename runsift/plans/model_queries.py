@@ -130,14 +130,14 @@ def _(t):
 
 BUNDLE = """
 , b AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY depth, group_id) AS w, (score >= 0)::INT AS p FROM s),
-k AS (SELECT depth, count(*) AS n, sum(p * label) AS tp, sum((1 - p) * label) AS fn, sum(p * (1 - label)) AS fp, sum((1 - p) * (1 - label)) AS tn,
+kk AS (SELECT depth, count(*) AS n, sum(p * label) AS tp, sum((1 - p) * label) AS fn, sum(p * (1 - label)) AS fp, sum((1 - p) * (1 - label)) AS tn,
   sum(w * p * label) AS wtp, sum(w * (1 - p) * label) AS wfn, sum(w * p * (1 - label)) AS wfp, sum(w * (1 - p) * (1 - label)) AS wtn FROM b GROUP BY 1),
 a AS (SELECT x.depth, avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) AS roc_auc,
   sum(x.w * y.w * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) / sum(x.w * y.w) AS weighted_roc_auc
   FROM b x JOIN b y ON x.depth = y.depth AND x.label = 1 AND y.label = 0 GROUP BY 1),
-f AS (SELECT k.depth, n, round((tp + tn) / n, 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round((wtp / (wtp + wfn) + wtn / (wtn + wfp)) / 2, 6) AS weighted_balanced_accuracy,
+f AS (SELECT kk.depth, n, round((tp + tn) / n, 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, round((wtp / (wtp + wfn) + wtn / (wtn + wfp)) / 2, 6) AS weighted_balanced_accuracy,
   round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round(roc_auc, 6) AS roc_auc, round(weighted_roc_auc, 6) AS weighted_roc_auc
-  FROM k JOIN a ON k.depth = a.depth)
+  FROM kk JOIN a ON kk.depth = a.depth)
 """
 METRICS = ["accuracy", "balanced_accuracy", "weighted_balanced_accuracy", "f1", "mcc", "roc_auc", "weighted_roc_auc"]
 
@@ -153,7 +153,7 @@ def _(t):
 
 
 MARGIN_SQL = """
-WITH s AS (SELECT category AS depth, pair_id AS group_id, (trace_branch = 'QSTAR')::INT AS label, CAST(margin // 700 AS DOUBLE) AS score FROM runs)
+WITH s AS (SELECT category AS depth, pair_id AS group_id, (trace_branch = 'QSTAR')::INT AS label, floor(margin / 700) AS score FROM runs)
 """
 
 
@@ -165,8 +165,7 @@ def _margins(t):
 
 @query("met02_metric_bundle", MARGIN_SQL.rstrip() + BUNDLE.replace("FROM b x JOIN b y ON x.depth = y.depth AND x.label = 1 AND y.label = 0 GROUP BY 1",
        "FROM (SELECT depth, score, 1 AS label, count(*) AS k, sum(w) AS w FROM b WHERE label = 1 GROUP BY 1, 2) x JOIN (SELECT depth, score, count(*) AS k, sum(w) AS w FROM b WHERE label = 0 GROUP BY 1, 2) y ON x.depth = y.depth GROUP BY 1")
-       .replace("avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END)", "sum(x.k * y.k * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) / sum(x.k * y.k)")
-       .replace("CAST(margin // 700 AS DOUBLE)", "floor(margin / 700)") + "SELECT * FROM f")
+       .replace("avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END)", "sum(x.k * y.k * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) / sum(x.k * y.k)") + "SELECT * FROM f")
 def _(t):
     return r6(M.metric_bundle(_margins(t), ["depth"], "label", "score", "group_id"), *METRICS)
 
