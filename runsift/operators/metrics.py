@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runsift.functions.projections import is_finite
 from runsift.operators.scale import null_safe_join, running_totals, with_totals
+from runsift.session import cut_lineage
 
 
 def confusion(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
@@ -32,25 +33,35 @@ def balanced(tp: Column, fn: Column, fp: Column, tn: Column) -> Column:
     return (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2
 
 
-def roc_auc(df: DataFrame, keys: Sequence[str], label: str, score: str, weight: str | None = None, name: str = "roc_auc") -> DataFrame:
-    """Area under the ROC curve per key; ties count one half, one class gives null.
+def roc_aucs(df: DataFrame, keys: Sequence[str], label: str, score: str, weights: dict[str, str | None]) -> DataFrame:
+    """Areas under the ROC curve per key, one per named weight; ties count one half, one class gives null.
 
     Rows are first added up per score, then the negatives below each score come
     from a distributed running total.
     """
-    w = F.lit(1.0) if weight is None else F.col(weight)
     pos = F.col(label) == 1
-    cells = df.where(is_finite(F.col(score))).groupBy(*keys, score).agg(
-        F.sum(F.when(pos, w).otherwise(0.0)).alias("__p"), F.sum(F.when(pos, 0.0).otherwise(w)).alias("__n"))
-    cum = running_totals(cells, keys, [score], {"__cn": "__n"})
-    below = F.col("__cn") - F.col("__n") / 2
-    out = cum.groupBy(*keys).agg(F.sum(F.col("__p") * below).alias("__s"), F.sum("__p").alias("__sp"), F.sum("__n").alias("__sn"))
-    return out.select(*keys, F.try_divide(F.col("__s"), F.col("__sp") * F.col("__sn")).alias(name))
+    sums = []
+    for name, weight in weights.items():
+        w = F.lit(1.0) if weight is None else F.col(weight)
+        sums += [F.sum(F.when(pos, w).otherwise(0.0)).alias(f"__p_{name}"), F.sum(F.when(pos, 0.0).otherwise(w)).alias(f"__n_{name}")]
+    cells = df.where(is_finite(F.col(score))).groupBy(*keys, score).agg(*sums)
+    cum = running_totals(cells, keys, [score], {f"__c_{n}": f"__n_{n}" for n in weights})
+    aggs, areas = [], []
+    for n in weights:
+        below = F.col(f"__c_{n}") - F.col(f"__n_{n}") / 2
+        aggs += [F.sum(F.col(f"__p_{n}") * below).alias(f"__s_{n}"), F.sum(f"__p_{n}").alias(f"__sp_{n}"), F.sum(f"__n_{n}").alias(f"__sn_{n}")]
+        areas.append(F.try_divide(F.col(f"__s_{n}"), F.col(f"__sp_{n}") * F.col(f"__sn_{n}")).alias(n))
+    return cum.groupBy(*keys).agg(*aggs).select(*keys, *areas)
+
+
+def roc_auc(df: DataFrame, keys: Sequence[str], label: str, score: str, weight: str | None = None, name: str = "roc_auc") -> DataFrame:
+    return roc_aucs(df, keys, label, score, {name: weight})
 
 
 def metric_bundle(df: DataFrame, keys: Sequence[str], label: str, score: str, group: str) -> DataFrame:
     """n, accuracy, balanced accuracy, F1, MCC, AUC, and the group-weighted balanced accuracy and AUC."""
-    rows = df.where(is_finite(F.col(score)))
+    # Scores are dear to compute and read several times below, so the narrow table is written once.
+    rows = cut_lineage(df.where(is_finite(F.col(score))).select(*keys, group, label, score))
     rows = with_totals(rows, [*keys, group], __size=F.count("*")).withColumn("__w", F.lit(1.0) / F.col("__size"))
     c = _cells(rows, keys, label, score, "__w")
     tp, fn, fp, tn = (F.col(x) for x in ("tp", "fn", "fp", "tn"))
@@ -62,9 +73,10 @@ def metric_bundle(df: DataFrame, keys: Sequence[str], label: str, score: str, gr
         *keys, "n", ((tp + tn) / F.col("n")).alias("accuracy"), balanced(tp, fn, fp, tn).alias("balanced_accuracy"),
         balanced(*(F.col(f"w_{x}") for x in ("tp", "fn", "fp", "tn"))).alias("weighted_balanced_accuracy"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"), F.when(two, mcc).alias("mcc"))
-    for auc in (roc_auc(rows, keys, label, score), roc_auc(rows, keys, label, score, "__w", "weighted_roc_auc")):
-        out = null_safe_join(out, auc, list(keys), "left") if keys else out.withColumn(auc.columns[-1], auc.scalar())
-    return out
+    areas = roc_aucs(rows, keys, label, score, {"roc_auc": None, "weighted_roc_auc": "__w"})
+    if keys:
+        return null_safe_join(out, areas, list(keys), "left")
+    return out.withColumns({n: areas.select(n).scalar() for n in areas.columns})
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "spearman") -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.functions.projections import is_finite  # noqa: F401
 from runsift.operators.scale import null_safe_join, top_k, with_totals
+from runsift.session import cut_lineage
 
 STATE_LIMIT = 50_000_000
 
@@ -43,13 +43,22 @@ def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2,
     Kept are the max_features most frequent terms with enough documents, ties
     by term; idf is ln((1 + n) / (1 + df)) + 1 over the training documents.
     The number of folds is checked, as every fold has a vocabulary of its own.
+
+    Leaving a group out only lowers counts, so a term whose total is below the
+    smallest held-out count of the overall top terms cannot enter any fold and
+    is left out of the fold grid.
     """
     folds = [r[0] for r in terms.select(group).distinct().limit(max_folds + 1).collect()]
     if len(folds) > max_folds:
         raise ValueError(f"more than {max_folds} folds")
-    own = terms.groupBy(group, "term").agg(F.count("*").alias("__df"), F.sum("tf").alias("__tf"))
+    own = cut_lineage(terms.groupBy(group, "term").agg(F.count("*").alias("__df"), F.sum("tf").alias("__tf")))
     total = own.groupBy("term").agg(F.sum("__df").alias("__tdf"), F.sum("__tf").alias("__ttf")).where(F.col("__tdf") >= min_df)
-    grid = total.withColumn("fold", F.explode(F.array(*map(F.lit, folds))))
+    top = total.orderBy(F.desc("__ttf"), "term").limit(max_features)
+    reduced = top.join(own, "term", "left").select(
+        F.when(F.col("__tdf") - F.coalesce("__df", F.lit(0)) >= min_df, F.col("__ttf") - F.coalesce("__tf", F.lit(0))).otherwise(1).alias("c"),
+        "__ttf")
+    floor = reduced.agg(F.least(F.min("c"), F.min("__ttf"))).scalar()
+    grid = total.where(F.col("__ttf") >= floor).withColumn("fold", F.explode(F.array(*map(F.lit, folds))))
     mine = own.withColumnRenamed(group, "fold")
     both = grid.join(mine, ["fold", "term"], "left").select(
         "fold", "term", (F.col("__tdf") - F.coalesce("__df", F.lit(0))).alias("df"),
@@ -168,6 +177,8 @@ def group_held_out_scores(df: DataFrame, row_id: str, group: str, label: str, fe
     flag = lambda x: F.lit(True) if x is None else x
     rows = df.select(F.col(row_id).alias("__id"), F.col(group).alias("__g"), F.col(label).cast("int").alias("__y"),
                      features.alias("__x"), flag(train).alias("__train"), flag(test).alias("__test"))
+    # Every Newton step reads the rows again, so the features are written once.
+    rows = cut_lineage(rows)
     sizes = rows.where("__train").groupBy("__g", "__y").agg(F.count("*").alias("n")).collect()
     groups = sorted({r["__g"] for r in rows.select("__g").distinct().collect()})
     width = (min(components, dim) if transform == "pca" else dim) + 1
