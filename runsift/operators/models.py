@@ -115,10 +115,6 @@ class Fold:
     offset: np.ndarray
 
 
-def _features(batch) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in batch["__x"]])
-
-
 def group_moments(rows: DataFrame, dim: int) -> dict:
     """n, sum and sum of outer products of the training rows of every group.
 
@@ -131,7 +127,7 @@ def group_moments(rows: DataFrame, dim: int) -> dict:
         for batch in batches:
             if batch.empty:
                 continue
-            x, g = _features(batch), batch["__g"].to_numpy()
+            x, g = np.stack(batch["__x"].to_numpy()), batch["__g"].to_numpy()
             out = []
             for key in pd.unique(g):
                 m = x[g == key]
@@ -179,11 +175,12 @@ def group_held_out_scores(df: DataFrame, row_id: str, group: str, label: str, fe
                      features.alias("__x"), flag(train).alias("__train"), flag(test).alias("__test"))
     # Every Newton step reads the rows again, so the features are written once.
     rows = cut_lineage(rows)
+    width = dim + 1
+    most = STATE_LIMIT // (width * width)
+    groups = sorted(r[0] for r in rows.select("__g").distinct().limit(most + 1).collect())
+    if len(groups) > most:
+        raise ValueError(f"more than {most} folds for {dim} features")
     sizes = rows.where("__train").groupBy("__g", "__y").agg(F.count("*").alias("n")).collect()
-    groups = sorted({r["__g"] for r in rows.select("__g").distinct().collect()})
-    width = (min(components, dim) if transform == "pca" else dim) + 1
-    if len(groups) * width * width > STATE_LIMIT:
-        raise ValueError("too many folds for this feature width")
     per_class = {y: sum(r["n"] for r in sizes if r["__y"] == y) for y in (0, 1)}
     own = {g: {y: 0 for y in (0, 1)} for g in groups}
     for r in sizes:
@@ -218,24 +215,25 @@ def group_held_out_scores(df: DataFrame, row_id: str, group: str, label: str, fe
 
 
 def _newton_sums(rows: DataFrame, folds: list[Fold], beta: dict, class_weight: dict, size: dict) -> dict:
+    # Plain values only, so that tasks need nothing but numpy and pandas.
+    plans = [(f.group, f.weight, f.offset, beta[f.group], class_weight[f.group]) for f in folds]
+
     def partial(batches):
         import pandas as pd
 
-        acc = [0.0] * len(folds)
+        acc = [None] * len(plans)
         for batch in batches:
             if batch.empty:
                 continue
-            x, y, g = _features(batch), batch["__y"].to_numpy(), batch["__g"].to_numpy()
+            x, y, g = np.stack(batch["__x"].to_numpy()), batch["__y"].to_numpy(), batch["__g"].to_numpy()
             base = np.asarray([1.0 / size[k] for k in g])
-            for i, f in enumerate(folds):
-                z = np.c_[x @ f.weight + f.offset, np.ones(len(x))]
-                cw = class_weight[f.group]
-                w = base * np.where(y == 1, cw[1], cw[0]) * (g != f.group)
-                p = 1 / (1 + np.exp(-np.clip(z @ beta[f.group], -500, 500)))
-                grad = z.T @ (w * (p - y))
-                hess = (z * (w * p * (1 - p))[:, None]).T @ z
-                acc[i] = acc[i] + np.concatenate([grad, hess.ravel()])
-        out = [(i, a.tolist()) for i, a in enumerate(acc) if not np.isscalar(a)]
+            for i, (held, weight, offset, b, cw) in enumerate(plans):
+                z = np.c_[x @ weight + offset, np.ones(len(x))]
+                w = base * np.where(y == 1, cw[1], cw[0]) * (g != held)
+                p = 1 / (1 + np.exp(-np.clip(z @ b, -500, 500)))
+                part = np.concatenate([z.T @ (w * (p - y)), ((z * (w * p * (1 - p))[:, None]).T @ z).ravel()])
+                acc[i] = part if acc[i] is None else acc[i] + part
+        out = [(i, a.tolist()) for i, a in enumerate(acc) if a is not None]
         yield pd.DataFrame(out, columns=["fold", "sums"])
 
     parts = rows.where("__train").select("__x", "__y", "__g").mapInPandas(partial, "fold int, sums array<double>")
@@ -250,8 +248,7 @@ def _score(rows: DataFrame, folds: list[Fold], beta: dict, row_id: str, group: s
         import pandas as pd
 
         for batch in batches:
-            x = _features(batch) if len(batch) else np.zeros((0, 1))
-            values = [float(v @ model[g][0] + model[g][1]) if g in model else None for v, g in zip(x, batch["__g"])]
+            values = [float(np.dot(v, model[g][0]) + model[g][1]) if g in model else None for v, g in zip(batch["__x"], batch["__g"])]
             yield pd.DataFrame({row_id: batch["__id"], group: batch["__g"], "label": batch["__y"],
                                 "score": pd.array(values, dtype="Float64")})
 

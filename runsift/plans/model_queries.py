@@ -300,7 +300,7 @@ def _null(t, reps):
 
 @query("rsm01_trajectory_permutation", """
 WITH l AS (SELECT vec_id % 29 AS g, (label < 5)::INT AS y, count(*) OVER (PARTITION BY vec_id % 29) AS n FROM embeddings)
-SELECT rep, n, sum(y) AS positives, count(*) AS "rows" FROM l, (SELECT unnest(range(20)) AS rep) GROUP BY 1, 2""")
+SELECT rep, n, CAST(sum(y) AS BIGINT) AS positives, count(*) AS "rows" FROM l, (SELECT unnest(range(20)) AS rep) GROUP BY 1, 2""")
 def _(t):
     one = t.embeddings.select((c("vec_id") % 29).alias("group_id"), F.floor(c("vec_id") / 29).alias("variant"), F.when(c("label") < 5, 1).otherwise(0).alias("label"))
     moved = X.permute_labels(one, "group_id", "variant", "label", 20, 7)

@@ -196,7 +196,7 @@ def _(t):
 
 @query("agg18_usable_rate", """
 SELECT condition, count(*) AS "rows", count(*) FILTER (WHERE parse_status = 'ok' AND NOT truncated) AS usable,
-  round(usable / count(*), 6) AS usable_rate, CASE condition WHEN 'view' THEN 0.88 ELSE 0.87 END AS minimum,
+  round(usable / count(*), 6) AS usable_rate, CAST(CASE condition WHEN 'view' THEN 0.88 ELSE 0.87 END AS DOUBLE) AS minimum,
   usable / count(*) >= minimum AS passed FROM runs GROUP BY 1""")
 def _(t):
     floor = F.when(F.col("condition") == "view", F.lit(0.88)).otherwise(F.lit(0.87))
