@@ -41,12 +41,12 @@ def answer_branch(df: DataFrame, text: Column, q_values: Column, qstar_values: C
     1600 characters decides.
     """
     out = S.extract_conclusion(df, text, variables, length, "__c")
-    out = out.withColumn("__tail", S.numbers(F.right(text, F.lit(1600))))
     got = F.col("__c.values")
+    out = out.withColumns({"__q": R.lists_equal(got, q_values), "__s": R.lists_equal(got, qstar_values)})
+    unmatched = ~F.col("__q") & ~F.col("__s")
+    out = out.withColumn("__tail", F.when(unmatched, S.numbers(F.right(text, F.lit(1600)))))
     out = out.withColumns({
-        "__q": R.lists_equal(got, q_values), "__s": R.lists_equal(got, qstar_values),
-        "__pq": R.contains_all(F.col("__tail"), q_values), "__ps": R.contains_all(F.col("__tail"), qstar_values),
-    })
+        "__pq": R.contains_all(F.col("__tail"), q_values), "__ps": R.contains_all(F.col("__tail"), qstar_values)})
     q, s, pq, ps = (F.col(c) for c in ("__q", "__s", "__pq", "__ps"))
     branch = first_true([
         (q & ~s, "Q"), (s & ~q, "QSTAR"), (q & s, "AMBIGUOUS"), (pq & ~ps, "Q"), (ps & ~pq, "QSTAR"), (pq & ps, "AMBIGUOUS"),

@@ -223,7 +223,8 @@ def extract_conclusion(df: DataFrame, c: Column, variables: Sequence[str], lengt
 
     Cascade: assignments after the last usable cue, last tuple, closest
     assignments; for one value the last labelled number, then the last number
-    of the final 1200 characters.
+    of the final 1200 characters.  A step gets a null text, and so costs
+    nothing, once an earlier one has an answer.
     """
     out = df.withColumn("__clean", normalise_math(c))
     clean = F.col("__clean")
@@ -238,18 +239,20 @@ def extract_conclusion(df: DataFrame, c: Column, variables: Sequence[str], lengt
         usable = F.filter(F.transform(F.reverse(windows), lambda w: _first_of_each(w, variables)), lambda v: F.forall(v, lambda x: x.isNotNull()))
         out = out.withColumn("__s1", F.try_element_at(usable, F.lit(1)))
         steps.append(result(F.col("__s1"), "labelled_variable_assignments", "high"))
+    open_case = F.col("__s1").isNull() if labelled else F.lit(True)
     if length > 1:
-        out = out.withColumn("__s2", tuple_candidate(c, length))
+        out = out.withColumn("__s2", F.when(open_case, tuple_candidate(c, length)))
         steps.append(result(F.col("__s2"), "last_ordered_tuple", "medium"))
         if labelled:
-            out = closest_assignment(out, clean, variables, "__s3")
+            out = closest_assignment(out, F.when(open_case & F.col("__s2").isNull(), clean), variables, "__s3")
             steps.append(result(F.col("__s3"), "coherent_variable_assignments", "medium"))
         steps.append(nothing("no_tuple_conclusion"))
     else:
         segments = F.regexp_extract_all(clean, F.lit(rf"(?iU)(?:{vocab.ANSWER_LABELS})\s*(?:is|:|=)?\s*([^\n]{{0,160}})"), 1)
         last = lambda values: F.when(F.size(values) > 0, F.slice(values, -1, 1))
         out = out.withColumn("__seg", F.try_element_at(segments, F.lit(-1)))
-        out = out.withColumns({"__s4": last(numbers(F.col("__seg"))), "__s5": last(numbers(F.right(clean, F.lit(1200))))})
+        out = out.withColumn("__s4", F.when(open_case, last(numbers(F.col("__seg")))))
+        out = out.withColumn("__s5", F.when(open_case & F.col("__s4").isNull(), last(numbers(F.right(clean, F.lit(1200))))))
         steps.append(result(F.col("__s4"), "last_answer_label", "high"))
         steps.append(result(F.col("__s5"), "last_numeric_value", "medium"))
         steps.append(nothing("no_numeric_conclusion"))
