@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsift.operators.scale import top_k
-from runsift.session import cut_lineage  # noqa: F401
 
 
 def review_order(model: str, family: str, pair: str, condition: str, temperature: str, sample: str, mask: str) -> list[Column]:

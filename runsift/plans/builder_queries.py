@@ -6,9 +6,7 @@ from runsift.functions import strings as S
 from runsift.functions import tokens as K
 from runsift.functions import vocab
 from runsift.operators import builders as B
-from runsift.operators import gates as G
 from runsift.operators import joins as J
-from runsift.operators import sorts as O
 from runsift.plans import standins  # noqa: F401
 from runsift.plans.registry import query
 from runsift.plans.relational_queries import AUDIT_SQL, audited

@@ -3,20 +3,14 @@
 from pyspark.sql import functions as F
 
 from runsift.functions import hashing as H
-from runsift.functions import tokens as K
 from runsift.operators import gates as G
 from runsift.operators import joins as J
 from runsift.plans import standins  # noqa: F401
 from runsift.plans.registry import query
-from runsift.plans.vector_data import vectors
 
 MASKS = ["none", "question", "cot", "question_and_cot"]
 
 
-def _r(problems):
-    return problems
-
-
 @query("idx01_idempotent_append", """
 SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem
 WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
