@@ -12,14 +12,14 @@
    and need no list, and the most frequent lists are skipped and only probed when
    the collisions of a candidate are counted.
 3. Inside a list not all pairs are emitted.  Each round a list proposes its
-   members against one or two of them; proposals that collide in ``agree``
-   coordinates are compared on their full sets, and the links are merged into
+   members against one or two of them; proposals that share ``SHARED_MINIMA``
+   minima are compared on their full sets, and the links are merged into
    components.  A list whose members are all in one component needs nothing more.
-   When few pairs that cross components are left, or rounds bring no link, each
-   of them is compared, so no link that could join two components is lost.
+   When few pairs that cross components are left, or rounds hardly lower their
+   number, each of them is compared, so no link that could join two components is lost.
 
 The only chance is in the signature: at similarity 0.8 a pair agrees in fewer
-than 2 of 64 coordinates with a probability of about 2e-6.  ``width`` should grow
+than 2 of 80 coordinates with a probability of about 5e-5, at 0.85 of 1e-7.  ``width`` should grow
 with the logarithm of the corpus: unrelated texts of similarity s share a list
 with ``documents * s ** width`` others.
 
@@ -44,10 +44,14 @@ from runsift.llm import bloom
 from runsift.llm.components import components
 from runsift.llm.shared import SpanHasher, chunks, materialize, mix64, word_bounds
 
-MINIMA = 96
-WIDTH = 5
-COORDS = 64
+MINIMA = 128
+WIDTH = 7
+COORDS = 80
 AGREE = 2
+#: Minima that a pair must share before its full sets are read; five deviations below the mean at similarity 0.8.
+SHARED_MINIMA = 80
+#: Of the lowest bits of the minima, so many may differ: six deviations above the mean at similarity 0.8.
+DIFFERENT_BITS = 32
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -88,21 +92,36 @@ class _Signer:
         self.picks = order[:, :width]
         self.salt = mix64(np.arange(1, coords + 1, dtype=np.uint64))
 
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        if not len(values):
-            return np.zeros(0, np.int64)
-        best = None
+    def minima(self, values: np.ndarray) -> np.ndarray:
+        best = np.zeros(0 if not len(values) else MINIMA, np.uint64)
         for at in range(0, len(values), 2048):
             low = ((values[at : at + 2048] * self.odd + self.add) >> np.uint64(32)).min(axis=1)
-            best = low if best is None else np.minimum(best, low)
+            best = low if not at else np.minimum(best, low)
+        return best
+
+    def joint(self, minima: np.ndarray) -> np.ndarray:
+        """Values of the coordinates."""
+        if not len(minima):
+            return np.zeros(0, np.int64)
         joint = self.salt.copy()
-        for column in best[self.picks].T:
+        for column in minima[self.picks].T:
             joint = mix64(joint ^ column)
         return joint.view(np.int64)
 
 
+def _sketch(minima: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """The lowest bit of each minimum, as two numbers a row."""
+    bits = np.stack([m & np.uint64(1) if len(m) else np.zeros(MINIMA, np.uint64) for m in minima]).astype(np.uint8)
+    packed = np.packbits(bits, axis=1).view(np.int64)
+    return pa.array(packed[:, 0]), pa.array(packed[:, 1])
+
+
 def _sets_of(words: int, width: int, coords: int, with_sets: bool) -> Callable:
-    """mapInArrow function over (id, text): the set's size, digest and signature, or signature and set."""
+    """mapInArrow function over (id, text): the set's size, digest and coordinates, or minima and set."""
+
+    def lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate(arrays).astype(kind))
+
 
     def run(batches):
         hasher, signer = SpanHasher(), _Signer(width, coords)
@@ -110,16 +129,15 @@ def _sets_of(words: int, width: int, coords: int, with_sets: bool) -> Callable:
             for first, end, raw, offsets in chunks(batch.column(1)):
                 sets = _shingles(hasher, raw, offsets, words)
                 ids = batch.column(0).slice(first, end - first)
-                signatures = [signer(s) for s in sets]
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, signatures)]).astype(np.int32), np.concatenate(signatures))
+                minima = [signer.minima(s) for s in sets]
                 if with_sets:
-                    sizes = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [ids, lists, pa.ListArray.from_arrays(sizes, np.concatenate(sets).view(np.int64))], ["id", "sig", "items"])
+                        [ids, pa.array([len(v) for v in sets], pa.int32()), *_sketch(minima), lists([m.astype(np.uint32).view(np.int32) for m in minima], np.int32), lists([v.view(np.int64) for v in sets], np.int64)],
+                        ["id", "n", "s1", "s2", "minima", "items"])
                 else:
                     digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists],
+                        [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists([signer.joint(m) for m in minima], np.int64)],
                         ["id", "n_shingles", "digest", "sig"])
 
     return run
@@ -143,23 +161,28 @@ def _lists(reps: DataFrame, coords: int, agree: int) -> DataFrame:
     return shared.where(F.size("keys") >= agree).select("id", F.explode(prefix).alias("pair")).select("id", "pair.key")
 
 
-def _proposals(open_lists: DataFrame, rounds: int) -> DataFrame:
-    """(a, b) pairs across components: each member of a list against two members of it."""
-    if rounds == 0:
-        hubs = F.array(F.struct(F.min("id").alias("id"), F.min_by("comp", "id").alias("comp")))
-    else:
-        pick = [F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(2 * rounds + i))) for i in (0, 1)]
-        hubs = F.array(*pick)
+def _may_link(one: str, other: str, percent: int) -> Column:
+    """False only for pairs whose sizes rule a link out or whose sketches differ too much."""
+    bits = sum(F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{other}{k}"))) for k in ("s1", "s2"))
+    sizes = [F.col(f"{one}n"), F.col(f"{other}n")]
+    return (F.least(*sizes) * 100 >= F.greatest(*sizes) * percent) & (bits <= DIFFERENT_BITS)
+
+
+def _proposals(open_lists: DataFrame, rounds: int, percent: int) -> DataFrame:
+    """(a, b) pairs across components: each member of a list against one or two members of it."""
+    member = F.struct("id", "comp", "n", "s1", "s2")
+    orders = [F.col("id")] if rounds == 0 else [F.xxhash64("id", F.lit(2 * rounds + i)) for i in (0, 1)]
+    hubs = F.array(*[F.min_by(member, order) for order in orders])
     chosen = open_lists.groupBy("key").agg(hubs.alias("hubs")).select("key", F.explode("hubs").alias("hub"))
-    pairs = open_lists.join(chosen, "key").where("comp <> hub.comp")
+    pairs = open_lists.join(chosen, "key").where((F.col("comp") != F.col("hub.comp")) & _may_link("", "hub.", percent))
     return pairs.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
 
 
-def _crossing(open_lists: DataFrame) -> DataFrame:
-    """Every pair of a list that crosses components."""
-    other = open_lists.select("key", F.col("id").alias("b"), F.col("comp").alias("other"))
-    pairs = open_lists.withColumnRenamed("id", "a").join(other, "key").where("a > b and comp <> other")
-    return pairs.select("a", "b").distinct()
+def _crossing(open_lists: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a list that crosses components and may link."""
+    other = open_lists.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in open_lists.columns])
+    pairs = open_lists.join(other, "key").where((F.col("id") > F.col("o_id")) & (F.col("comp") != F.col("o_comp")) & _may_link("", "o_", percent))
+    return pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
 def _open_pairs(open_lists: DataFrame) -> tuple[int, int]:
@@ -170,13 +193,17 @@ def _open_pairs(open_lists: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, agree: int, percent: int) -> DataFrame:
-    """The pairs with a boolean ``linked``: enough collisions, and similar on the full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    linked = F.when(_collisions("sig_a", "sig_b") >= agree, _similar("items_a", "items_b", percent)).otherwise(False)
-    return both.select("a", "b", linked.alias("linked"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with a boolean ``linked``: enough shared minima, and then similar on the full sets."""
+
+    def both_sides(rows: DataFrame, column: str) -> DataFrame:
+        left, right = (sets.select(F.col("id").alias(k), F.col(column).alias(f"{column}_{k}")) for k in ("a", "b"))
+        return rows.join(left, "a").join(right, "b")
+
+    close = both_sides(pairs, "minima").select("a", "b", (_collisions("minima_a", "minima_b") >= SHARED_MINIMA).alias("close"))
+    close = materialize(close, "collisions")
+    full = both_sides(close.where("close").select("a", "b"), "items").select("a", "b", _similar("items_a", "items_b", percent).alias("linked"))
+    return full.unionByName(close.where("not close").select("a", "b", F.lit(False).alias("linked")))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
@@ -196,25 +223,27 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     wanted = materialize(lists.select("id").distinct(), "candidates")
     bits = bloom.size_for(wanted.count())
     maybe = bloom.with_maybe(texts, "id", materialize(bloom.present_bits(wanted, "id", bits), "candidate-bits"), bits, "maybe")
-    schema = "id long, sig array<long>, items array<long>"
+    schema = "id long, n int, s1 long, s2 long, minima array<int>, items array<long>"
     sets = materialize(
         maybe.where("maybe").select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_sets_of(words, width, coords, True), schema), "sets")
 
-    checked, labels, rounds, new = None, None, 0, 1
+    lists = materialize(lists.join(sets.select("id", "n", "s1", "s2"), "id"), "sketched-lists")
+    checked, labels, rounds, new, before = None, None, 0, 1, float("inf")
     while True:
         if labels is None:
             labelled = lists.withColumn("comp", F.col("id"))
         else:
             labelled = lists.join(labels, lists["id"] == labels["node"], "left").select(
-                "key", "id", F.coalesce("component", "id").alias("comp"))
+                *lists.columns, F.coalesce("component", "id").alias("comp"))
         unsettled = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         open_lists = materialize(labelled.join(unsettled, "key", "left_semi"), "open-lists")
         members, crossing = _open_pairs(open_lists)
-        last = crossing <= 4 * members or not new
-        pairs = _crossing(open_lists) if last else _proposals(open_lists, rounds)
+        last = crossing <= 4 * members or not new or crossing > 0.7 * before
+        before = crossing
+        pairs = _crossing(open_lists, percent) if last else _proposals(open_lists, rounds, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = materialize(_verified(pairs, sets, agree, percent), "compared")
+        found = materialize(_verified(pairs, sets, percent), "compared")
         new = found.where("linked").count()
         checked = found if checked is None else checked.unionByName(found)
         if new:
