@@ -74,13 +74,13 @@ def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], whe
 
 
 def read_glob(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """All matching run files with a ``source_file`` column."""
-    return spark.read.schema(schema).json(pattern).withColumn("source_file", F.col("_metadata.file_name"))
+    """All matching run files with a ``source_file`` column; a bad line raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(pattern).withColumn("source_file", F.col("_metadata.file_name"))
 
 
 def latest_file(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Rows of the newest matching file (the last name on a tie)."""
-    df = spark.read.schema(schema).json(pattern).select(
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(pattern).select(
         "*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified"))
     newest = df.agg(F.max(F.struct("modified", "source_file"))["source_file"]).scalar()
     return df.where(F.col("source_file") == newest).drop("modified")

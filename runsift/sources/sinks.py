@@ -45,8 +45,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_results(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
     """One folder per named result table."""
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
-        writer.option("header", True).csv(f"{root}/{name}") if fmt == "csv" else writer.parquet(f"{root}/{name}")
+        if fmt == "csv":
+            write_csv(df, f"{root}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
 def write_families(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
