@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runsift.llm.shared import chunks as text_groups
+
 MARK = "▁"
-#: Distinct chunks that a task remembers between batches; beyond that it starts a new table.
-TABLE_SIZE = 400_000
+#: Distinct chunks that a task remembers between groups of texts; beyond that it starts a new table.
+TABLE_SIZE = 200_000
 #: Characters merged at once in count_tokens.
-MERGE_CHARS = 1 << 21
-#: Texts of about so many bytes are handed on together, so ids of a whole batch are never held.
-GROUP_BYTES = 1 << 22
+MERGE_CHARS = 1 << 20
 
 
 def load(model: bytes):
@@ -117,21 +117,21 @@ CHUNK = re.compile(r" *[^ \n]+| +|\n")
 MARKED = re.compile(r" *[^ ]+| +")
 
 
+def _groups_of(column: pa.Array):
+    """The texts of a batch in groups of about a megabyte, so a batch is never held as Python strings."""
+    for first, end, _, _ in text_groups(column):
+        yield [text or "" for text in column.slice(first, end - first).to_pylist()]
+
+
 def _counter(model: bytes) -> Callable:
     def run(batches):
         merger, table = RankMerger(load(model)), {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n_bytes, n_tokens, at = [], [], 0
-            while at < len(texts):
-                split, held = [], 0
-                while at < len(texts) and held < GROUP_BYTES:
-                    text = (texts[at] or "").replace(MARK, " ")
-                    n_bytes.append(len((texts[at] or "").encode()))
-                    held += n_bytes[-1]
-                    # A line break is in no piece, so it ends a chunk as well.
-                    split.append(CHUNK.findall(" " + text) if text else [])
-                    at += 1
+            n_bytes, n_tokens = [], []
+            for texts in _groups_of(batch.column(1)):
+                n_bytes += [len(text.encode()) for text in texts]
+                # A line break is in no piece, so it ends a chunk as well.
+                split = [CHUNK.findall(" " + text.replace(MARK, " ")) if text else [] for text in texts]
                 if len(table) > TABLE_SIZE:
                     table.clear()
                 fresh = list({chunk for chunks in split for chunk in chunks}.difference(table))
@@ -176,15 +176,10 @@ def _encoder(model: bytes, keep_ids: bool) -> Callable:
         processor, table = load(model), {}
         begin, end = (np.array([i], "<u4").tobytes() for i in (processor.bos_id(), processor.eos_id()))
         for batch in batches:
-            ids_col, texts = batch.column(0), batch.column(1).to_pylist()
             at = 0
-            while at < len(texts):
-                first, split, held = at, [], 0
-                while at < len(texts) and held < GROUP_BYTES:
-                    text = (texts[at] or "").replace(MARK, " ")
-                    held += len(text)
-                    split.append(MARKED.findall(" " + text) if text else [])
-                    at += 1
+            for texts in _groups_of(batch.column(1)):
+                first, at = at, at + len(texts)
+                split = [MARKED.findall(" " + text.replace(MARK, " ")) if text else [] for text in texts]
                 if len(table) > TABLE_SIZE:
                     table.clear()
                 fresh = list({chunk for chunks in split for chunk in chunks}.difference(table))
@@ -199,7 +194,7 @@ def _encoder(model: bytes, keep_ids: bool) -> Callable:
                     texts_out.append(decoded if keep_ids else hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_ids:
                         lists.append(ids)
-                columns = [ids_col.slice(first, at - first), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts_out, pa.string())]
+                columns = [batch.column(0).slice(first, at - first), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts_out, pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded" if keep_ids else "decoded_sha256"]
                 if keep_ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
