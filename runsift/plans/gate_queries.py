@@ -152,8 +152,8 @@ def _(t):
 
 
 SCORES_SQL = """
-WITH s AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN [] ELSE list_transform(embedding[1:8], lambda x: CASE WHEN vec_id % 7 = 0 AND x > 0.1 THEN 'nan'::DOUBLE ELSE CAST(x AS DOUBLE) END) END AS v,
-   CASE WHEN vec_id % 11 = 0 THEN 7 ELSE 8 END AS n, CASE WHEN vec_id % 13 = 0 THEN 'infinity'::DOUBLE ELSE 0.5 END AS total, CASE WHEN vec_id % 3 = 0 THEN [] ELSE [1] END AS ids FROM embeddings)
+WITH s AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN [] ELSE list_transform(embedding, lambda x: CASE WHEN vec_id % 7 = 0 AND x > 0.1 THEN 'nan'::DOUBLE ELSE CAST(x AS DOUBLE) END) END AS v,
+   len(embedding) - CASE WHEN vec_id % 11 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN vec_id % 13 = 0 THEN 'infinity'::DOUBLE ELSE 0.5 END AS total, CASE WHEN vec_id % 3 = 0 THEN [] ELSE [1] END AS ids FROM embeddings)
 """
 
 
@@ -165,11 +165,11 @@ SELECT CAST(vec_id AS STRING) AS id, rule FROM (SELECT vec_id, 'empty_q_score' A
  UNION ALL SELECT vec_id, 'missing_ids' FROM s WHERE len(ids) = 0)""")
 def _(t):
     i = F.col("vec_id")
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: F.when((i % 7 == 0) & (x > 0.1), F.lit(float("nan"))).otherwise(x.cast("double")))
+    v = F.transform("embedding", lambda x: F.when((i % 7 == 0) & (x > 0.1), F.lit(float("nan"))).otherwise(x.cast("double")))
     v = F.when(i % 5 == 0, F.slice(v, 1, 0)).otherwise(v)
     rows = t.embeddings.select(
         "vec_id", F.struct(
-            v.alias("token_logprobs"), F.when(i % 11 == 0, 7).otherwise(8).alias("token_count"),
+            v.alias("token_logprobs"), (F.size("embedding") - F.when(i % 11 == 0, 1).otherwise(0)).alias("token_count"),
             F.when(i % 13 == 0, F.lit(float("inf"))).otherwise(0.5).alias("total_logprob"),
             F.lit(0.1).alias("average_logprob"), F.lit(1.1).alias("perplexity")).alias("q_score"),
         F.when(i % 3 == 0, F.slice(F.array(F.lit(1)), 1, 0)).otherwise(F.array(F.lit(1))).alias("ids"))

@@ -51,19 +51,23 @@ def _(t):
 
 
 def _pairs(t):
-    return t.embeddings.select(c("vec_id").alias("run"), ((c("vec_id") * 7 + 3) % 200).alias("q"), ((c("vec_id") * 5 + 11) % 200).alias("qstar"))
+    n = t.embeddings.count()
+    return t.embeddings.select(c("vec_id").alias("run"), ((c("vec_id") * 7 + 3) % n).alias("q"), ((c("vec_id") * 5 + 11) % n).alias("qstar"))
 
 
-@query("vec04_similarity_by_layer", VECTORS_SQL + """
-SELECT a.row_id AS run, b.row_id AS q, a.depth, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity FROM v a JOIN v b ON b.row_id = (a.row_id * 7 + 3) % 200 AND a.depth = b.depth""")
+PAIRS_SQL = """, p AS (SELECT vec_id AS run, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS q, (vec_id * 5 + 11) % (SELECT count(*) FROM embeddings) AS qstar FROM embeddings)"""
+
+
+@query("vec04_similarity_by_layer", VECTORS_SQL.rstrip() + PAIRS_SQL + """
+SELECT a.row_id AS run, b.row_id AS q, a.depth, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity FROM p JOIN v a ON a.row_id = p.run JOIN v b ON b.row_id = p.q AND a.depth = b.depth""")
 def _(t):
     rows = vectors(t.embeddings).withColumn("vec", V.doubles(c("vec")))
     return r6(V.similarity_by_layer(rows, _pairs(t).select("run", "q"), "row_id", "depth", "vec", "run", "q"), "similarity")
 
 
-@query("vec05_q_or_qstar", VECTORS_SQL + """
+@query("vec05_q_or_qstar", VECTORS_SQL.rstrip() + PAIRS_SQL + """
 SELECT a.row_id AS run, a.depth, CASE WHEN round(list_cosine_similarity(a.vec, s.vec), 9) > round(list_cosine_similarity(a.vec, b.vec), 9) THEN 'QSTAR' ELSE 'Q' END AS closer_to
-FROM v a JOIN v b ON b.row_id = (a.row_id * 7 + 3) % 200 AND a.depth = b.depth JOIN v s ON s.row_id = (a.row_id * 5 + 11) % 200 AND a.depth = s.depth""")
+FROM p JOIN v a ON a.row_id = p.run JOIN v b ON b.row_id = p.q AND a.depth = b.depth JOIN v s ON s.row_id = p.qstar AND a.depth = s.depth""")
 def _(t):
     rows = vectors(t.embeddings).withColumn("vec", V.doubles(c("vec")))
     return V.q_or_qstar(rows, _pairs(t), "row_id", "depth", "vec").select("run", "depth", "closer_to")
@@ -232,8 +236,7 @@ def _flat(t):
 
 @query("mod02_held_out_logistic")
 def _(t):
-    rows = _flat(t).withColumn("x", F.slice("x", 1, 8))
-    return r6(Q.group_held_out_scores(rows, "row_id", "group_id", "label", c("x"), 8), "score")
+    return r6(Q.group_held_out_scores(_flat(t), "row_id", "group_id", "label", c("x"), 64), "score")
 
 
 @query("mod03_scaled_metadata_model")

@@ -248,13 +248,12 @@ def _(t):
 PIVOT_SQL = """
 WITH p AS (SELECT pair_id, category, arg_min(final_branch, run_id) FILTER (WHERE condition = 'view') AS "view",
   arg_min(final_branch, run_id) FILTER (WHERE condition = 'click') AS click, arg_min(final_branch, run_id) FILTER (WHERE condition = 'purchase') AS purchase
-  FROM runs WHERE eligible AND temperature = '0.2' AND margin < -1500 GROUP BY 1, 2)
+  FROM runs WHERE eligible GROUP BY 1, 2)
 """
 
 
 def _pivoted(t):
-    rows = t.runs.where("eligible AND temperature = '0.2' AND margin < -1500")
-    return V.pivot_first(rows, ["pair_id", "category"], "condition", "final_branch", STEPS, F.col("run_id"))
+    return V.pivot_first(t.runs.where("eligible"), ["pair_id", "category"], "condition", "final_branch", STEPS, F.col("run_id"))
 
 
 @query("win04_pivot_per_question", PIVOT_SQL + "SELECT * FROM p")

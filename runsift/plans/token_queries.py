@@ -208,10 +208,10 @@ def _(t):
 
 
 @query("mth08_branch_entropy", """
-WITH c AS (SELECT pair_id, temperature, count(*) FILTER (WHERE final_branch = 'Q') AS q, count(*) FILTER (WHERE final_branch = 'QSTAR') AS s FROM runs WHERE margin < -2000 GROUP BY 1, 2)
+WITH c AS (SELECT pair_id, temperature, count(*) FILTER (WHERE final_branch = 'Q') AS q, count(*) FILTER (WHERE final_branch = 'QSTAR') AS s FROM runs GROUP BY 1, 2)
 SELECT pair_id, temperature, q, s, round(CASE WHEN q > 0 AND s > 0 THEN -(s / (q + s) * log2(s / (q + s)) + q / (q + s) * log2(q / (q + s))) ELSE 0 END, 6) AS entropy FROM c""")
 def _(t):
-    rows = t.runs.where("margin < -2000").groupBy("pair_id", "temperature").agg(
+    rows = t.runs.groupBy("pair_id", "temperature").agg(
         F.count_if(F.col("final_branch") == "Q").alias("q"), F.count_if(F.col("final_branch") == "QSTAR").alias("s"))
     return r6(rows.withColumn("entropy", N.branch_entropy(F.col("q"), F.col("s"))), "entropy")
 

@@ -45,14 +45,15 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl_until_bad(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of each file up to its first undecodable line; everything after it is dropped."""
+    """Rows of each file up to its first line that is not JSON; everything after it is dropped.
+
+    A line that is JSON but does not fit the schema is no torn line: it fails the job.
+    """
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
-    full = T._parse_datatype_string(schema).add("_bad", T.StringType())
-    parsed = lines.withColumn("row", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
-    marked = with_totals(parsed, ["file"], __first_bad=F.min(F.when(bad, F.col("line_no"))))
+    bad = F.try_parse_json("value").isNull()
+    marked = with_totals(lines, ["file"], __first_bad=F.min(F.when(bad, F.col("line_no"))))
     good = marked.where(F.col("__first_bad").isNull() | (F.col("line_no") < F.col("__first_bad")))
-    return good.select("file", "line_no", "row.*").drop("_bad")
+    return good.select("file", "line_no", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("file", "line_no", "row.*")
 
 
 def read_jsonl_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -14,3 +14,12 @@ def test_glob_raises_on_a_torn_line(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"n":1}\n{"n":\n')
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
         files.read_glob(spark, str(tmp_path / "*.jsonl"), "n int").collect()
+
+
+def test_only_invalid_json_ends_a_file(spark, tmp_path):
+    (tmp_path / "torn.jsonl").write_text('{"id":1}\n{"id":2}\n{"id":\n{"id":4}\n')
+    rows = files.read_jsonl_until_bad(spark, str(tmp_path / "torn.jsonl"), "id bigint").select("line_no", "id")
+    assert sorted(map(tuple, rows.collect())) == [(1, 1), (2, 2)]
+    (tmp_path / "typed.jsonl").write_text('{"id":1}\n{"id":"x"}\n{"id":3}\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_jsonl_until_bad(spark, str(tmp_path / "typed.jsonl"), "id bigint").collect()
