@@ -16,7 +16,9 @@
    minima are compared on their full sets, and the links are merged into
    components.  A list whose members are all in one component needs nothing more.
    When few pairs that cross components are left, or rounds hardly lower their
-   number, each of them is compared, so no link that could join two components is lost.
+   number, each of them is compared, so no link that could join two components is
+   lost; the parities of two sets, a lower bound of their difference, rule most of
+   these pairs out inside the join, before they become rows.
 
 The only chance is in the signature: at similarity 0.8 a pair agrees in fewer
 than 2 of 80 coordinates with a probability of about 5e-5, at 0.85 of 1e-7.  ``width`` should grow
@@ -52,6 +54,8 @@ AGREE = 2
 SHARED_MINIMA = 80
 #: Of the lowest bits of the minima, so many may differ: six deviations above the mean at similarity 0.8.
 DIFFERENT_BITS = 32
+#: Bits of a set's parities.  They rule pairs out up to about as many shingles; a longer set only has more pairs compared.
+PARITIES = 1024
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -116,8 +120,14 @@ def _sketch(minima: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     return pa.array(packed[:, 0]), pa.array(packed[:, 1])
 
 
+def _parities(items: np.ndarray) -> np.ndarray:
+    """Whether each remainder modulo ``PARITIES`` is that of an odd number of items, packed into 64-bit numbers."""
+    counts = np.bincount((items % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets_of(words: int, width: int, coords: int, with_sets: bool) -> Callable:
-    """mapInArrow function over (id, text): the set's size, digest and coordinates, or minima and set."""
+    """mapInArrow function over (id, text): the set's size, digest and coordinates, or sketches, minima and set."""
 
     def lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
         return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate(arrays).astype(kind))
@@ -132,8 +142,9 @@ def _sets_of(words: int, width: int, coords: int, with_sets: bool) -> Callable:
                 minima = [signer.minima(s) for s in sets]
                 if with_sets:
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([len(v) for v in sets], pa.int32()), *_sketch(minima), lists([m.astype(np.uint32).view(np.int32) for m in minima], np.int32), lists([v.view(np.int64) for v in sets], np.int64)],
-                        ["id", "n", "s1", "s2", "minima", "items"])
+                        [ids, pa.array([len(v) for v in sets], pa.int32()), *_sketch(minima), lists([_parities(v) for v in sets], np.int64),
+                         lists([m.astype(np.uint32).view(np.int32) for m in minima], np.int32), lists([v.view(np.int64) for v in sets], np.int64)],
+                        ["id", "n", "s1", "s2", "parity", "minima", "items"])
                 else:
                     digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                     yield pa.RecordBatch.from_arrays(
@@ -178,10 +189,18 @@ def _proposals(open_lists: DataFrame, rounds: int, percent: int) -> DataFrame:
     return pairs.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
 
 
-def _crossing(open_lists: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a list that crosses components and may link."""
-    other = open_lists.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in open_lists.columns])
-    pairs = open_lists.join(other, "key").where((F.col("id") > F.col("o_id")) & (F.col("comp") != F.col("o_comp")) & _may_link("", "o_", percent))
+def _crossing(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a list that crosses components and may link.
+
+    An item that only one of two sets has flips one parity, so sets with more
+    different parities than the items they may differ in are not similar.
+    """
+    lists = materialize(open_lists.join(sets.select("id", "parity"), "id"), "parity-lists")
+    other = lists.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in lists.columns])
+    apart = sum(F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("o_parity")[k])) for k in range(PARITIES // 64))
+    near = apart * (100 + percent) <= (F.col("n") + F.col("o_n")) * (100 - percent)
+    crossing = (F.col("id") > F.col("o_id")) & (F.col("comp") != F.col("o_comp"))
+    pairs = lists.join(other, "key").where(crossing & _may_link("", "o_", percent) & near)
     return pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
@@ -223,7 +242,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     wanted = materialize(lists.select("id").distinct(), "candidates")
     bits = bloom.size_for(wanted.count())
     maybe = bloom.with_maybe(texts, "id", materialize(bloom.present_bits(wanted, "id", bits), "candidate-bits"), bits, "maybe")
-    schema = "id long, n int, s1 long, s2 long, minima array<int>, items array<long>"
+    schema = "id long, n int, s1 long, s2 long, parity array<long>, minima array<int>, items array<long>"
     sets = materialize(
         maybe.where("maybe").select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_sets_of(words, width, coords, True), schema), "sets")
 
@@ -240,7 +259,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         members, crossing = _open_pairs(open_lists)
         last = crossing <= 4 * members or not new or crossing > 0.7 * before
         before = crossing
-        pairs = _crossing(open_lists, percent) if last else _proposals(open_lists, rounds, percent)
+        pairs = _crossing(open_lists, sets, percent) if last else _proposals(open_lists, rounds, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         found = materialize(_verified(pairs, sets, percent), "compared")

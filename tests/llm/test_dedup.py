@@ -64,6 +64,34 @@ def test_near_against_brute_force(spark):
         assert got == brute(texts, words)
 
 
+def test_near_family_around_the_limit(spark):
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(90)]
+    texts = {}
+    for doc in range(120):
+        edited = list(words)
+        for _ in range(rng.randrange(2, 12)):
+            edited[rng.randrange(len(edited))] = f"n{rng.randrange(100000)}"
+        texts[doc] = " ".join(edited)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(docs, words=2).collect()}
+    want = brute(texts, 2)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 120
+
+
+def test_parities_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 3000):
+        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        other = np.unique(np.concatenate([one[: len(one) // 2], rng.integers(0, 1 << 63, 30).astype(np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (neardup._parities(one) ^ neardup._parities(other)).view(np.uint64))
+        assert bits <= len(set(one.tolist()) ^ set(other.tolist()))
+
+
 def test_near_cases(odd_docs, no_docs):
     rows = neardup.near_groups(odd_docs, words=2).collect()
     assert len(rows) == odd_docs.count()
