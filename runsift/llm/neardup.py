@@ -164,12 +164,12 @@ def _similar(a: str, b: str, percent: int) -> Column:
 
 
 def _lists(reps: DataFrame, coords: int, agree: int) -> DataFrame:
-    """(key, id): the shared pairs in the prefix of each representative."""
+    """(id, keys): the shared pairs in the prefix of each representative that has enough of them."""
     posts = reps.select("id", F.explode("sig").alias("key"))
     often = materialize(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "pair-counts")
     shared = posts.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     prefix = F.slice("keys", 1, F.size("keys") - (agree - 1))
-    return shared.where(F.size("keys") >= agree).select("id", F.explode(prefix).alias("pair")).select("id", "pair.key")
+    return shared.where(F.size("keys") >= agree).select("id", F.transform(prefix, lambda pair: pair["key"]).alias("keys"))
 
 
 def _may_link(one: str, other: str, percent: int) -> Column:
@@ -239,21 +239,21 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     if lists.isEmpty():
         return rows, copied
 
-    wanted = materialize(lists.select("id").distinct(), "candidates")
+    wanted = lists.select("id")
     bits = bloom.size_for(wanted.count())
     maybe = bloom.with_maybe(texts, "id", materialize(bloom.present_bits(wanted, "id", bits), "candidate-bits"), bits, "maybe")
     schema = "id long, n int, s1 long, s2 long, parity array<long>, minima array<int>, items array<long>"
     sets = materialize(
         maybe.where("maybe").select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_sets_of(words, width, coords, True), schema), "sets")
 
-    lists = materialize(lists.join(sets.select("id", "n", "s1", "s2"), "id"), "sketched-lists")
+    nodes = materialize(lists.join(sets.select("id", "n", "s1", "s2"), "id"), "candidates")
     checked, labels, rounds, new, before = None, None, 0, 1, float("inf")
     while True:
         if labels is None:
-            labelled = lists.withColumn("comp", F.col("id"))
+            labelled = nodes.withColumn("comp", F.col("id"))
         else:
-            labelled = lists.join(labels, lists["id"] == labels["node"], "left").select(
-                *lists.columns, F.coalesce("component", "id").alias("comp"))
+            labelled = nodes.join(labels, nodes["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id"))
+        labelled = labelled.select("id", "comp", "n", "s1", "s2", F.explode("keys").alias("key"))
         unsettled = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         open_lists = materialize(labelled.join(unsettled, "key", "left_semi"), "open-lists")
         members, crossing = _open_pairs(open_lists)
