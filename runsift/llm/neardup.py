@@ -20,10 +20,13 @@
    lost; the parities of two sets, a lower bound of their difference, rule most of
    these pairs out inside the join, before they become rows.
 
-The only chance is in the signature: at similarity 0.8 a pair agrees in fewer
-than 2 of 80 coordinates with a probability of about 5e-5, at 0.85 of 1e-7.  ``width`` should grow
-with the logarithm of the corpus: unrelated texts of similarity s share a list
-with ``documents * s ** width`` others.
+The only chance is in the signature.  Coordinates draw from the same minima, so
+their agreements are correlated and the miss rate is simulated, with the picks
+used here: of 2.4 million pairs at similarity 0.8 none agreed in fewer than 2 of
+128 coordinates over 256 minima (80 over 128: 3.3e-4), nor did any of 600,000 at
+0.82.  The binomial chance to fail ``SHARED_MINIMA`` or ``DIFFERENT_BITS`` at 0.8
+is below 2e-10.  ``width`` should grow with the logarithm of the corpus: unrelated
+texts of similarity s share a list with ``documents * s ** width`` others.
 
 Defined cases: a text without words (or null) has an empty set and is linked with
 nothing; fewer words than ``words`` make one shingle; rows with equal text get
@@ -46,14 +49,16 @@ from runsift.llm import bloom
 from runsift.llm.components import components
 from runsift.llm.shared import SpanHasher, chunks, materialize, mix64, word_bounds
 
-MINIMA = 128
+MINIMA = 256
 WIDTH = 7
-COORDS = 80
+COORDS = 128
 AGREE = 2
-#: Minima that a pair must share before its full sets are read; five deviations below the mean at similarity 0.8.
-SHARED_MINIMA = 80
-#: Of the lowest bits of the minima, so many may differ: six deviations above the mean at similarity 0.8.
-DIFFERENT_BITS = 32
+#: Minima that a pair must share before its full sets are read; seven deviations below the mean at similarity 0.8.
+SHARED_MINIMA = 160
+#: Of the lowest bits of the minima, so many may differ: seven deviations above the mean at similarity 0.8.
+DIFFERENT_BITS = 60
+#: Columns of those bits, 64 in each.
+SKETCH = [f"s{k}" for k in range(1, MINIMA // 64 + 1)]
 #: Bits of a set's parities.  They rule pairs out up to about as many shingles; a longer set only has more pairs compared.
 PARITIES = 1024
 LOWER = np.arange(256, dtype=np.uint8)
@@ -113,11 +118,11 @@ class _Signer:
         return joint.view(np.int64)
 
 
-def _sketch(minima: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
-    """The lowest bit of each minimum, as two numbers a row."""
+def _sketch(minima: list[np.ndarray]) -> list[pa.Array]:
+    """The lowest bit of each minimum, as the numbers of ``SKETCH`` a row."""
     bits = np.stack([m & np.uint64(1) if len(m) else np.zeros(MINIMA, np.uint64) for m in minima]).astype(np.uint8)
     packed = np.packbits(bits, axis=1).view(np.int64)
-    return pa.array(packed[:, 0]), pa.array(packed[:, 1])
+    return [pa.array(column) for column in packed.T]
 
 
 def _parities(items: np.ndarray) -> np.ndarray:
@@ -144,7 +149,7 @@ def _sets_of(words: int, width: int, coords: int, with_sets: bool) -> Callable:
                     yield pa.RecordBatch.from_arrays(
                         [ids, pa.array([len(v) for v in sets], pa.int32()), *_sketch(minima), lists([_parities(v) for v in sets], np.int64),
                          lists([m.astype(np.uint32).view(np.int32) for m in minima], np.int32), lists([v.view(np.int64) for v in sets], np.int64)],
-                        ["id", "n", "s1", "s2", "parity", "minima", "items"])
+                        ["id", "n", *SKETCH, "parity", "minima", "items"])
                 else:
                     digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                     yield pa.RecordBatch.from_arrays(
@@ -174,14 +179,14 @@ def _lists(reps: DataFrame, coords: int, agree: int) -> DataFrame:
 
 def _may_link(one: str, other: str, percent: int) -> Column:
     """False only for pairs whose sizes rule a link out or whose sketches differ too much."""
-    bits = sum(F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{other}{k}"))) for k in ("s1", "s2"))
+    bits = sum(F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{other}{k}"))) for k in SKETCH)
     sizes = [F.col(f"{one}n"), F.col(f"{other}n")]
     return (F.least(*sizes) * 100 >= F.greatest(*sizes) * percent) & (bits <= DIFFERENT_BITS)
 
 
 def _proposals(open_lists: DataFrame, rounds: int, percent: int) -> DataFrame:
     """(a, b) pairs across components: each member of a list against one or two members of it."""
-    member = F.struct("id", "comp", "n", "s1", "s2")
+    member = F.struct("id", "comp", "n", *SKETCH)
     orders = [F.col("id")] if rounds == 0 else [F.xxhash64("id", F.lit(2 * rounds + i)) for i in (0, 1)]
     hubs = F.array(*[F.min_by(member, order) for order in orders])
     chosen = open_lists.groupBy("key").agg(hubs.alias("hubs")).select("key", F.explode("hubs").alias("hub"))
@@ -242,18 +247,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     wanted = lists.select("id")
     bits = bloom.size_for(wanted.count())
     maybe = bloom.with_maybe(texts, "id", materialize(bloom.present_bits(wanted, "id", bits), "candidate-bits"), bits, "maybe")
-    schema = "id long, n int, s1 long, s2 long, parity array<long>, minima array<int>, items array<long>"
+    schema = f"id long, n int, {', '.join(f'{k} long' for k in SKETCH)}, parity array<long>, minima array<int>, items array<long>"
     sets = materialize(
         maybe.where("maybe").select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_sets_of(words, width, coords, True), schema), "sets")
 
-    nodes = materialize(lists.join(sets.select("id", "n", "s1", "s2"), "id"), "candidates")
+    nodes = materialize(lists.join(sets.select("id", "n", *SKETCH), "id"), "candidates")
     checked, labels, rounds, new, before = None, None, 0, 1, float("inf")
     while True:
         if labels is None:
             labelled = nodes.withColumn("comp", F.col("id"))
         else:
             labelled = nodes.join(labels, nodes["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id"))
-        labelled = labelled.select("id", "comp", "n", "s1", "s2", F.explode("keys").alias("key"))
+        labelled = labelled.select("id", "comp", "n", *SKETCH, F.explode("keys").alias("key"))
         unsettled = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         open_lists = materialize(labelled.join(unsettled, "key", "left_semi"), "open-lists")
         members, crossing = _open_pairs(open_lists)

@@ -81,6 +81,20 @@ def test_near_family_around_the_limit(spark):
     assert got == want and 1 < len({c for _, c in want.values()}) < 120
 
 
+def test_few_pairs_at_the_limit_are_missed():
+    import numpy as np
+
+    signer, rng = neardup._Signer(neardup.WIDTH, neardup.COORDS), np.random.default_rng(1)
+    member = np.zeros((neardup.MINIMA, neardup.COORDS), np.float32)
+    for coordinate, picks in enumerate(signer.picks):
+        member[picks, coordinate] = 1
+    missed = 0
+    for _ in range(10):
+        differ = (rng.random((20000, neardup.MINIMA), dtype=np.float32) >= 0.8).astype(np.float32)
+        missed += int(((differ @ member < 0.5).sum(axis=1) < neardup.AGREE).sum())
+    assert missed <= 2  # of 200,000; 66 with 80 coordinates over 128 minima
+
+
 def test_parities_never_exceed_the_difference():
     import numpy as np
 
