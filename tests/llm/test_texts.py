@@ -123,3 +123,32 @@ def test_secrets(spark, odd_docs, no_docs):
     assert added
     assert secrets.find(no_docs, field).count() == 0 and secrets.fit(no_docs) is None
     assert secrets.find(odd_docs, None).where("doc_id = 10 and spans = 'assign:0:49,hex:9:49,access:55:75'").count() == 1
+
+
+def _packed(texts):
+    sizes = [len(t.encode()) for t in texts]
+    return np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *sizes])
+
+
+def test_every_token_of_a_line_is_an_element():
+    texts = ["credential = kJhGfDsApOiUyTrEwQ", "", "é pwd is hunter2\nZx9!kQ@17#pLm2", "x"]
+    rows, starts, ends, lengths, x = secrets.tokens(*_packed(texts))
+    found = [texts[r][a:b] for r, a, b in zip(rows, starts, ends)]
+    assert found == ["credential", "=", "kJhGfDsApOiUyTrEwQ", "é", "pwd", "is", "hunter2", "Zx9", "!", "kQ", "@", "17", "#", "pLm2", "x"]
+    assert list(lengths) == [3, 4, 7, 1] and x.shape == (15, secrets.FEATURES)
+    field = LinearChain(3, secrets.FEATURES, forbidden=[(0, 2)], not_first=[2])
+    field.weights[0] = [0, 1, 2]  # inside wherever it may be
+    spans = secrets._decoded(field, *_packed(texts))
+    assert [[t[a:b] for a, _, b in s] for t, s in zip(texts, spans)] == [[texts[0]], [], ["é pwd is hunter2", "Zx9!kQ@17#pLm2"], ["x"]]
+
+
+def test_cut_chains_have_the_same_best_path():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        model = LinearChain(3, 3, forbidden=[(0, 2)], not_first=[2])
+        model.weights, model.steps, model.start = rng.normal(size=(3, 3)) * 3, rng.normal(size=(3, 3)) * 2, rng.normal(size=3)
+        model.weights[0, 0] += 4
+        lengths = rng.integers(1, 12, 20)
+        x = rng.normal(size=(lengths.sum(), 3))
+        x[:, 0] = 1
+        assert (model.viterbi(x, Chains(lengths)) == model.viterbi_mostly_out(x, lengths)).all()
