@@ -10,6 +10,7 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runsift.llm import exact, mixing, neardup, pieces, quality
 from runsift.llm.shared import documents, materialize
@@ -36,9 +37,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, with their digests."""
+    """Token ids and decoded text of every document of the mix, with their digests."""
     model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
-    return pieces.encode(docs, model, digests_only=True)
+    out = pieces.encode(docs, model)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "decoded", "ids")
 
 
 STAGES = [

@@ -214,3 +214,20 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     out = texts.mapInArrow(_encoder(model, not digests_only),
                            f"id {texts.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, {tail}")
     return out.withColumnRenamed("id", id_col)
+
+
+def _digester(batches):
+    for batch in batches:
+        texts, lists = batch.column(1), batch.column(2)
+        raw = [np.asarray(lists.values[a:b], "<u4").tobytes() for a, b in zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(ids) // 4 for ids in raw], pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids in raw], pa.string()),
+             pa.array([hashlib.sha256(text.as_py().encode()).hexdigest() for text in texts], pa.string())],
+            ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per row of an encoding: id, n_tokens, ids_sha256 and decoded_sha256, from its ids and decoded text."""
+    rows = encoded.select(F.col(id_col).alias("id"), "decoded", "ids")
+    out = rows.mapInArrow(_digester, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumnRenamed("id", id_col)

@@ -150,7 +150,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_piece_encoding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(documents(spark, sf_dir), tokenizer(), digests_only=True)
+    return pieces.digests(pieces.encode(documents(spark, sf_dir), tokenizer()))
 
 
 QUERIES["pipeline"] = corpus_pipeline.run

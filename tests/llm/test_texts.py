@@ -152,3 +152,23 @@ def test_cut_chains_have_the_same_best_path():
         x = rng.normal(size=(lengths.sum(), 3))
         x[:, 0] = 1
         assert (model.viterbi(x, Chains(lengths)) == model.viterbi_mostly_out(x, lengths)).all()
+
+
+def test_digests_come_from_the_encoding(spark, odd_docs, monkeypatch):
+    import corpus_pipeline
+    from runsift.llm import queries
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    monkeypatch.setattr(queries, "documents", lambda *_: docs)
+    given, encode = [], pieces.encode
+    monkeypatch.setattr(pieces, "encode", lambda *a, **k: given.append(k) or encode(*a, **k))
+    digests = {r.doc_id: r for r in queries.op10(spark, "").collect()}
+    rows = {r.doc_id: r for r in corpus_pipeline.encoded(spark, docs, "").collect()}
+    assert set(rows) == set(digests) == set(texts) and not any(k.get("digests_only") for k in given)
+    for i, text in texts.items():
+        ids = [1, *library.encode(text), 2]
+        assert rows[i].ids == ids and rows[i].decoded == library.decode(ids)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+        assert want == (digests[i].n_tokens, digests[i].ids_sha256, digests[i].decoded_sha256) == (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256)
