@@ -88,7 +88,16 @@ def _(t):
 SELECT pair_id, regexp_extract_all(final_answer, '\bx\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)', 1)[-1] AS x,
   regexp_extract_all(final_answer, '\by\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)', 1)[-1] AS y FROM pairs WHERE pair_id % 6 IN (0, 2, 3)""")
 def _(t):
-    rows = t.pairs.where("pair_id % 6 IN (0, 2, 3)").select("pair_id", "a", "b", S.assignments(c("final_answer")).alias("v"))
+    return _assignments(t.pairs.where("pair_id % 6 IN (0, 2, 3)"))
+
+
+@query("str09_assignments_all_forms")
+def _(t):
+    return _assignments(t.pairs)
+
+
+def _assignments(pairs):
+    rows = pairs.select("pair_id", "a", "b", S.assignments(c("final_answer")).alias("v"))
     y = F.when(R.equal(c("v.y"), R.parse(F.concat_ws("/", "b", "a"))), F.concat_ws("/", "b", "a")).otherwise(R.to_text(c("v.y")))
     return rows.select("pair_id", R.to_text(c("v.x")).alias("x"), y.alias("y"))
 
@@ -464,8 +473,17 @@ SELECT pair_id, CASE WHEN pq < 0 AND ps < 0 THEN 'OTHER' WHEN pq = ps THEN 'AMBI
 
 @query("lbl02_equation_branch", LINE_SQL)
 def _(t):
+    return _equation_branches(t.pairs.where("pair_id % 6 <> 4"))
+
+
+@query("lbl02_equation_branch_all_forms")
+def _(t):
+    return _equation_branches(t.pairs)
+
+
+def _equation_branches(pairs):
     tail = F.when(c("pair_id") % 4 == 0, F.concat(F.lit(" or 1x - 1y = "), "e")).otherwise("")
-    rows = t.pairs.where("pair_id % 6 <> 4").withColumn("txt", F.concat("final_answer", F.lit(" 1x - 1y = "), "d", tail))
+    rows = pairs.withColumn("txt", F.concat("final_answer", F.lit(" 1x - 1y = "), "d", tail))
     rows = L.equation_branch(rows, c("txt"), c("original_question"), c("counterfactual_question"), F.lit(True))
     return rows.select("pair_id", "equation_branch")
 

@@ -50,3 +50,26 @@ def test_flagship_plan_has_no_product_join(spark):
 def test_top_k_is_cut_before_the_shuffle(spark):
     plan = entry_module.queries()["srt04_representative_cases"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not present")
+def test_all_answer_forms_against_brute_force(spark):
+    import re
+    from fractions import Fraction
+
+    from runsift.plans.registry import Tables
+
+    value = lambda v: None if v is None else Fraction(re.sub(r"\s", "", v))
+    entry_module.queries()
+    pairs = Tables(spark, SF).pairs.select("pair_id", "final_answer").collect()
+    assert {r.pair_id % 6 for r in pairs} == set(range(6))
+    want = {}
+    for r in pairs:
+        plain = re.sub(r"\\frac\s*\{\s*(-?\d+)\s*\}\s*\{\s*(-?\d+)\s*\}", r"\1/\2", r.final_answer)
+        found = [re.findall(rf"(?i)\b{k}\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)", plain) for k in "xy"]
+        want[r.pair_id] = tuple(value(v[-1]) if v else None for v in found)
+    got = entry_module.queries()["str09_assignments_all_forms"](spark, SF).collect()
+    assert len(got) == len(pairs) and {r.pair_id: (value(r.x), value(r.y)) for r in got} == want
+    # The equation that the query adds last decides.
+    rows = entry_module.queries()["lbl02_equation_branch_all_forms"](spark, SF).collect()
+    assert len(rows) == len(pairs) and all(r.equation_branch == ("QSTAR" if r.pair_id % 4 == 0 else "Q") for r in rows)
