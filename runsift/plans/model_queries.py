@@ -315,13 +315,13 @@ def _(t):
 @query("rsm02_permutation_p")
 def _(t):
     observed = M.roc_auc(_scores(t), ["depth"], "label", "score").agg(F.max("roc_auc")).scalar()
-    null = X.max_statistic(_null(t, 20), "rep", "roc_auc")
+    null = X.max_statistic(_null(t, 2000), "rep", "roc_auc")
     return r6(X.permutation_p(null, observed, "roc_auc"), "p_value", "null_q95")
 
 
 @query("rsm03_cluster_bootstrap")
 def _(t):
-    return r6(X.cluster_bootstrap(_margins(t), ["depth"], "group_id", "label", "score", repetitions=500), "ci_low", "ci_high")
+    return r6(X.cluster_bootstrap(_margins(t), ["depth"], "group_id", "label", "score", repetitions=5000), "ci_low", "ci_high")
 
 
 @query("rsm04_null_quantile", "SELECT round(quantile_cont(m, 0.95), 6) AS null_q95 FROM (SELECT pair_id, max(margin) AS m FROM runs GROUP BY 1)")

@@ -73,3 +73,10 @@ def test_all_answer_forms_against_brute_force(spark):
     # The equation that the query adds last decides.
     rows = entry_module.queries()["lbl02_equation_branch_all_forms"](spark, SF).collect()
     assert len(rows) == len(pairs) and all(r.equation_branch == ("QSTAR" if r.pair_id % 4 == 0 else "Q") for r in rows)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not present")
+@pytest.mark.parametrize("name, repetitions", [("rsm03_cluster_bootstrap", 5000), ("rsm02_permutation_p", 2000)])
+def test_resampling_has_the_repetitions_of_the_reference(spark, name, repetitions):
+    rows = entry_module.queries()[name](spark, SF).collect()
+    assert rows and {r.repetitions for r in rows} == {repetitions}
