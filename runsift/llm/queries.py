@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runsift.llm import balltree, exact, mixing, neardup, pieces, quality, secrets, toxicity, warc
+from runsift.llm import balltree, exact, mixing, neardup, negatives, pieces, quality, runs, secrets, toxicity, warc
 from runsift.llm.shared import documents, materialize
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -153,6 +155,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(documents(spark, sf_dir), tokenizer()))
 
 
+@query("op11_hard_negatives", r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM v AS a JOIN v AS c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER w::INT AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
+def _bent(doc_id: int, n: int) -> np.ndarray | None:
+    """Every tenth text, by the checksum of its id, repeats a piece of itself from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    words = np.arange(n)
+    return np.where(words < a, words, a + (words - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(documents(spark, sf_dir), rearrange=_bent)
+    longest = F.try_element_at(F.array_sort("runs", lambda x, y: F.when(
+        x["length"] != y["length"], F.when(x["length"] > y["length"], -1).otherwise(1)).when(
+        x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise(
+        F.signum(x["period"] - y["period"]).cast("int"))), F.lit(1))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("best")[name].alias(name) for name in ("start", "length", "period")],
+        F.floor(F.col("best")["length"] * 1000 / F.col("best")["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
