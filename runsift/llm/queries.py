@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runsift.llm import balltree, exact, mixing, neardup, negatives, pieces, quality, runs, secrets, toxicity, warc
+from runsift.llm import balltree, exact, mixing, neardup, negatives, ngramjoin, pieces, quality, runs, secrets, toxicity, warc
 from runsift.llm.shared import documents, materialize
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -201,6 +201,26 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+@query("op13_ngram_jaccard", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS items
+  FROM w),
+u AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM u AS a JOIN u AS b ON a.item = b.item AND a.doc_id <> b.doc_id
+    AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.items) AS n_shingles, c.component_id FROM s JOIN c ON c.node = s.doc_id""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_components(documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
