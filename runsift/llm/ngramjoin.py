@@ -15,7 +15,7 @@
    Pairs of a list are not all listed.  In each round a member proposes itself to one
    hub of its lists; pairs are checked on the full sets, once each, and links are
    merged into components.  A list whose members are in one component is done.
-   When few pairs that cross components are left, or rounds hardly lower their
+   Sets are made anew from the texts of the pairs to check, and no others.  When few pairs that cross components are left, or rounds hardly lower their
    number, all of them are joined under the filters, in salted blocks of
    ``BLOCK_ROWS`` members, so no link that could join two components is lost.
 
@@ -36,6 +36,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,10 +49,14 @@ from runsift.llm.shared import SpanHasher, chunks, materialize, mix64
 #: Counters of the n-gram order, and counters in one block of them.
 SLOTS = 1 << 20
 SLOT_BLOCK = 1 << 16
-#: Bits of a set's parities; beyond as many n-grams that differ, the suffix filter lets pairs pass.
-PARITIES = 512
+#: Bits of a set's parities; beyond about as many n-grams that differ, the suffix filter lets pairs pass.
+PARITIES = 256
+#: Columns of these bits, 64 in each.
+PARITY = [f"p{k}" for k in range(1, PARITIES // 64 + 1)]
 #: Members of a list in one salted block of the last join.
 BLOCK_ROWS = 512
+#: Bytes of sets that one group of checked pairs holds, about.
+CHECK_BYTES = 1 << 24
 
 
 def _slots(items: np.ndarray) -> np.ndarray:
@@ -131,18 +136,40 @@ def _prefixes(words: int, percent: int, counts: np.ndarray) -> Callable:
                 order = np.lexsort((items, counts[_slots(items)]))[:short]
                 keys.append(items[order])
             yield pa.RecordBatch.from_arrays(
-                [ids, nodes, pa.array([len(s) for s in sets], pa.int32()), _lists(keys), _lists([_parities(s) for s in sets])],
-                ["id", "node", "n", "keys", "parity"])
+                [ids, nodes, pa.array([len(s) for s in sets], pa.int32()), _lists(keys), *map(pa.array, np.stack([_parities(s) for s in sets]).T)],
+                ["id", "node", "n", "keys", *PARITY])
 
     return run
 
 
 def _items(words: int) -> Callable:
-    """mapInArrow function over (id, text): the whole set."""
+    """mapInArrow function over (id, text, bins): the whole set of a row, in each of its bins."""
 
     def run(batches):
-        for ids, nodes, sets in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([ids, nodes, _lists(sets)], ["id", "node", "items"])
+        for batch in batches:
+            wanted = batch.column(2).to_pylist()
+            at = 0
+            for _, nodes, sets in _sets([batch], words):
+                rows = [(row, place) for row in range(len(sets)) for place in wanted[at + row]]
+                at += len(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place for _, place in rows], pa.int64()), nodes.take(pa.array([row for row, _ in rows], pa.int64())),
+                     _lists([sets[row] for row, _ in rows])], ["bin", "node", "items"])
+
+    return run
+
+
+def _checked(percent: int) -> Callable:
+    """Function over the sets and the pairs of a bin: whether each pair links."""
+
+    def run(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        items = dict(zip(sets["node"], sets["items"]))
+        linked = []
+        for a, b in zip(pairs["a"], pairs["b"]):
+            one, other = items[a], items[b]
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            linked.append(100 * both >= percent * (len(one) + len(other) - both))
+        return pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "linked": np.array(linked, bool)})
 
     return run
 
@@ -152,31 +179,34 @@ def _may_link(one: str, other: str, percent: int) -> Column:
     get = lambda side, name: F.col(f"{side}{name}")
     (n, o), (i, j) = [get(s, "n") for s in (one, other)], [get(s, "pos") for s in (one, other)]
     common = F.least(i, j) + 1 + F.least(n - i - 1, o - j - 1)  # at most
-    apart = sum(F.bit_count(get(one, "parity")[k].bitwiseXOR(get(other, "parity")[k])) for k in range(PARITIES // 64))  # at least
+    apart = sum(F.bit_count(get(one, p).bitwiseXOR(get(other, p))) for p in PARITY)  # at least
     return ((F.least(n, o) * 100 >= F.greatest(n, o) * percent) & (common * (100 + percent) >= (n + o) * percent)
             & (apart * (100 + percent) <= (n + o) * (100 - percent)))
 
 
+def _pair(one: str, other: str) -> list[Column]:
+    return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
+
+
 def _proposals(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b) pairs across components: each member with one hub of its lists."""
+    """(a, b, n) pairs across components: each member with one hub of its lists; n is the size of both sets."""
     rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    hubs = lists.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n", "pos", "parity"), rank).alias("hub"))
+    hubs = lists.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n", "pos", *PARITY), rank).alias("hub"))
     met = lists.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & _may_link("", "hub.", percent))
     rank = F.col("hub.node") if turn == 0 else F.xxhash64("hub.node", F.lit(turn))
-    best = met.groupBy("node").agg(F.min_by("hub.node", rank).alias("hub"))
-    return best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    best = met.groupBy("node").agg(F.min_by(F.struct(F.col("hub.node").alias("hub"), (F.col("n") + F.col("hub.n")).alias("n")), rank).alias("best"))
+    return best.select(*_pair("node", "best.hub"), F.col("best.n").alias("n")).distinct()
 
 
 def _crossing(lists: DataFrame, percent: int) -> DataFrame:
     """Every pair of a list that crosses components and passes the filters, a block of members at a time."""
-    size = lists.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    sized = materialize(lists.join(size, "key"), "sized-lists")
-    left = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    right = sized.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in sized.columns],
-                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    blocks = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
+    left = lists.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("held")
+    right = lists.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in lists.columns if c != "held"],
+                         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     apart = (F.col("node") > F.col("o_node")) & (F.col("comp") != F.col("o_comp"))
     pairs = left.join(right, ["key", "block"]).where(apart & _may_link("", "o_", percent))
-    return pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    return pairs.select(*_pair("node", "o_node"), (F.col("n") + F.col("o_n")).alias("n")).distinct()
 
 
 def _open_pairs(lists: DataFrame) -> tuple[int, int]:
@@ -187,42 +217,54 @@ def _open_pairs(lists: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with a boolean ``linked``, from their full sets; only sets of these pairs move."""
-    pairs = materialize(pairs, "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    used = sets.join(asked, "node", "left_semi")
-    side = lambda k: used.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}"))
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    linked = both * 100 >= (F.size("items_a") + F.size("items_b") - both) * percent
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", linked.alias("linked"))
-    return checked.dropDuplicates(["a", "b"])  # a repeated row has its set there twice
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs with a boolean ``linked``, from their full sets.
 
-
-def _links(texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    Pairs are dealt into bins by the smallest node around their first one, so a family
+    meets in one bin; a family too large for a bin is dealt further, by its nodes.  A set
+    moves once to each bin that needs it, straight from its text.
+    """
+    pairs = materialize(pairs, "pairs")
+    bins = max(1, -(-8 * (pairs.agg(F.sum("n")).first()[0] or 0) // CHECK_BYTES))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("a"), F.col("b").alias("low"))  # b is the smaller one
+    rooted = pairs.join(ends.groupBy("a").agg(F.min("low").alias("root")), "a")
+    parts = rooted.groupBy("root").agg(F.ceil(F.sum("n") * 8 / CHECK_BYTES).alias("parts"))
+    share = F.pmod(F.xxhash64("a"), F.col("parts"))
+    binned = materialize(rooted.join(parts, "root").select("a", "b", F.pmod(F.xxhash64("root", share), F.lit(bins)).alias("bin")), "bins")
+    asked = binned.select("bin", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
+    asked = materialize(asked.groupBy("node", "id").agg(F.collect_list("bin").alias("bins")), "asked")
+    bits = bloom.size_for(asked.count())
+    present = materialize(bloom.present_bits(asked, "id", bits), "asked-bits")
+    maybe = bloom.with_maybe(texts, "id", present, bits, "maybe").where("maybe").select("id", "text")
+    # An id may have several texts; only the set that is asked for is kept, once.
+    found = maybe.join(asked.groupBy("id").agg(F.flatten(F.collect_list("bins")).alias("bins")), "id")
+    sets = found.select("id", "text", F.array_distinct("bins").alias("bins")).mapInArrow(_items(words), "bin long, node long, items array<long>")
+    return sets.groupBy("bin").cogroup(binned.groupBy("bin")).applyInPandas(_checked(percent), "a long, b long, linked boolean")
+
+
+def _links(texts: DataFrame, nodes: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(member, component) of the nodes that have a link, or None."""
-    bits = bloom.size_for(nodes.count())
-    present = materialize(bloom.present_bits(nodes, "id", bits), "node-bits")
-    maybe = bloom.with_maybe(texts, "id", present, bits, "maybe").where("maybe")
-    sets = maybe.select("id", "text").mapInArrow(_items(words), "id long, node long, items array<long>")
-    sets = materialize(sets.join(nodes.select("node", "id"), ["node", "id"], "left_semi").drop("id"), "sets")
     checked, labels, turn, new, before = None, None, 0, 1, float("inf")
+    held = F.col("held").cast("double")
+    members, crossing = [int(x) for x in shared.agg(F.sum(held), F.sum(held * (held - 1) / 2)).first()]
     while True:
-        if labels is None:
-            named = nodes.withColumn("comp", F.col("node"))
+        post = [F.col("node"), F.col("comp"), F.col("n"), *map(F.col, PARITY), F.explode("posts").alias("post")]
+        flat = ["node", "comp", "n", *PARITY, "post.key", "post.pos", "post.held"]
+        if turn == 0:
+            lists = nodes.withColumn("comp", F.col("node")).select(*post).select(*flat)
         else:
-            named = nodes.join(labels, nodes["node"] == labels["member"], "left").withColumn("comp", F.coalesce("component", "node"))
-        posts = named.select("node", "comp", "n", "parity", F.explode("posts").alias("post"))
-        posts = posts.select("node", "comp", "n", "parity", "post.key", "post.pos")
-        unsettled = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        lists = materialize(posts.join(unsettled, "key", "left_semi"), "lists")
-        members, crossing = _open_pairs(lists)
+            named = nodes if labels is None else nodes.join(labels, nodes["node"] == labels["member"], "left")
+            named = named.withColumn("comp", F.col("node") if labels is None else F.coalesce("component", "node"))
+            posts = named.select(*post).select(*flat)
+            unsettled = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            lists = materialize(posts.join(unsettled, "key", "left_semi"), "lists")
+            members, crossing = _open_pairs(lists)
         last = crossing <= 4 * members or not new or crossing > 0.7 * before
         before = crossing
         pairs = _crossing(lists, percent) if last else _proposals(lists, turn, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = materialize(_verified(pairs, sets, percent), "checked")
+        found = materialize(_verified(pairs, texts, nodes, words, percent), "checked")
         new = found.where("linked").count()
         checked = found if checked is None else checked.unionByName(found)
         if new:
@@ -241,15 +283,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = summaries.where("block is null").select("id", "n_shingles", "node")
     classes = materialize(rows.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("id")), "classes")
     prefixes = texts.where("id is not null").mapInArrow(
-        _prefixes(words, percent, _order(summaries)), "id long, node long, n int, keys array<long>, parity array<long>")
+        _prefixes(words, percent, _order(summaries)), f"id long, node long, n int, keys array<long>, {', '.join(f'{p} long' for p in PARITY)}")
     prefixes = materialize(prefixes.where("n > 0").join(classes, ["node", "id"], "left_semi"), "prefixes")
     posts = prefixes.select("node", F.posexplode("keys").alias("pos", "key"))
-    shared = materialize(posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "shared-ngrams")
-    own = posts.join(shared, "key", "left_semi").groupBy("node").agg(F.collect_set(F.struct("key", "pos")).alias("posts"))
-    nodes = own.join(prefixes.select("node", "id", "n", "parity"), "node").dropDuplicates(["node"])
+    shared = materialize(posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared-ngrams")
+    own = posts.join(shared, "key").groupBy("node").agg(F.collect_set(F.struct("key", "pos", "held")).alias("posts"))
+    nodes = own.join(prefixes.drop("keys"), "node").dropDuplicates(["node"])  # a repeated row is there twice
     nodes = materialize(nodes, "nodes")
 
-    labels = None if nodes.isEmpty() else _links(texts, nodes, words, percent)
+    labels = None if nodes.isEmpty() else _links(texts, nodes, shared, words, percent)
     named = classes.select("node", F.col("id").alias("smallest"))
     if labels is not None:
         linked = labels.join(classes, labels["member"] == classes["node"]).select("member", "component", "id")
