@@ -15,7 +15,7 @@
    Pairs of a list are not all listed.  In each round a member proposes itself to one
    hub of its lists; pairs are checked on the full sets, once each, and links are
    merged into components.  A list whose members are in one component is done.
-   Sets are made anew from the texts of the pairs to check, and no others.  When few pairs that cross components are left, or rounds hardly lower their
+   Only texts of pairs to check move, and their sets are made anew.  When few pairs that cross components are left, or rounds hardly lower their
    number, all of them are joined under the filters, in salted blocks of
    ``BLOCK_ROWS`` members, so no link that could join two components is lost.
 
@@ -36,7 +36,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +54,7 @@ PARITIES = 256
 PARITY = [f"p{k}" for k in range(1, PARITIES // 64 + 1)]
 #: Members of a list in one salted block of the last join.
 BLOCK_ROWS = 512
-#: Bytes of sets that one group of checked pairs holds, about.
+#: Bytes of sets that one group of checked pairs holds, about (both sets of every pair counted).
 CHECK_BYTES = 1 << 24
 
 
@@ -142,34 +141,19 @@ def _prefixes(words: int, percent: int, counts: np.ndarray) -> Callable:
     return run
 
 
-def _items(words: int) -> Callable:
-    """mapInArrow function over (id, text, bins): the whole set of a row, in each of its bins."""
+def _checked(words: int, percent: int) -> Callable:
+    """Function over the texts and the pairs of a bin: whether each pair links, from the full sets."""
 
-    def run(batches):
-        for batch in batches:
-            wanted = batch.column(2).to_pylist()
-            at = 0
-            for _, nodes, sets in _sets([batch], words):
-                rows = [(row, place) for row in range(len(sets)) for place in wanted[at + row]]
-                at += len(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([place for _, place in rows], pa.int64()), nodes.take(pa.array([row for row, _ in rows], pa.int64())),
-                     _lists([sets[row] for row, _ in rows])], ["bin", "node", "items"])
-
-    return run
-
-
-def _checked(percent: int) -> Callable:
-    """Function over the sets and the pairs of a bin: whether each pair links."""
-
-    def run(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        items = dict(zip(sets["node"], sets["items"]))
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        items = {}
+        for _, nodes, sets in _sets(texts.select(["id", "text"]).to_batches(), words):
+            items.update(zip(nodes.to_pylist(), sets))
         linked = []
-        for a, b in zip(pairs["a"], pairs["b"]):
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
             one, other = items[a], items[b]
             both = len(np.intersect1d(one, other, assume_unique=True))
             linked.append(100 * both >= percent * (len(one) + len(other) - both))
-        return pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "linked": np.array(linked, bool)})
+        return pa.table({"a": pairs["a"], "b": pairs["b"], "linked": pa.array(linked, pa.bool_())})
 
     return run
 
@@ -217,12 +201,18 @@ def _open_pairs(lists: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows whose key may be among those of ``wanted``, by a bit filter of bounded size."""
+    bits = bloom.size_for(wanted.count())
+    return bloom.with_maybe(rows, key, materialize(bloom.present_bits(wanted, key, bits), name), bits, "maybe").where("maybe").drop("maybe")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs with a boolean ``linked``, from their full sets.
 
     Pairs are dealt into bins by the smallest node around their first one, so a family
-    meets in one bin; a family too large for a bin is dealt further, by its nodes.  A set
-    moves once to each bin that needs it, straight from its text.
+    meets in one bin; a family too large for a bin is dealt further, by its nodes.  A text
+    moves once to each bin that needs it, being smaller than its set, which is made there.
     """
     pairs = materialize(pairs, "pairs")
     bins = max(1, -(-8 * (pairs.agg(F.sum("n")).first()[0] or 0) // CHECK_BYTES))
@@ -232,14 +222,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
     share = F.pmod(F.xxhash64("a"), F.col("parts"))
     binned = materialize(rooted.join(parts, "root").select("a", "b", F.pmod(F.xxhash64("root", share), F.lit(bins)).alias("bin")), "bins")
     asked = binned.select("bin", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
-    asked = materialize(asked.groupBy("node", "id").agg(F.collect_list("bin").alias("bins")), "asked")
-    bits = bloom.size_for(asked.count())
-    present = materialize(bloom.present_bits(asked, "id", bits), "asked-bits")
-    maybe = bloom.with_maybe(texts, "id", present, bits, "maybe").where("maybe").select("id", "text")
-    # An id may have several texts; only the set that is asked for is kept, once.
-    found = maybe.join(asked.groupBy("id").agg(F.flatten(F.collect_list("bins")).alias("bins")), "id")
-    sets = found.select("id", "text", F.array_distinct("bins").alias("bins")).mapInArrow(_items(words), "bin long, node long, items array<long>")
-    return sets.groupBy("bin").cogroup(binned.groupBy("bin")).applyInPandas(_checked(percent), "a long, b long, linked boolean")
+    # An id may have several texts; all of them move with it.
+    asked = materialize(asked.groupBy("id").agg(F.collect_set("bin").alias("bins")), "asked")
+    found = _maybe_in(texts, asked, "id", "asked-bits").join(asked, "id").select("id", "text", F.explode("bins").alias("bin"))
+    return found.groupBy("bin").cogroup(binned.groupBy("bin")).applyInArrow(_checked(words, percent), "a long, b long, linked boolean")
 
 
 def _links(texts: DataFrame, nodes: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -282,13 +268,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     summaries = materialize(texts.mapInArrow(_summaries(words), schema), "summaries")
     rows = summaries.where("block is null").select("id", "n_shingles", "node")
     classes = materialize(rows.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("id")), "classes")
-    prefixes = texts.where("id is not null").mapInArrow(
+    # Few copies get through the bit filter; they post the same class again, which changes no list of two classes.
+    first = _maybe_in(texts.where("id is not null"), classes, "id", "class-bits")
+    prefixes = first.mapInArrow(
         _prefixes(words, percent, _order(summaries)), f"id long, node long, n int, keys array<long>, {', '.join(f'{p} long' for p in PARITY)}")
-    prefixes = materialize(prefixes.where("n > 0").join(classes, ["node", "id"], "left_semi"), "prefixes")
+    prefixes = materialize(prefixes.where("n > 0"), "prefixes")
     posts = prefixes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = materialize(posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared-ngrams")
-    own = posts.join(shared, "key").groupBy("node").agg(F.collect_set(F.struct("key", "pos", "held")).alias("posts"))
-    nodes = own.join(prefixes.drop("keys"), "node").dropDuplicates(["node"])  # a repeated row is there twice
+    own = _maybe_in(posts, shared, "key", "shared-bits").join(shared, "key").groupBy("node").agg(F.collect_set(F.struct("key", "pos", "held")).alias("posts"))
+    nodes = own.join(prefixes.drop("keys", "id").dropDuplicates(["node"]), "node").join(classes, "node")
     nodes = materialize(nodes, "nodes")
 
     labels = None if nodes.isEmpty() else _links(texts, nodes, shared, words, percent)
