@@ -117,62 +117,64 @@ def focused_subset(rows: DataFrame, item: str, items: DataFrame, variant: str, v
 
 def _coefficient(term: Column) -> Column:
     digits = F.regexp_replace(term, r"[xyz\s]", "")
-    return F.when(digits.isin("", "+"), F.lit(1).cast("bigint")).when(digits == "-", F.lit(-1).cast("bigint")).otherwise(
-        digits.try_cast("bigint"))
+    return F.when(digits.isin("", "+"), F.lit("1")).when(digits == "-", F.lit("-1")).otherwise(R.whole(digits))
 
 
-def _check(equation: Column, number: Column, values: Column, variables: Sequence[str]) -> Column:
-    """struct(equation_no, equation, status, check_line) of one equation with the values put in."""
+def _sides(equation: Column, variables: Sequence[str]) -> Column:
+    """struct(equation, coefficients, rhs) of one equation, as integers of any length."""
     left = F.replace(F.split_part(equation, F.lit("="), F.lit(1)), F.lit("+ -"), F.lit("-"))
-    rhs = F.trim(F.split_part(equation, F.lit("="), F.lit(2))).try_cast("bigint")
+    right = F.trim(F.split_part(equation, F.lit("="), F.lit(2)))
     terms = F.regexp_extract_all(left, F.lit(r"([+-]?\s*\d*\s*[xyz])"), 1)
 
     def summed(ts: Column, variable: str) -> Column:
         mine = F.filter(ts, lambda t: t.endswith(variable))
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, t: a + R.let(t, _coefficient))
+        return F.aggregate(mine, F.lit("0"), lambda a, t: R.plus(a, R.let(t, _coefficient)))
 
-    den = F.aggregate(values, F.lit(1).cast("bigint"), lambda a, v: F.try_multiply(a, v["den"]))
+    coefficients = R.let(terms, lambda ts: F.array(*[summed(ts, v) for v in variables]))
+    rhs = F.when(right.rlike(r"^[-+]?\d+$"), R.whole(right))
+    return F.struct(equation.alias("equation"), coefficients.alias("cs"), rhs.alias("rhs"))
 
-    def total(cs: Column, d: Column) -> Column:
-        shares = F.zip_with(cs, values, lambda k, v: F.try_multiply(F.try_multiply(k, v["num"]), F.call_function("div", d, v["den"])))
-        return F.aggregate(shares, F.lit(0).cast("bigint"), lambda a, x: F.try_add(a, x))
 
-    def shown(cs: Column) -> Column:
-        named = F.zip_with(cs, F.array(*map(F.lit, variables)), lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v))
-        text = lambda e, value: F.when(e["k"] == 1, F.concat(e["v"], F.lit("="), value)).otherwise(
-            F.concat(e["k"].cast("string"), e["v"], F.lit("="), e["k"].cast("string"), F.lit("("), value, F.lit(")")))
-        parts = F.zip_with(named, values, lambda e, v: F.when(e["k"] != 0, text(e, R.to_text(v))))
-        return F.array_join(F.filter(parts, lambda x: x.isNotNull()), ", ")
-
-    def result(cs: Column, side: Column) -> Column:
-        ok = F.coalesce(side["num"] == F.try_multiply(rhs, side["den"]), F.lit(False))
-        status = F.when(ok, "Correct").otherwise("Mismatch")
-        line = F.concat(
-            F.lit("    * Check ("), number.cast("string"), F.lit(") `"), equation, F.lit("`: "), shown(cs), F.lit("; left side = "),
-            R.to_text(side), F.lit(" = "), rhs.cast("string"), F.lit(". ("), status, F.lit(")"))
-        return F.named_struct(
-            F.lit("equation_no"), number, F.lit("equation"), equation, F.lit("status"), status, F.lit("check_line"), line)
-
-    coefficients = lambda ts: F.array(*[summed(ts, v) for v in variables])
-    side = lambda cs: R.let(den, lambda d: F.named_struct(F.lit("num"), total(cs, d), F.lit("den"), d))
-    return R.let(terms, lambda ts: R.let(coefficients(ts), lambda cs: R.let(side(cs), lambda sd: result(cs, sd))))
+def _result(e: Column, number: Column, side: Column, values: Column, variables: Sequence[str]) -> Column:
+    """struct(equation_no, equation, status, check_line) of one equation and its left side."""
+    named = F.zip_with(e["cs"], F.array(*map(F.lit, variables)), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    text = lambda n, value: F.when(n["k"] == "1", F.concat(n["v"], F.lit("="), value)).otherwise(
+        F.concat(n["k"], n["v"], F.lit("="), n["k"], F.lit("("), value, F.lit(")")))
+    parts = F.zip_with(named, values, lambda n, v: F.when(n["k"] != "0", text(n, R.to_text(v))))
+    shown = F.array_join(F.filter(parts, lambda x: x.isNotNull()), ", ")
+    ok = F.coalesce((side["num"] == e["rhs"]) & (side["den"] == "1"), F.lit(False))
+    status = F.when(ok, "Correct").otherwise("Mismatch")
+    line = F.concat(
+        F.lit("    * Check ("), number.cast("string"), F.lit(") `"), e["equation"], F.lit("`: "), shown, F.lit("; left side = "),
+        R.to_text(side), F.lit(" = "), e["rhs"], F.lit(". ("), status, F.lit(")"))
+    return F.struct(number.alias("equation_no"), e["equation"].alias("equation"), status.alias("status"), line.alias("check_line"))
 
 
 def with_checks(df: DataFrame, question: str, answer: str, variables: Sequence[str], name: str = "checks") -> DataFrame:
-    """Adds one check struct per equation: the stored answer put in, both sides compared exactly.
+    """Adds one check struct per equation: the stored answer put in, both sides compared exactly, at any length.
 
     The check stays inside the row, so it is a narrow step.
     """
+    struct = lambda n, d: F.struct(n.alias("num"), d.alias("den"))
+    share = lambda k, v: struct(R.times(k, v["num"]), v["den"])
+    added = lambda a, x: struct(R.plus(R.times(a["num"], x["den"]), R.times(x["num"], a["den"])), R.times(a["den"], x["den"]))
+    total = lambda shares: F.aggregate(shares, struct(F.lit("0"), F.lit("1")), added)
     out = df.withColumns({
         "__vals": R.answer_values(F.col(answer)), "__lines": F.transform(S.equation_lines(F.col(question)), S.tidy_equation)})
-    checks = F.transform("__lines", lambda eq, i: _check(eq, i + 1, F.col("__vals"), variables))
-    return out.withColumn(name, checks).drop("__vals", "__lines")
+    out = out.withColumn("__sides", F.transform("__lines", lambda line: _sides(line, variables)))
+    # One step a column, because the analyzer resolves nested lambdas one level at a time.
+    out = out.withColumn("__shares", F.transform("__sides", lambda e: F.zip_with(e["cs"], F.col("__vals"), share)))
+    out = out.withColumn("__totals", F.transform("__shares", total))
+    out = out.withColumn("__left", F.transform("__totals", lambda t: R.fraction(t["num"], t["den"])))
+    checks = F.transform("__sides", lambda e, i: _result(e, i + 1, F.col("__left")[i], F.col("__vals"), variables))
+    return out.withColumn(name, checks).drop("__vals", "__lines", "__sides", "__shares", "__totals", "__left")
 
 
 def check_answers(df: DataFrame, row_id: str, question: str, answer: str, variables: Sequence[str]) -> DataFrame:
     """One row per equation with its number, text, status and readable check line."""
-    rows = with_checks(df, question, answer, variables).select(row_id, F.explode("checks").alias("__c"))
-    return rows.select(row_id, "__c.*")
+    # An inner explode would repeat the whole check in an inferred filter.
+    rows = with_checks(df, question, answer, variables).select(row_id, F.explode_outer("checks").alias("__c"))
+    return rows.where(F.col("__c").isNotNull()).select(row_id, "__c.*")
 
 
 ABLATION_VARIANTS = [

@@ -72,7 +72,7 @@ def _(t):
        + ") AS n, round(list_sum(list_transform(" + NUMBERS.replace("{t}", "t") + r", lambda m: CAST(split_part(m, '/', 1) AS DOUBLE) / CAST(coalesce(nullif(split_part(m, '/', 2), ''), '1') AS DOUBLE))), 6) AS total FROM n")
 def _(t):
     rows = t.pairs.select("pair_id", S.numbers(F.concat("final_answer", F.lit(" 3x _4 5"))).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, v: a + v["num"] / v["den"])
+    total = F.aggregate("v", F.lit(0.0), lambda a, v: a + R.as_double(v))
     return rows.select("pair_id", F.size("v").alias("n"), F.round(total, 6).alias("total"))
 
 
@@ -86,18 +86,9 @@ def _(t):
 
 @query("str09_assignments", r"""
 SELECT pair_id, regexp_extract_all(final_answer, '\bx\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)', 1)[-1] AS x,
-  regexp_extract_all(final_answer, '\by\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)', 1)[-1] AS y FROM pairs WHERE pair_id % 6 IN (0, 2, 3)""")
+  regexp_extract_all(final_answer, '\by\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)', 1)[-1] AS y FROM pairs""")
 def _(t):
-    return _assignments(t.pairs.where("pair_id % 6 IN (0, 2, 3)"))
-
-
-@query("str09_assignments_all_forms")
-def _(t):
-    return _assignments(t.pairs)
-
-
-def _assignments(pairs):
-    rows = pairs.select("pair_id", "a", "b", S.assignments(c("final_answer")).alias("v"))
+    rows = t.pairs.select("pair_id", "a", "b", S.assignments(c("final_answer")).alias("v"))
     y = F.when(R.equal(c("v.y"), R.parse(F.concat_ws("/", "b", "a"))), F.concat_ws("/", "b", "a")).otherwise(R.to_text(c("v.y")))
     return rows.select("pair_id", R.to_text(c("v.x")).alias("x"), y.alias("y"))
 
@@ -117,7 +108,7 @@ SELECT pair_id, x, round(CAST(split_part(y, '/', 1) AS DOUBLE) / CAST(coalesce(n
 def _(t):
     txt = F.concat(F.lit("x = 1; "), "final_answer", F.lit(" so y = 2 or x = 3."))
     rows = S.closest_assignment(t.pairs, S.normalise_math(txt), ["x", "y"], "v")
-    return rows.select("pair_id", R.to_text(c("v")[0]).alias("x"), F.round(c("v")[1]["num"] / c("v")[1]["den"], 6).alias("y"))
+    return rows.select("pair_id", R.to_text(c("v")[0]).alias("x"), F.round(R.as_double(c("v")[1]), 6).alias("y"))
 
 
 @query("str11_tuple_candidate", r"""
@@ -424,6 +415,20 @@ def _(t):
     return t.pairs.select("pair_id", R.equal(v, R.parse(F.lit("4/6"))).alias("equals_two_thirds"), R.equal(v, R.parse(F.lit("0.50"))).alias("equals_half"))
 
 
+@query("mth01_long_values", """
+WITH k AS (SELECT o_orderkey, CAST(o_orderkey + 1 AS STRING) AS k, CAST(3 + o_orderkey % 10 AS INT) AS n FROM orders)
+SELECT o_orderkey, 3 AS found, concat('1', repeat(lpad('1', CAST(length(k) AS INT), '0'), n - 1)) AS ratio, repeat(k, n) AS whole, true AS same FROM k""")
+def _(t):
+    """Numbers of up to 80 digits: an order number written n times, over itself, alone, and a decimal as a fraction."""
+    key, n = (c("o_orderkey") + 1).cast("string"), (c("o_orderkey") % 10 + 3).cast("int")
+    rows = t.orders.select("o_orderkey", key.alias("k"), F.repeat(key, n).alias("long"))
+    decimal = F.concat(F.lit("0."), F.repeat(F.lit("3"), F.lit(20)), "k")
+    spelled = F.concat(F.repeat(F.lit("3"), F.lit(20)), "k", F.lit("/1"), F.repeat(F.lit("0"), F.length("k") + 20))
+    text = F.concat(F.lit("first "), "long", F.lit(" / "), "k", F.lit(" then 000"), "long", F.lit(" and "), decimal)
+    rows = rows.withColumn("v", S.numbers(text)).withColumn("same", R.equal(c("v")[2], R.parse(spelled)))
+    return rows.select("o_orderkey", F.size("v").alias("found"), R.to_text(c("v")[0]).alias("ratio"), R.to_text(c("v")[1]).alias("whole"), "same")
+
+
 REDUCED = "CASE WHEN CAST(b AS BIGINT) % a = 0 THEN CAST(CAST(b AS BIGINT) // a AS STRING) ELSE (CAST(b AS BIGINT) // gcd(CAST(b AS BIGINT), a)) || '/' || (a // gcd(CAST(b AS BIGINT), a)) END"
 
 
@@ -464,7 +469,7 @@ def _(t):
 
 LINE_SQL = r"""
 WITH x AS (SELECT pair_id, d, e, regexp_replace(lower(final_answer || ' 1x - 1y = ' || d || CASE WHEN pair_id % 4 = 0 THEN ' or 1x - 1y = ' || e ELSE '' END), '\s', '', 'g') AS t,
-  '1x-1y=' || d AS q, '1x-1y=' || e AS s FROM pairs WHERE pair_id % 6 <> 4),
+  '1x-1y=' || d AS q, '1x-1y=' || e AS s FROM pairs),
 p AS (SELECT pair_id, CASE WHEN contains(t, q) THEN length(t) - position(reverse(q) IN reverse(t)) - length(q) ELSE -1 END AS pq,
   CASE WHEN contains(t, s) THEN length(t) - position(reverse(s) IN reverse(t)) - length(s) ELSE -1 END AS ps FROM x)
 SELECT pair_id, CASE WHEN pq < 0 AND ps < 0 THEN 'OTHER' WHEN pq = ps THEN 'AMBIGUOUS' WHEN pq > ps THEN 'Q' ELSE 'QSTAR' END AS equation_branch FROM p
@@ -473,17 +478,8 @@ SELECT pair_id, CASE WHEN pq < 0 AND ps < 0 THEN 'OTHER' WHEN pq = ps THEN 'AMBI
 
 @query("lbl02_equation_branch", LINE_SQL)
 def _(t):
-    return _equation_branches(t.pairs.where("pair_id % 6 <> 4"))
-
-
-@query("lbl02_equation_branch_all_forms")
-def _(t):
-    return _equation_branches(t.pairs)
-
-
-def _equation_branches(pairs):
     tail = F.when(c("pair_id") % 4 == 0, F.concat(F.lit(" or 1x - 1y = "), "e")).otherwise("")
-    rows = pairs.withColumn("txt", F.concat("final_answer", F.lit(" 1x - 1y = "), "d", tail))
+    rows = t.pairs.withColumn("txt", F.concat("final_answer", F.lit(" 1x - 1y = "), "d", tail))
     rows = L.equation_branch(rows, c("txt"), c("original_question"), c("counterfactual_question"), F.lit(True))
     return rows.select("pair_id", "equation_branch")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runsift.functions import labels as L
 from runsift.functions import rationals as R
 from runsift.functions import strings as S
+from runsift.operators import builders as B
 
 NUM = re.compile(r"(?<![A-Za-z0-9_])[-+]?(?:\d+\s*/\s*\d+|\d+\.\d+|\d+)(?![A-Za-z0-9_])")
 
@@ -21,7 +22,7 @@ def one(spark, value, build):
 
 
 def values(rows):
-    return None if rows is None else [Fraction(v["num"], v["den"]) for v in rows]
+    return None if rows is None else [Fraction(f"{v['num']}/{v['den']}") for v in rows]
 
 
 def expected_numbers(text):
@@ -50,9 +51,52 @@ def test_equal_values_of_different_form(spark):
     assert got == [True, True, True, False]
 
 
-def test_too_long_tokens_are_null(spark):
-    assert one(spark, "1" * 19, R.parse) is None
-    assert one(spark, "5/0", R.parse) is None
+def test_zero_denominators_are_null(spark):
+    assert [one(spark, t, R.parse) for t in ("5/0", "0/00", "1" * 40 + "/" + "0" * 40)] == [None] * 3
+
+
+def long_integer(rng):
+    digits = rng.choice([1, 2, 9, 10, 18, 19, 20, 27, 28, 40, 60])
+    return rng.randrange(10 ** (digits - 1) if digits > 1 else 0, 10**digits)
+
+
+def test_numbers_of_any_length(spark):
+    rng, tokens = random.Random(2), ["0/5", "-0", "+0.000", "007/0014", "-4/-8", "1" * 200 + "/" + "1" * 100, "1" + "0" * 60 + "/3", "0." + "3" * 20, "12345678901234567890"]
+    for _ in range(150):
+        a, b, g = long_integer(rng), max(long_integer(rng), 1), rng.choice([1, 6, 10**9, 10**18 + 9, 10**30 + 57])
+        sign = rng.choice(["", "-", "+"])
+        tokens += rng.choice([[f"{sign}00{a}"], [f"{sign}{a}.{b}"], [f"{sign}{a * g}/-{b * g}"], [f"{a * g} / {rng.randrange(1, 9) * g}"], [f"{sign}{rng.randrange(1, 9) * g}/{b * g}"]])
+    rows = spark.createDataFrame(list(enumerate(tokens)), "i int, t string")
+    got = {r.i: r.v for r in rows.select("i", R.to_text(R.parse(F.col("t"))).alias("v")).collect()}
+    exact = lambda t: Fraction(*map(int, t.split("/"))) if "/" in t else Fraction(t)
+    assert got == {i: str(exact(t.replace(" ", ""))) for i, t in enumerate(tokens)}
+
+
+def test_sums_and_products_of_any_length(spark):
+    rng = random.Random(3)
+    pairs = [(rng.choice([1, -1]) * long_integer(rng), rng.choice([1, -1]) * long_integer(rng)) for _ in range(150)]
+    pairs += [(10**18, -(10**18)), (10**27 - 1, 1), (-(10**27), 1), (0, 10**30), (10**30, -(10**30)), (2**63 - 1, 1), (-(2**63), -1)]
+    rows = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    for r in rows.select("i", R.plus(F.col("a"), F.col("b")).alias("s"), R.times(F.col("a"), F.col("b")).alias("p")).collect():
+        a, b = pairs[r.i]
+        assert (r.s, r.p) == (str(a + b), str(a * b))
+
+
+def test_long_numbers_decide_the_branch(spark):
+    text = "0.33333333333333333333 or 1234567890123456789012 or 7"
+    assert values(one(spark, text, S.numbers)) == [Fraction("0.33333333333333333333"), 1234567890123456789012, 7]
+    df = spark.createDataFrame([(text, "7"), (text + ", final answer: 1234567890123456789012", "7")], "t string, q string")
+    rows = L.answer_branch(df, F.col("t"), R.answer_values(F.col("q")), F.array(R.parse(F.lit("1234567890123456789012"))), [], 1).collect()
+    assert rows[1]["answer"]["branch"] == "QSTAR"
+
+
+def test_checks_of_long_answers(spark):
+    big = 10**25 + 3
+    rows = [("Solve\n2x + 3y = 1\n", f"({big * 3 + 2}, {-2 * big - 1})"), (f"Solve\n{big}x - y = 0\n", f"(1/{big}, 1)"), ("Solve\n2x + 3y = 1\n", f"({big}, {big})")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q string, a string")
+    got = {r.i: r for r in B.check_answers(df, "i", "q", "a", ["x", "y"]).collect()}
+    assert [got[i].status for i in range(3)] == ["Correct", "Correct", "Mismatch"]
+    assert f"left side = {5 * big} = 1" in got[2].check_line
 
 
 @pytest.mark.parametrize("text,want", [("6/4", "3/2"), ("-6/3", "-2"), ("0/5", "0"), ("2.50", "5/2"), ("123456789012345678/2", "61728394506172839")])
