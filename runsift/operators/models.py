@@ -37,18 +37,19 @@ def ngrams(df: DataFrame, row_id: str, group: str, text: str) -> DataFrame:
 
 
 def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2, max_features: int = 3000,
-                    max_folds: int = 2000) -> DataFrame:
+                    max_folds: int = 2000, docs: DataFrame | None = None) -> DataFrame:
     """(fold, term, idf) per held-out group: totals minus the group's own counts.
 
     Kept are the max_features most frequent terms with enough documents, ties
-    by term; idf is ln((1 + n) / (1 + df)) + 1 over the training documents.
+    by term; idf is ln((1 + n) / (1 + df)) + 1 over the training documents, those with a
+    term or, where ``docs`` (group, __n) counts them, all.
     The number of folds is checked, as every fold has a vocabulary of its own.
 
     Leaving a group out only lowers counts, so a term whose total is below the
     smallest held-out count of the overall top terms cannot enter any fold and
     is left out of the fold grid.
     """
-    folds = [r[0] for r in terms.select(group).distinct().limit(max_folds + 1).collect()]
+    folds = [r[0] for r in (terms if docs is None else docs).select(group).distinct().limit(max_folds + 1).collect()]
     if len(folds) > max_folds:
         raise ValueError(f"more than {max_folds} folds")
     own = cut_lineage(terms.groupBy(group, "term").agg(F.count("*").alias("__df"), F.sum("tf").alias("__tf")))
@@ -64,7 +65,8 @@ def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2,
         "fold", "term", (F.col("__tdf") - F.coalesce("__df", F.lit(0))).alias("df"),
         (F.col("__ttf") - F.coalesce("__tf", F.lit(0))).alias("count"))
     kept = top_k(both.where(F.col("df") >= min_df), ["fold"], [F.desc("count"), F.col("term")], max_features)
-    docs = terms.groupBy(group).agg(F.countDistinct(row_id).alias("__n"))
+    if docs is None:
+        docs = terms.groupBy(group).agg(F.countDistinct(row_id).alias("__n"))
     n = docs.withColumn("__all", docs.agg(F.sum("__n")).scalar()).select(
         F.col(group).alias("fold"), (F.col("__all") - F.col("__n")).alias("__train"))
     idf = F.log((F.lit(1.0) + F.col("__train")) / (1.0 + F.col("df"))) + 1.0

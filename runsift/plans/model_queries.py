@@ -9,6 +9,7 @@ from runsift.operators import models as Q
 from runsift.operators import pivots as P
 from runsift.operators import resampling as X
 from runsift.operators import sorts as O
+from runsift.operators import textmodel
 from runsift.operators import vectors as V
 from runsift.plans import standins  # noqa: F401
 from runsift.plans.registry import query
@@ -205,13 +206,13 @@ def _texts(t):
 
 
 TFIDF = r"""
-WITH d AS (SELECT doc_id, source AS grp, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents JOIN labels USING (doc_id)),
+WITH d AS (SELECT doc_id, source AS grp, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}_](?:[\p{L}\p{M}\p{Nd}_/+=-]*[\p{L}\p{M}\p{Nd}_])?') AS w FROM documents JOIN labels USING (doc_id)),
 x AS (SELECT doc_id, grp, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d),
 tf AS (SELECT doc_id, grp, term, count(*) AS tf FROM x GROUP BY ALL),
 own AS (SELECT grp, term, count(*) AS df, sum(tf) AS n FROM tf GROUP BY ALL), tot AS (SELECT term, sum(df) AS df, sum(n) AS n FROM own GROUP BY 1 HAVING sum(df) >= 2),
 f AS (SELECT DISTINCT grp AS fold FROM tf), docs AS (SELECT grp, count(DISTINCT doc_id) AS n FROM tf GROUP BY 1),
 adj AS (SELECT fold, tot.term, tot.df - coalesce(own.df, 0) AS df, tot.n - coalesce(own.n, 0) AS n FROM f CROSS JOIN tot LEFT JOIN own ON own.grp = fold AND own.term = tot.term),
-voc AS (SELECT fold, term, ln((1 + (SELECT sum(n) FROM docs) - docs.n) / (1 + df)) + 1 AS idf FROM (SELECT * FROM adj WHERE df >= 2 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, term) <= 300) JOIN docs ON docs.grp = fold),
+voc AS (SELECT fold, term, ln((1 + (SELECT sum(n) FROM docs) - docs.n) / (1 + df)) + 1 AS idf FROM (SELECT * FROM adj WHERE df >= 2 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, term) <= 3000) JOIN docs ON docs.grp = fold),
 w AS (SELECT doc_id, tf.term, (1 + ln(tf)) * idf AS w FROM tf JOIN voc ON fold = grp AND voc.term = tf.term),
 s AS (SELECT doc_id, count(*) AS terms, sum(w) / sqrt(sum(w * w)) AS total FROM w GROUP BY 1)
 SELECT doc_id, terms, round(total, 5) AS total FROM s
@@ -220,14 +221,18 @@ SELECT doc_id, terms, round(total, 5) AS total FROM s
 
 @query("mod01_tfidf", TFIDF)
 def _(t):
-    folded = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    terms = cut_lineage(Q.ngrams(_texts(t).withColumn("text", folded), "doc_id", "grp", "text"))
-    vocab = Q.fold_vocabulary(terms, "doc_id", "grp", 2, 300)
+    terms = cut_lineage(Q.ngrams(_texts(t), "doc_id", "grp", "text"))
+    vocab = Q.fold_vocabulary(terms, "doc_id", "grp")
     out = Q.held_out_tfidf(terms, vocab, "doc_id", "grp")
     out = out.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("weight").alias("total"))
     return out.withColumn("total", F.round("total", 5))
 
 
+@query("mod01_text_monitor")
+def _(t):
+    return r6(textmodel.text_scores(_texts(t), "doc_id", "grp", "quality", "text"), "score")
+
+
 def _flat(t):
     return t.embeddings.select(
         c("vec_id").alias("row_id"), (c("vec_id") % 29).alias("group_id"), F.when(c("label") < 5, 1).otherwise(0).alias("label"),
