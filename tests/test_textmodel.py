@@ -72,7 +72,7 @@ def test_text_scores_against_a_dense_fit(spark, monkeypatch):
 
 
 def test_one_class_and_unfinished_fits(spark):
-    rows = [(1, "a", 1, "x y"), (2, "a", 0, "y z"), (3, "b", 1, "x x"), (4, "b", 1, "x y")]
+    rows = [(1, "a", 1, "x y"), (2, "a", 0, "y z"), (5, "a", 0, "z z y"), (3, "b", 1, "x x"), (4, "b", 1, "x y")]
     df = spark.createDataFrame(rows, "id int, grp string, y int, t string")
     got = {r.id: r for r in X.text_scores(df, "id", "grp", "y", "t").collect()}
     assert got[1].score is None and got[2].score is None and got[3].score is not None  # without a only ones are left
