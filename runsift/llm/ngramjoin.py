@@ -52,6 +52,8 @@ SLOT_BLOCK = 1 << 16
 PARITIES = 256
 #: Columns of these bits, 64 in each.
 PARITY = [f"p{k}" for k in range(1, PARITIES // 64 + 1)]
+#: Larger sets also have so many parities, with which their pairs are filtered once more before any text moves.
+WIDE_FROM, WIDE_PARITIES = 600, 4096
 #: Members of a list in one salted block of the last join.
 BLOCK_ROWS = 512
 #: Bytes of sets that one group of checked pairs holds, about (both sets of every pair counted).
@@ -118,9 +120,9 @@ def _order(summaries: DataFrame) -> np.ndarray:
     return counts
 
 
-def _parities(items: np.ndarray) -> np.ndarray:
-    """Whether each remainder modulo ``PARITIES`` is that of an odd number of items, packed into 64-bit numbers."""
-    odd = np.bincount((items % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+def _parities(items: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """Whether each remainder modulo ``bits`` is that of an odd number of items, packed into 64-bit numbers."""
+    odd = np.bincount((items % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -135,8 +137,9 @@ def _prefixes(words: int, percent: int, counts: np.ndarray) -> Callable:
                 order = np.lexsort((items, counts[_slots(items)]))[:short]
                 keys.append(items[order])
             yield pa.RecordBatch.from_arrays(
-                [ids, nodes, pa.array([len(s) for s in sets], pa.int32()), _lists(keys), *map(pa.array, np.stack([_parities(s) for s in sets]).T)],
-                ["id", "node", "n", "keys", *PARITY])
+                [ids, nodes, pa.array([len(s) for s in sets], pa.int32()), _lists(keys), *map(pa.array, np.stack([_parities(s) for s in sets]).T),
+                 pa.array([_parities(s, WIDE_PARITIES) if len(s) > WIDE_FROM else None for s in sets], pa.list_(pa.int64()))],
+                ["id", "node", "n", "keys", *PARITY, "wide"])
 
     return run
 
@@ -201,6 +204,14 @@ def _open_pairs(lists: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs but those of large sets whose many parities differ too much: the suffix filter once more."""
+    side = lambda k: nodes.where("wide is not null").select(F.col("node").alias(k), F.col("wide").alias(f"wide_{k}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(F.coalesce(apart * (100 + percent) <= F.col("n") * (100 - percent), F.lit(True))).select("a", "b", "n")
+
+
 def _maybe_in(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
     """The rows whose key may be among those of ``wanted``, by a bit filter of bounded size."""
     bits = bloom.size_for(wanted.count())
@@ -214,7 +225,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
     meets in one bin; a family too large for a bin is dealt further, by its nodes.  A text
     moves once to each bin that needs it, being smaller than its set, which is made there.
     """
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(_near(materialize(pairs, "pairs"), nodes, percent), "near-pairs")
     bins = max(1, -(-8 * (pairs.agg(F.sum("n")).first()[0] or 0) // CHECK_BYTES))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("a"), F.col("b").alias("low"))  # b is the smaller one
     rooted = pairs.join(ends.groupBy("a").agg(F.min("low").alias("root")), "a")
@@ -271,7 +282,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Few copies get through the bit filter; they post the same class again, which changes no list of two classes.
     first = _maybe_in(texts.where("id is not null"), classes, "id", "class-bits")
     prefixes = first.mapInArrow(
-        _prefixes(words, percent, _order(summaries)), f"id long, node long, n int, keys array<long>, {', '.join(f'{p} long' for p in PARITY)}")
+        _prefixes(words, percent, _order(summaries)), f"id long, node long, n int, keys array<long>, {', '.join(f'{p} long' for p in PARITY)}, wide array<long>")
     prefixes = materialize(prefixes.where("n > 0"), "prefixes")
     posts = prefixes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = materialize(posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared-ngrams")

@@ -53,6 +53,7 @@ def families(rng, count, longest):
 def test_join_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     monkeypatch.setattr(ngramjoin, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ngramjoin, "WIDE_FROM", 30)
     texts = families(rng, 20, 70)
     for words, percent in ((3, 90), (2, 60), (1, 75)):
         want = brute(texts, words, percent)
@@ -77,8 +78,9 @@ def test_filters_never_rule_out_a_link():
     for n in (1, 40, 3000):
         one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         other = np.unique(np.concatenate([one[: len(one) // 2], rng.integers(0, 1 << 63, 30).astype(np.uint64)]))
-        bits = sum(int(x).bit_count() for x in (ngramjoin._parities(one) ^ ngramjoin._parities(other)).view(np.uint64))
-        assert bits <= len(set(one.tolist()) ^ set(other.tolist()))
+        for size in (ngramjoin.PARITIES, ngramjoin.WIDE_PARITIES):
+            bits = sum(int(x).bit_count() for x in (ngramjoin._parities(one, size) ^ ngramjoin._parities(other, size)).view(np.uint64))
+            assert bits <= len(set(one.tolist()) ^ set(other.tolist()))
 
 
 def test_counters_cover_all_documents():
