@@ -68,10 +68,10 @@ def test_all_answer_forms_against_brute_force(spark):
         plain = re.sub(r"\\frac\s*\{\s*(-?\d+)\s*\}\s*\{\s*(-?\d+)\s*\}", r"\1/\2", r.final_answer)
         found = [re.findall(rf"(?i)\b{k}\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)", plain) for k in "xy"]
         want[r.pair_id] = tuple(value(v[-1]) if v else None for v in found)
-    got = entry_module.queries()["str09_assignments_all_forms"](spark, SF).collect()
+    got = entry_module.queries()["str09_assignments"](spark, SF).collect()
     assert len(got) == len(pairs) and {r.pair_id: (value(r.x), value(r.y)) for r in got} == want
     # The equation that the query adds last decides.
-    rows = entry_module.queries()["lbl02_equation_branch_all_forms"](spark, SF).collect()
+    rows = entry_module.queries()["lbl02_equation_branch"](spark, SF).collect()
     assert len(rows) == len(pairs) and all(r.equation_branch == ("QSTAR" if r.pair_id % 4 == 0 else "Q") for r in rows)
 
 
