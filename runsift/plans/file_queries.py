@@ -85,7 +85,7 @@ def _(t):
 @query("src09_shards", EVENT_SQL)
 def _(t):
     root = _by_type(t)
-    shards = [f"{root}/kind={k}" for k in ("click", "error", "purchase", "signup", "view")]
+    shards = [f"{root}/kind={r[0]}" for r in t.events.select("event_type").distinct().collect()]
     return R.read_shards(t.spark, shards, EVENT)
 
 

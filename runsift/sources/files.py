@@ -80,11 +80,14 @@ def read_glob(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def latest_file(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Rows of the newest matching file (the last name on a tie)."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").json(pattern).select(
-        "*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified"))
-    newest = df.agg(F.max(F.struct("modified", "source_file"))["source_file"]).scalar()
-    return df.where(F.col("source_file") == newest).drop("modified")
+    """Rows of the newest matching file (the last name on a tie); other files are listed, not opened."""
+    listed = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")  # content is never read
+    newest = listed.agg(F.max(F.struct("modificationTime", "path"))["path"]).first()[0]
+    if newest is None:
+        raise FileNotFoundError(pattern)
+    # The reader takes a pattern, so the signs of a pattern in the name are escaped.
+    escaped = "".join("\\" + ch if ch in "*?[]{}\\" else ch for ch in newest)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(escaped).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def largest_run(rows: DataFrame, source: str = "source_file") -> DataFrame:

@@ -23,3 +23,13 @@ def test_only_invalid_json_ends_a_file(spark, tmp_path):
     (tmp_path / "typed.jsonl").write_text('{"id":1}\n{"id":"x"}\n{"id":3}\n')
     with pytest.raises(Exception, match="MALFORMED"):
         files.read_jsonl_until_bad(spark, str(tmp_path / "typed.jsonl"), "id bigint").collect()
+
+
+def test_latest_file_opens_no_other(spark, tmp_path):
+    import os
+
+    (tmp_path / "a.json").write_text("not json\n")
+    (tmp_path / "b [1].json").write_text('{"n": 1}\n{"n": 2}\n')
+    os.utime(tmp_path / "a.json", (1, 1))
+    rows = files.latest_file(spark, f"{tmp_path}/*.json", "n int").collect()
+    assert [r.n for r in rows] == [1, 2] and rows[0].source_file.endswith("1%5D.json")
