@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from runsift.llm import balltree, exact, mixing, neardup, negatives, ngramjoin, pieces, quality, runs, secrets, toxicity, warc
-from runsift.llm.shared import documents, materialize
+from runsift.llm.shared import documents
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -135,19 +135,21 @@ h AS (
     || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, html FROM p),
 r AS (
   SELECT page_id, file, head || strlen(html)::VARCHAR || gap || html || gap AS a, head || strlen(copy)::VARCHAR || gap || copy || gap AS b FROM h),
-o AS (
-  SELECT file, (sum(strlen(a)) OVER (PARTITION BY file ORDER BY page_id, sha256(a) ROWS UNBOUNDED PRECEDING) - strlen(a))::BIGINT AS "offset",
-    sha256(a) AS primary_digest, sha256(b) AS replica_digest FROM r)
-SELECT * FROM o WHERE primary_digest IS DISTINCT FROM replica_digest""")
+o AS (SELECT file, (sum(strlen(a)) OVER (PARTITION BY file ORDER BY page_id, sha256(a) ROWS UNBOUNDED PRECEDING) - strlen(a))::BIGINT AS "offset", sha256(a) AS digest FROM r),
+k AS (SELECT file, (sum(strlen(b)) OVER (PARTITION BY file ORDER BY page_id, sha256(b) ROWS UNBOUNDED PRECEDING) - strlen(b))::BIGINT AS "offset", sha256(b) AS digest FROM r WHERE b IS NOT NULL),
+d AS (
+  SELECT coalesce(o.file, k.file) AS file, coalesce(o."offset", k."offset") AS "offset", o.digest AS primary_digest, k.digest AS replica_digest
+  FROM o FULL JOIN k ON o.file IS NOT DISTINCT FROM k.file AND o."offset" = k."offset" WHERE o.digest IS DISTINCT FROM k.digest),
+m AS (SELECT file, replica_digest, min("offset") AS found_at FROM d WHERE replica_digest IS NOT NULL GROUP BY 1, 2)
+SELECT d.*, found_at FROM d LEFT JOIN m ON d.file IS NOT DISTINCT FROM m.file AND d.primary_digest = m.replica_digest""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replica is derived from the pages: some bodies have a changed byte, some records are lost."""
+    """The replica is derived from the pages: some bodies have a changed byte, some records are lost, and it has its own offsets."""
     html = F.coalesce("html", F.lit(""))
     copy = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.expr("substr(coalesce(html, ''), 2)"))).when(
         F.col("page_id") % 211 == 7, F.lit(None)).otherwise(html)
-    records = materialize(warc.record_digests(documents(spark, sf_dir, "pages"), {"first": html, "second": copy}), "records")
-    primary = records.select("file", "offset", F.col("first").alias("digest"))
-    replica = records.where("second is not null").select("file", "offset", F.col("second").alias("digest"))
-    return warc.audit(primary, replica)
+    pages = documents(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"), copy.alias("copy"))
+    primary = warc.record_digests(pages, {"digest": F.col("html")})
+    return warc.audit(primary, warc.record_digests(pages.where("copy is not null"), {"digest": F.col("copy")}))
 
 
 @query("op10_piece_encoding")

@@ -2,8 +2,9 @@
 
 A record has a digest; records whose offsets fall into the same range of
 ``range_bytes`` bytes of a file make a leaf, and ``fanout`` neighbouring nodes
-make a node of the next level, up to one root per file.  A node's hash is that of
-its children's hashes in order.  The roots of two replicas are compared first;
+make a node of the next level, up to one root per file.  A node's hash is that of the
+positions and hashes of its children in order, so a record that stands at another
+offset changes every node above it.  The roots of two replicas are compared first;
 below a root that matches nothing is looked at, and below one that does not, only
 mismatching children are followed, down to the records.
 
@@ -13,6 +14,7 @@ digests; payloads are hashed where they are read and never shuffled.
 
 Defined cases: a null file is a file of its
 own; a record that only one replica holds is reported as missing in the other;
+a null offset is a position of its own and a null digest an empty one;
 records that repeat file and offset are compared as a sorted list of digests; an
 empty replica makes every record of the other missing; two empty ones give no
 rows; further columns are not used.
@@ -54,13 +56,14 @@ def record_digests(pages: DataFrame, bodies: dict[str, Column], file_records: in
 
 
 def _nodes(children: DataFrame, at: Column) -> DataFrame:
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), lambda c: c["hash"]), ",")
+    pair = lambda c: F.concat(F.coalesce(c["at"].cast("string"), F.lit("")), F.lit(":"), c["hash"])
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), pair), ",")
     return children.groupBy("file", at.alias("parent")).agg(F.sha2(ordered, 256).alias("hash")).withColumnRenamed("parent", "at")
 
 
 def build_trees(digests: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> tuple[DataFrame, int]:
     """(level, file, at, hash) of every node, level 0 being the offset ranges, and the level of the roots."""
-    records = digests.select("file", F.col("offset").alias("at"), F.col("digest").alias("hash"))
+    records = digests.select("file", F.col("offset").alias("at"), F.coalesce("digest", F.lit("")).alias("hash"))
     level = materialize(_nodes(records, F.floor(F.col("at") / range_bytes)), "tree-level")
     trees = level.withColumn("level", F.lit(0))
     top, highest = 0, level.agg(F.max("at")).first()[0] or 0
@@ -71,12 +74,17 @@ def build_trees(digests: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int
     return trees, top
 
 
+def _apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(file, at, hash, other) where the hashes of two tables of (file, at, hash) differ or one is missing."""
+    mine = left.withColumn("held", F.lit(True))
+    named = right.select(F.col("file").alias("rf"), F.col("at").alias("ra"), F.col("hash").alias("other"))
+    both = mine.join(named, mine["file"].eqNullSafe(named["rf"]) & mine["at"].eqNullSafe(named["ra"]), "full")
+    side = lambda one, other: F.when(F.col("held"), F.col(one)).otherwise(F.col(other)).alias(one)
+    return both.where(~F.col("hash").eqNullSafe(F.col("other"))).select(side("file", "rf"), side("at", "ra"), "hash", "other")
+
+
 def _differing(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(file, at) where the hashes of two node tables differ or one is missing."""
-    named = right.select(F.col("file").alias("rf"), F.col("at").alias("ra"), F.col("hash").alias("rh"))
-    both = left.join(named, left["file"].eqNullSafe(named["rf"]) & (left["at"] == named["ra"]), "full")
-    apart = both.where(~F.col("hash").eqNullSafe(F.col("rh")))
-    return apart.select(F.when(F.col("at").isNotNull(), F.col("file")).otherwise(F.col("rf")).alias("file"), F.coalesce("at", "ra").alias("at"))
+    return _apart(left, right).select("file", "at")
 
 
 def _below(nodes: DataFrame, parents: DataFrame, width: int) -> DataFrame:
@@ -86,10 +94,14 @@ def _below(nodes: DataFrame, parents: DataFrame, width: int) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """(file, offset, primary_digest, replica_digest) of every record on which (file, offset, digest) tables disagree."""
+    """(file, offset, primary_digest, replica_digest, found_at) of every record on which (file, offset, digest) tables disagree.
+
+    ``found_at`` is the first offset among the replica's disagreeing records of the
+    file that holds the primary's digest: a record that only moved, as all do behind
+    one that was lost or changed its length.  Null means that the replica lacks it.
+    """
     sides = [materialize(d.select("file", "offset", "digest"), "digests") for d in (primary, replica)]
     trees, tops = zip(*[build_trees(d, range_bytes, fanout) for d in sides])
-    top = max(tops)
     # A tree of fewer levels than the other differs at its root, so both are followed from the level they share.
     shared = min(tops)
     levels = [[t.where(F.col("level") == k).drop("level") for k in range(shared + 1)] for t in trees]
@@ -98,10 +110,9 @@ def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES
         wrong = materialize(wrong, "mismatches")
         wrong = _differing(*[_below(side[k], wrong, fanout) for side in levels])
     wrong = materialize(wrong, "mismatches")
-    records = [d.select("file", F.col("offset").alias("at"), "digest") for d in sides]
+    records = [d.select("file", F.col("offset").alias("at"), F.coalesce("digest", F.lit("")).alias("digest")) for d in sides]
     held = [_below(r, wrong, range_bytes).groupBy("file", "at").agg(F.array_join(F.sort_array(F.collect_list("digest")), ",").alias("hash")) for r in records]
-    named = held[1].select(F.col("file").alias("rf"), F.col("at").alias("ra"), F.col("hash").alias("rh"))
-    both = held[0].join(named, held[0]["file"].eqNullSafe(named["rf"]) & (held[0]["at"] == named["ra"]), "full")
-    return both.where(~F.col("hash").eqNullSafe(F.col("rh"))).select(
-        F.when(F.col("at").isNotNull(), F.col("file")).otherwise(F.col("rf")).alias("file"), F.coalesce("at", "ra").alias("offset"),
-        F.col("hash").alias("primary_digest"), F.col("rh").alias("replica_digest"))
+    report = materialize(_apart(*held), "disagreements").select(
+        "file", F.col("at").alias("offset"), F.col("hash").alias("primary_digest"), F.col("other").alias("replica_digest"))
+    moved = report.where("replica_digest is not null").groupBy("file", F.col("replica_digest").alias("primary_digest")).agg(F.min("offset").alias("found_at"))
+    return null_safe_join(report, moved, ["file", "primary_digest"], "left")

@@ -88,6 +88,49 @@ def test_audit_finds_every_change(spark):
     assert warc.audit(nothing, nothing).count() == 0 and warc.audit(nothing, primary.limit(5)).count() == 5
 
 
+def plain_audit(primary, replica):
+    """(file, offset) to the sorted digests of both sides and the first place of the primary's, where the sides disagree."""
+    sides = []
+    for rows in (primary, replica):
+        held = {}
+        for f, o, d in rows:
+            held.setdefault((f, o), []).append(d or "")
+        sides.append({k: ",".join(sorted(v)) for k, v in held.items()})
+    apart = [k for k in sides[0].keys() | sides[1].keys() if sides[0].get(k) != sides[1].get(k)]
+    places = {}
+    for f, o in apart:
+        d = sides[1].get((f, o))
+        if d is not None:
+            places.setdefault((f, d), []).append(o)
+    first = lambda k: min((o for o in places.get((k[0], sides[0].get(k)), []) if o is not None), default=None)
+    return {(*k, sides[0].get(k), sides[1].get(k), first(k)) for k in apart}
+
+
+@pytest.mark.parametrize("change", ["moved in a range", "moved over ranges", "shifted", "swapped", "repeated", "null offsets", "null digests", "shorter tree"])
+def test_audit_equals_comparing_all_records(spark, change):
+    rows = [(f, 9_000 * i, f"{f}-{i}") for f in ("a", "b", None) for i in range(60)]
+    other = list(rows)
+    if change == "moved in a range":
+        other[7] = ("a", 9_000 * 7 + 200, "a-7")
+    elif change == "moved over ranges":
+        other = [(f, o + 70_000 if f == "b" and 70_000 <= o < 140_000 else o, d) for f, o, d in rows if f != "b" or not 140_000 <= o < 210_000]
+    elif change == "shifted":
+        other = [(f, o - 9_000 if f is None and o > 90_000 else o, d) for f, o, d in rows if (f, o) != (None, 90_000)]
+    elif change == "swapped":
+        other[3], other[4] = ("a", rows[3][1], "a-4"), ("a", rows[4][1], "a-3")
+    elif change == "repeated":
+        rows, other = rows + [("b", 18_000, "more")] * 2, rows + [("b", 18_000, "more"), ("a", 0, "a-0")]
+    elif change == "null offsets":
+        rows, other = rows + [("a", None, "x"), (None, None, "y"), ("b", None, "z")], other + [("a", None, "x"), (None, None, "other"), ("c", None, "z")]
+    elif change == "null digests":
+        rows, other = rows + [("a", 5, None), ("b", 5, None), ("b", 6, None)], other + [("a", 5, None), ("a", 5, None), ("b", 5, "d")]
+    else:
+        other = rows[:5]
+    frames = [spark.createDataFrame(r, "file string, offset long, digest string").withColumn("hash", F.lit(1)) for r in (rows, other)]
+    got = [tuple(r) for r in warc.audit(*frames).select("file", "offset", "primary_digest", "replica_digest", "found_at").collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_audit(rows, other)
+
+
 def test_pipeline_against_brute_force(spark):
     from tests.llm.test_dedup import brute
 
