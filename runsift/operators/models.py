@@ -1,9 +1,11 @@
 """Held-out-group classifiers.
 
-All folds are fitted side by side: a Newton step is one distributed pass that
-sums the gradient and curvature of every fold inside the tasks; the driver
-solves the small systems.  A fold may carry its own affine transform (scaling,
-whitened principal components), which also comes from group sums.
+Folds are fitted side by side in blocks whose state fits the driver: a Newton step
+is one distributed pass that sums loss, gradient and curvature of every fold of the
+block inside the tasks; the driver solves the small systems.  A fold may carry its
+own affine transform (scaling, whitened principal components), which also comes
+from sums.  There is no limit to the number of folds, but every fold trains on all
+other rows, so the work is that of folds x rows.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runsift.operators import foldpca
 from runsift.operators.scale import null_safe_join, top_k, with_totals
+from runsift.operators.vectors import vector_sum
 from runsift.session import cut_lineage
 
-STATE_LIMIT = 50_000_000
+#: Numbers that the folds of one block may hold on the driver (256 MB).
+BLOCK_STATE = 1 << 25
 
 
 # ---- text features -----------------------------------------------------------------
@@ -110,152 +115,177 @@ def long_predictions(parts: dict[str, DataFrame], columns: Sequence[str]) -> Dat
 
 @dataclass
 class Fold:
-    """Affine map z = x W + b of a held-out group's model."""
+    """A held-out group: affine map z = x * weight (x W for a matrix, x itself for None) + offset, and its fit."""
 
-    group: object
-    weight: np.ndarray
+    number: int
+    weight: np.ndarray | None
     offset: np.ndarray
+    class_weight: tuple
+    beta: np.ndarray
+    converged: bool = True
+
+
+def _scales(sums: dict, total: tuple) -> dict:
+    """Standardising map of each fold; a constant feature is left unscaled."""
+    out = {}
+    for f, own in sums.items():
+        n, one, two = (t - o for t, o in zip(total, own))
+        mean = one / n
+        std = np.sqrt(np.clip(two / n - mean * mean, 0, None))
+        weight = 1 / np.where(std > 1e-12, std, 1.0)
+        out[f] = weight, -mean * weight, True
+    return out
 
 
-def group_moments(rows: DataFrame, dim: int) -> dict:
-    """n, sum and sum of outer products of the training rows of every group.
-
-    Summed per batch in the tasks and combined by Spark; the driver gets one
-    small record per group.
-    """
-    def partial(batches):
-        import pandas as pd
-
-        for batch in batches:
-            if batch.empty:
-                continue
-            x, g = np.stack(batch["__x"].to_numpy()), batch["__g"].to_numpy()
-            out = []
-            for key in pd.unique(g):
-                m = x[g == key]
-                out.append((key, np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()]).tolist()))
-            yield pd.DataFrame(out, columns=["__g", "__m"])
-
-    kind = dict(rows.dtypes)["__g"]
-    sums = rows.where("__train").select("__g", "__x").mapInPandas(partial, f"__g {kind}, __m array<double>")
-    total = sums.groupBy("__g").agg(vector_to_array(Summarizer.sum(array_to_vector("__m"))).alias("__m"))
-    return {r["__g"]: np.asarray(r["__m"]) for r in total.collect()}
-
-
-def _fold_maps(groups: list, moments: dict, dim: int, transform: str, components: int) -> list[Fold]:
-    total = sum(moments.values(), np.zeros(1 + dim + dim * dim))
-    folds = []
-    for g in groups:
-        m = total - moments.get(g, 0)
-        n, mean = m[0], m[1 : dim + 1] / m[0]
-        cov = m[dim + 1 :].reshape(dim, dim) / n - np.outer(mean, mean)
-        if transform == "scale":
-            # Population deviation; a constant feature is left unscaled.
-            std = np.sqrt(np.clip(np.diag(cov), 0, None))
-            w = np.diag(1 / np.where(std > 1e-12, std, 1.0))
-        elif transform == "pca":
-            k = int(min(components, n - 2, dim))
-            values, vectors = np.linalg.eigh(cov * n / (n - 1))
-            top = np.argsort(values)[::-1][:k]
-            w = vectors[:, top] / np.sqrt(np.clip(values[top], 1e-12, None))
-        else:
-            raise ValueError(transform)
-        folds.append(Fold(g, w, -mean @ w))
-    return folds
+def _sums_of(rows: DataFrame, *keys: str) -> DataFrame:
+    squares = F.transform("__x", lambda v: v * v)
+    rows = rows.withColumn("__x2", squares)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), vector_sum("__x").alias("one"), vector_sum("__x2").alias("two"))
 
 
 def group_held_out_scores(df: DataFrame, row_id: str, group: str, label: str, features: Column, dim: int,
                           transform: str | None = None, components: int = 8, c: float = 1.0, train: Column | None = None,
-                          test: Column | None = None, iterations: int = 25, tol: float = 1e-8) -> DataFrame:
-    """Logistic decision value of every test row from a model without the row's group.
+                          test: Column | None = None, iterations: int = 50, tol: float = 1e-8,
+                          block_state: int = BLOCK_STATE) -> DataFrame:
+    """(row, group, label, score, converged): logistic decision value of every test row from a model without the row's group.
 
     L2 penalty 1/(2c) on the coefficients, balanced classes, each group weighs
-    one in total.  A fold whose training rows hold one class gives null.
+    one in total.  Steps that raise the loss are halved; ``converged`` is false where
+    ``iterations`` passes did not end in a step below ``tol``.
+
+    Defined cases: a null group is a group of its own; a row without a label, or
+    whose features are null, not ``dim`` long or not finite numbers, trains nothing,
+    and such features give a null score; a fold whose training rows hold one class
+    gives null scores and a null ``converged``; no rows give no rows.
     """
+    if transform not in (None, "scale", "pca"):
+        raise ValueError(transform)
     flag = lambda x: F.lit(True) if x is None else x
+    odd = F.exists("__x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = df.select(F.col(row_id).alias("__id"), F.col(group).alias("__g"), F.col(label).cast("int").alias("__y"),
                      features.alias("__x"), flag(train).alias("__train"), flag(test).alias("__test"))
+    rows = rows.withColumn("__x", F.when((F.size("__x") == dim) & ~odd, F.col("__x")))
+    rows = rows.withColumn("__train", F.coalesce(F.col("__train") & F.col("__y").isin(0, 1) & F.col("__x").isNotNull(), F.lit(False)))
+    types = dict(df.dtypes)
+    keys = sorted((r[0] for r in rows.select("__g").distinct().collect()), key=lambda v: (v is not None, v))
+    numbers = df.sparkSession.createDataFrame(list(enumerate(keys)), f"__f int, __g {types[group]}")
     # Every Newton step reads the rows again, so the features are written once.
-    rows = cut_lineage(rows)
-    width = dim + 1
-    most = STATE_LIMIT // (width * width)
-    groups = sorted(r[0] for r in rows.select("__g").distinct().limit(most + 1).collect())
-    if len(groups) > most:
-        raise ValueError(f"more than {most} folds for {dim} features")
-    sizes = rows.where("__train").groupBy("__g", "__y").agg(F.count("*").alias("n")).collect()
-    per_class = {y: sum(r["n"] for r in sizes if r["__y"] == y) for y in (0, 1)}
-    own = {g: {y: 0 for y in (0, 1)} for g in groups}
-    for r in sizes:
-        own[r["__g"]][r["__y"]] = r["n"]
-    if transform:
-        folds = _fold_maps(groups, group_moments(rows, dim), dim, transform, components)
-    else:
-        folds = [Fold(g, np.eye(dim), np.zeros(dim)) for g in groups]
-    left = {g: [per_class[y] - own[g][y] for y in (0, 1)] for g in groups}
-    folds = [f for f in folds if min(left[f.group]) > 0]
-    class_weight = {f.group: [sum(left[f.group]) / (2 * left[f.group][y]) for y in (0, 1)] for f in folds}
-    size = {g: max(1, sum(own[g].values())) for g in groups}
-
-    beta = {f.group: np.zeros(f.weight.shape[1] + 1) for f in folds}
-    active = list(folds)
+    rows = cut_lineage(null_safe_join(rows, numbers, ["__g"]))
+    fit = rows.where("__train").select("__f", "__y", "__x")
+    own = np.zeros((len(keys), 2), np.int64)
+    for r in fit.groupBy("__f", "__y").agg(F.count("*").alias("n")).collect():
+        own[r["__f"], r["__y"]] = r["n"]
+    left = own.sum(axis=0) - own
+    size = np.maximum(1, own.sum(axis=1))
+    usable = [f for f in range(len(keys)) if left[f].min() > 0]
+
+    width = min(components, dim) if transform == "pca" else dim
+    state = 2 * (width + 1) * (width + 2) + 2 * dim * (foldpca.basis_size(dim, components) + width if transform == "pca" else 2)
+    if transform == "pca" and usable:
+        n, mean, matrix = foldpca.scatter(fit, dim)
+    elif transform == "scale" and usable:
+        row = _sums_of(fit).first()
+        total = row["n"], np.asarray(row["one"]), np.asarray(row["two"])
+    step, scored = max(1, block_state // state), []
+    for at in range(0, len(usable), step):
+        block = usable[at : at + step]
+        mine = fit.where(F.col("__f").between(block[0], block[-1])).select("__f", "__x")
+        if transform:
+            none = 0, np.zeros(dim), np.zeros(dim)
+            sums = dict.fromkeys(block, none)
+            sums.update({r["__f"]: (r["n"], np.asarray(r["one"]), np.asarray(r["two"])) for r in _sums_of(mine, "__f").collect() if r["__f"] in sums})
+            if transform == "pca":
+                maps = foldpca.held_out_components(mine, {f: v[:2] for f, v in sums.items()}, n, mean, matrix, components)
+            else:
+                maps = _scales(sums, total)
+        else:
+            maps = {f: (None, np.zeros(dim), True) for f in block}
+        folds = []
+        for f in block:
+            weight, offset, good = maps[f]
+            balance = tuple(left[f].sum() / (2 * left[f]))
+            folds.append(Fold(f, weight, offset, balance, np.zeros(len(offset) + 1), good))
+        _fit(fit, folds, size, c, iterations, tol)
+        scored.append(_score(rows.where(F.col("__f").between(block[0], block[-1])), folds))
+    out = None
+    for part in scored:
+        out = part if out is None else out.unionByName(part)
+    unfit = rows.where(~F.col("__f").isin(usable)) if len(usable) < len(keys) or not keys else None
+    if unfit is not None:
+        rest = unfit.where("__test").select("__id", "__g", "__y", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("converged"))
+        out = rest if out is None else out.unionByName(rest)
+    return out.select(F.col("__id").alias(row_id), F.col("__g").alias(group), F.col("__y").alias("label"), "score", "converged")
+
+
+def _fit(rows: DataFrame, folds: list[Fold], size: np.ndarray, c: float, iterations: int, tol: float) -> None:
+    """Newton's method with step halving, all folds in one pass over the rows a step."""
+    trial = {f.number: f.beta for f in folds}
+    loss, move, active = {}, {}, list(folds)
     for _ in range(iterations):
         if not active:
-            break
-        sums = _newton_sums(rows, active, beta, class_weight, size)
-        still = []
-        for i, f in enumerate(active):
-            k = f.weight.shape[1] + 1
-            grad, hess = sums[i][:k].copy(), sums[i][k:].reshape(k, k).copy()
+            return
+        sums, still = _newton_sums(rows, active, trial, size), []
+        for f in active:
+            i, k = f.number, len(f.offset) + 1
             penalty = np.r_[np.full(k - 1, 1.0 / c), 0.0]
-            grad += penalty * beta[f.group]
-            step = np.linalg.solve(hess + np.diag(penalty + 1e-12), grad)
-            beta[f.group] = beta[f.group] - step
-            if np.max(np.abs(step)) > tol:
+            value = sums[i][0] + (penalty * trial[i] ** 2).sum() / 2
+            if i in loss and not value <= loss[i] + 1e-12 * abs(loss[i]):
+                move[i] = move[i] / 2
+            else:
+                f.beta, loss[i] = trial[i], value
+                gradient = sums[i][1 : k + 1] + penalty * f.beta
+                move[i] = np.linalg.solve(sums[i][k + 1 :].reshape(k, k) + np.diag(penalty + 1e-12), gradient)
+            trial[i] = f.beta - move[i]
+            if np.max(np.abs(move[i])) > tol:
                 still.append(f)
+            elif value <= loss[i]:
+                f.beta = trial[i]
         active = still
-    return _score(rows, folds, beta, row_id, group, dict(df.dtypes))
+    for f in active:
+        f.converged = False
 
 
-def _newton_sums(rows: DataFrame, folds: list[Fold], beta: dict, class_weight: dict, size: dict) -> dict:
+def _newton_sums(rows: DataFrame, folds: list[Fold], beta: dict, size: np.ndarray) -> dict:
     # Plain values only, so that tasks need nothing but numpy and pandas.
-    plans = [(f.group, f.weight, f.offset, beta[f.group], class_weight[f.group]) for f in folds]
+    plans = [(f.number, f.weight, f.offset, beta[f.number], f.class_weight) for f in folds]
+
+    def mapped(x, weight, offset):
+        z = x if weight is None else x * weight if weight.ndim == 1 else x @ weight
+        return np.c_[z + offset, np.ones(len(x))]
 
     def partial(batches):
         import pandas as pd
 
-        acc = [None] * len(plans)
+        acc = {}
         for batch in batches:
             if batch.empty:
                 continue
-            x, y, g = np.stack(batch["__x"].to_numpy()), batch["__y"].to_numpy(), batch["__g"].to_numpy()
-            base = np.asarray([1.0 / size[k] for k in g])
-            for i, (held, weight, offset, b, cw) in enumerate(plans):
-                z = np.c_[x @ weight + offset, np.ones(len(x))]
-                w = base * np.where(y == 1, cw[1], cw[0]) * (g != held)
-                p = 1 / (1 + np.exp(-np.clip(z @ b, -500, 500)))
-                part = np.concatenate([z.T @ (w * (p - y)), ((z * (w * p * (1 - p))[:, None]).T @ z).ravel()])
-                acc[i] = part if acc[i] is None else acc[i] + part
-        out = [(i, a.tolist()) for i, a in enumerate(acc) if a is not None]
-        yield pd.DataFrame(out, columns=["fold", "sums"])
-
-    parts = rows.where("__train").select("__x", "__y", "__g").mapInPandas(partial, "fold int, sums array<double>")
+            x, y, g = np.stack(batch["__x"].to_numpy()), batch["__y"].to_numpy(), batch["__f"].to_numpy()
+            base = 1.0 / size[g]
+            for held, weight, offset, b, balance in plans:
+                z = mapped(x, weight, offset)
+                w = base * np.where(y == 1, balance[1], balance[0]) * (g != held)
+                at = z @ b
+                p = 1 / (1 + np.exp(-np.clip(at, -500, 500)))
+                loss = w @ np.logaddexp(0, np.where(y == 1, -at, at))
+                part = np.concatenate([[loss], z.T @ (w * (p - y)), ((z * (w * p * (1 - p))[:, None]).T @ z).ravel()])
+                acc[held] = acc[held] + part if held in acc else part
+        yield pd.DataFrame({"fold": pd.Series(list(acc), dtype="int32"), "sums": [a.tolist() for a in acc.values()]})
+
+    parts = rows.mapInPandas(partial, "fold int, sums array<double>")
     total = parts.groupBy("fold").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("s"))
     return {r["fold"]: np.asarray(r["s"]) for r in total.collect()}
 
 
-def _score(rows: DataFrame, folds: list[Fold], beta: dict, row_id: str, group: str, types: dict) -> DataFrame:
-    model = {f.group: (f.weight @ beta[f.group][:-1], f.offset @ beta[f.group][:-1] + beta[f.group][-1]) for f in folds}
-
-    def score(batches):
-        import pandas as pd
-
-        for batch in batches:
-            values = [float(np.dot(v, model[g][0]) + model[g][1]) if g in model else None for v, g in zip(batch["__x"], batch["__g"])]
-            yield pd.DataFrame({row_id: batch["__id"], group: batch["__g"], "label": batch["__y"],
-                                "score": pd.array(values, dtype="Float64")})
-
-    schema = f"`{row_id}` {types[row_id]}, `{group}` {types[group]}, label int, score double"
-    return rows.where("__test").select("__id", "__g", "__y", "__x").mapInPandas(score, schema)
+def _score(rows: DataFrame, folds: list[Fold]) -> DataFrame:
+    """Scores of the test rows of these folds; the map and the fit are one linear form a fold."""
+    forms = {}
+    for f in folds:
+        slope = f.beta[:-1] if f.weight is None else f.weight * f.beta[:-1] if f.weight.ndim == 1 else f.weight @ f.beta[:-1]
+        forms[f.number] = [slope.tolist(), float(f.offset @ f.beta[:-1] + f.beta[-1]), bool(f.converged)]
+    table = rows.sparkSession.createDataFrame([(f, *v) for f, v in forms.items()], "__f int, __slope array<double>, __at double, converged boolean")
+    product = F.aggregate(F.zip_with("__x", "__slope", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.where("__test").join(table, "__f").select("__id", "__g", "__y", (product + F.col("__at")).alias("score"), "converged")
 
 
 # ---- any estimator per fold --------------------------------------------------------
