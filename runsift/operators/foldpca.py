@@ -22,7 +22,7 @@ from runsift.operators.vectors import vector_sum
 #: The scatter matrix of this width takes 128 MB on the driver; wider features are refused.
 MOST_FEATURES = 4096
 #: Extra vectors in the first basis, and vectors a basis may hold per wanted component.
-SPARE, BASIS = 8, 16
+SPARE, BASIS = 24, 16
 
 
 def basis_size(dim: int, components: int) -> int:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from runsift.operators.metrics import balanced, roc_auc
 from runsift.operators.scale import global_row_number, null_safe_join
+from runsift.operators.trajectories import moves, strata
 
 
 def _reps(df: DataFrame, n: int) -> DataFrame:
@@ -23,20 +24,12 @@ def permute_labels(df: DataFrame, group: str, variant: str, label: str, repetiti
     """Label vectors moved as a whole between groups with the same variants.
 
     Returns (rep, group, variant, permuted).  Groups alone in their stratum keep
-    their labels.  A group's coverage is an order-free fingerprint, so no group
-    is collected.
+    their labels.
     """
-    cover = df.groupBy(group).agg(
-        F.sum(F.xxhash64(variant).cast("decimal(38,0)")).alias("__h"), F.count("*").alias("__c"))
-    cover = cover.select(group, F.concat_ws(":", "__h", "__c").alias("__stratum"))
-    reps = _reps(cover, repetitions)
-    order = F.xxhash64(F.lit(seed), F.col("rep"), F.col(group))
-    targets = global_row_number(reps, ["rep", "__stratum"], [group], "__pos")
-    sources = global_row_number(reps.withColumn("__o", order), ["rep", "__stratum"], ["__o", group], "__pos")
-    moved = targets.join(
-        sources.select("rep", "__stratum", "__pos", F.col(group).alias("__source")), ["rep", "__stratum", "__pos"])
+    places = strata(df, group, variant)
+    moved = moves(places, group, repetitions, seed).select("rep", group, F.col("source").alias("__source"))
     labels = df.select(F.col(group).alias("__source"), variant, F.col(label).alias("permuted"))
-    return moved.select("rep", group, "__source").join(labels, "__source").select("rep", group, variant, "permuted")
+    return null_safe_join(moved, labels, ["__source"]).select("rep", group, variant, "permuted")
 
 
 def permutation_p(null: DataFrame, observed: Column, statistic: str) -> DataFrame:

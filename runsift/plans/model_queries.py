@@ -10,6 +10,7 @@ from runsift.operators import pivots as P
 from runsift.operators import resampling as X
 from runsift.operators import sorts as O
 from runsift.operators import textmodel
+from runsift.operators import trajectories
 from runsift.operators import vectors as V
 from runsift.plans import standins  # noqa: F401
 from runsift.plans.registry import query
@@ -297,30 +298,39 @@ def _(t):
     return r6(out.select("monitor", "n", "accuracy", "balanced_accuracy"), "accuracy", "balanced_accuracy")
 
 
-def _null(t, reps):
-    rows = vectors(t.embeddings).withColumn("variant", c("row_id"))
-    one = t.embeddings.select((c("vec_id") % 29).alias("group_id"), F.floor(c("vec_id") / 29).alias("variant"), F.when(c("label") < 5, 1).otherwise(0).alias("label"))
-    moved = X.permute_labels(one, "group_id", "variant", "label", reps, 20260717)
-    rows = rows.drop("label").withColumn("variant", F.floor(c("row_id") / 29)).join(moved, ["group_id", "variant"])
-    scored = V.centroid_scores(rows, "row_id", "group_id", "permuted", "vec", ["rep", "depth"])
-    return M.roc_auc(scored, ["rep", "depth"], "permuted", "score")
+# Draws of a repetition: the groups of equal coverage by SHA-256 of seed, repetition and group.
+MOVES = """
+WITH l AS (SELECT vec_id, vec_id % 29 AS g, vec_id // 29 AS variant, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, embedding FROM embeddings),
+st AS (SELECT g, string_agg(variant::VARCHAR, ',' ORDER BY variant) AS stratum FROM l GROUP BY 1),
+pl AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY g) AS pos FROM st),
+dr AS (SELECT rep, stratum, g AS source, row_number() OVER (PARTITION BY rep, stratum ORDER BY sha256(concat('SEED:', rep, ':', g)), g) AS pos FROM pl, (SELECT unnest(range(REPS)) AS rep)),
+mv AS (SELECT rep, pl.g, source FROM dr JOIN pl USING (stratum, pos))
+"""
+TRAJECTORIES = MOVES.replace("SEED", "7").replace("REPS", "400") + """
+SELECT rep, mv.g AS group_id, CAST(sum(y) AS BIGINT) AS positives, CAST(sum(y * (variant + 1)) AS BIGINT) AS places, count(*) AS "rows" FROM mv JOIN l ON l.g = source GROUP BY 1, 2"""
+
+
+def _variants(t):
+    return c("vec_id").alias("row_id"), (c("vec_id") % 29).alias("group_id"), F.floor(c("vec_id") / 29).alias("variant")
 
 
-@query("rsm01_trajectory_permutation", """
-WITH l AS (SELECT vec_id % 29 AS g, (label < 5)::INT AS y, count(*) OVER (PARTITION BY vec_id % 29) AS n FROM embeddings)
-SELECT rep, n, CAST(sum(y) AS BIGINT) AS positives, count(*) AS "rows" FROM l, (SELECT unnest(range(20)) AS rep) GROUP BY 1, 2""")
+@query("rsm01_trajectory_permutation", TRAJECTORIES)
 def _(t):
-    one = t.embeddings.select((c("vec_id") % 29).alias("group_id"), F.floor(c("vec_id") / 29).alias("variant"), F.when(c("label") < 5, 1).otherwise(0).alias("label"))
-    moved = X.permute_labels(one, "group_id", "variant", "label", 20, 7)
-    sizes = one.groupBy("group_id").agg(F.count("*").alias("n"))
-    # The labels of a stratum are kept as a multiset by every repetition.
-    return moved.join(sizes, "group_id").groupBy("rep", "n").agg(F.sum("permuted").alias("positives"), F.count("*").alias("rows"))
+    one = t.embeddings.select(*_variants(t), F.when(c("label") < 5, 1).otherwise(0).alias("label"))
+    moved = X.permute_labels(one, "group_id", "variant", "label", 400, 7)
+    return moved.groupBy("rep", "group_id").agg(
+        F.sum("permuted").alias("positives"), F.sum(c("permuted") * (c("variant") + 1)).alias("places"), F.count("*").alias("rows"))
+
+
+def _null(t, reps):
+    rows = vectors(t.embeddings).withColumn("variant", F.floor(c("row_id") / 29))
+    return trajectories.null_aucs(rows, "row_id", "group_id", "variant", "label", "vec", ["depth"], reps, 20260717)
 
 
 @query("rsm02_permutation_p")
 def _(t):
     observed = M.roc_auc(_scores(t), ["depth"], "label", "score").agg(F.max("roc_auc")).scalar()
-    null = X.max_statistic(_null(t, 2000), "rep", "roc_auc")
+    null = X.max_statistic(cut_lineage(_null(t, 2000)), "rep", "roc_auc")
     return r6(X.permutation_p(null, observed, "roc_auc"), "p_value", "null_q95")
 
 
