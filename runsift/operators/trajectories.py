@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsift.operators.metrics import roc_auc
@@ -36,6 +36,11 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def strata(df: DataFrame, group: str, variant: str) -> DataFrame:
     """(group, stratum, pos): groups with the same variants share a stratum and are numbered in it from 1.
 
@@ -59,16 +64,9 @@ def moves(places: DataFrame, group: str, repetitions: int, seed: int) -> DataFra
     return drawn.join(places, ["stratum", "pos"]).select("rep", group, "stratum", "pos", "source", "source_pos")
 
 
-def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str, vec: str, by: Sequence[str],
-                repetitions: int, seed: int, bundle: int = BUNDLE, block: int = BLOCK) -> DataFrame:
-    """(by..., rep, permuted, score) of every row and repetition: unit centroids of the moved labels without the row's group.
-
-    Groups alone in their stratum keep their labels; where a group repeats a
-    variant, its largest label counts, and a null label counts as 0; a class without rows outside the group gives
-    a null score; a row without a vector takes no part.  A null group is a group
-    and a null variant a variant.
-    """
-    keys = list(by)
+def _scored_bundles(df: DataFrame, row_id: str, group: str, variant: str, label: str, vec: str, keys: list[str],
+                    repetitions: int, seed: int, bundle: int, block: int) -> tuple[DataFrame, str]:
+    """(k0..., block, n, u, labels, src, c): bundles beside the centroids of their group, and the schema of the keys."""
     rows = df.where(F.col(vec).isNotNull())
     places = _written(strata(df.select(group, variant).distinct(), group, variant), "strata")
     known = null_safe_join(df.groupBy(group, variant).agg(F.coalesce(F.max(label).cast("int"), F.lit(0)).alias("__l")), places, [group])
@@ -91,7 +89,7 @@ def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str
             out = []
             for u, lab, n in zip(batch["u"], batch["labels"], batch["n"]):
                 u, lab = np.c_[u.reshape(n, -1), np.ones(n)], lab.reshape(n, -1).astype(float)
-                out.append(np.vstack([lab.T @ u, u.sum(axis=0)]).ravel().tolist())
+                out.append(np.vstack([lab.T @ u, u.sum(axis=0)]).ravel())
             yield pd.DataFrame({**{k: batch[k] for k in [*keys, "stratum", "pos"]}, "sums": out})
 
     kinds = dict(bundles.dtypes)
@@ -121,9 +119,10 @@ def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str
                 key = tuple(getattr(row, f"k{i}") for i in range(len(keys))) + (row.block,)
                 both = np.stack(picks(row.sums, row.m, row.src))
                 total[key] = total[key] + both if key in total else both
-            out = pd.DataFrame(list(total), columns=[*keys, "block"])
-            out["total"] = [v.ravel().tolist() for v in total.values()]
-            yield out
+            if total:
+                out = pd.DataFrame(list(total), columns=[*keys, "block"])
+                out["total"] = [v.ravel() for v in total.values()]
+                yield out
 
     named = picked.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "block", "sums", "m", "src")
     totals = named.mapInPandas(class_sums, f"{head}block bigint, total array<double>")
@@ -140,13 +139,31 @@ def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str
                 rest[rest[:, :, -1] < 0.5] = np.nan
                 body = rest[:, :, :-1]
                 unit = body / np.maximum(np.sqrt((body * body).sum(axis=2, keepdims=True)), 1e-12)
-                out.append((unit[0] - unit[1]).ravel().tolist())
+                out.append((unit[0] - unit[1]).ravel())
             yield pd.DataFrame({**{k: batch[k] for k in [*keys, "stratum", "pos", "block"]}, "src": batch["src"], "c": out})
 
     both = null_safe_join(picked, totals, [*keys, "block"])
     middle = both.mapInPandas(centroids, f"{head}{place}, block bigint, src array<bigint>, c array<double>")
     middle = _written(middle, "centroids")
 
+    pairs = null_safe_join(bundles, middle, [*keys, "stratum", "pos"])
+    pairs = pairs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "block", "n", "u", "labels", "src", "c")
+    # The products behind this are dear for the bytes they read, so their number of tasks is not left to the size of the rows.
+    return pairs.repartition(_tasks(df)), head
+
+
+def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str, vec: str, by: Sequence[str],
+                repetitions: int, seed: int, bundle: int = BUNDLE, block: int = BLOCK) -> DataFrame:
+    """(by..., rep, permuted, score) of every row and repetition: unit centroids of the moved labels without the row's group.
+
+    Groups alone in their stratum keep their labels; where a group repeats a
+    variant, its largest label counts, and a null label counts as 0; a class without
+    rows outside the group gives a null score; a row without a vector takes no part.
+    A null group is a group and a null variant a variant.
+    """
+    keys = list(by)
+    pairs, head = _scored_bundles(df, row_id, group, variant, label, vec, keys, repetitions, seed, bundle, block)
+
     def score(batches):
         import pandas as pd
 
@@ -159,14 +176,130 @@ def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str
                     **out, "rep": np.tile(row.block * block + np.arange(r), n), "permuted": row.labels.reshape(n, -1)[:, row.src].ravel(),
                     "score": pd.array(values.ravel(), dtype="Float64")})
 
-    pairs = null_safe_join(bundles, middle, [*keys, "stratum", "pos"])
-    pairs = pairs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "block", "n", "u", "labels", "src", "c")
     out = pairs.mapInPandas(score, f"{head}rep bigint, permuted int, score double")
     return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
 def null_aucs(df: DataFrame, row_id: str, group: str, variant: str, label: str, vec: str, by: Sequence[str],
-              repetitions: int, seed: int) -> DataFrame:
-    """(rep, by..., roc_auc) of the null scores."""
-    scored = null_scores(df, row_id, group, variant, label, vec, by, repetitions, seed)
-    return roc_auc(scored.where("score is not null"), ["rep", *by], "permuted", "score")
+              repetitions: int, seed: int, bundle: int = BUNDLE, block: int = BLOCK, cells: int = 1 << 16, most: int = 4096) -> DataFrame:
+    """(rep, by..., roc_auc) of the null scores, exact; null where a repetition has one class.
+
+    Scores lie in [-2, 2].  A histogram of ``cells`` cells over all repetitions cuts
+    them into ranges of about ``most`` scores a repetition; scores move packed by
+    (block, range) and are ranked there, and ranges meet through their counts.  A
+    single cell with more scores than that is ranked row by row over many tasks.
+    """
+    keys = list(by)
+    pairs, head = _scored_bundles(df, row_id, group, variant, label, vec, keys, repetitions, seed, bundle, block)
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def scores(row):
+        n, r = int(row.n), len(row.src)
+        values = (row.u.reshape(n, -1) @ row.c.reshape(r, -1).T).ravel()
+        at = np.flatnonzero(~np.isnan(values))
+        values = values[at]
+        cell = np.clip(((values + 2) * (cells / 4)).astype(np.int64), 0, cells - 1)
+        return values, cell, row.labels.reshape(n, -1)[:, row.src].ravel()[at].astype(bool), np.tile(np.arange(r), n)[at]
+
+    def histogram(batches):
+        import pandas as pd
+
+        total = {}
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in names)
+                total[key] = total.get(key, 0) + np.bincount(scores(row)[1], minlength=cells)
+        if total:
+            out = pd.DataFrame(list(total), columns=keys) if keys else pd.DataFrame(index=range(len(total)))
+            out["counts"] = [v.astype(float) for v in total.values()]
+            yield out
+
+    def ranges(batches):
+        """First cell of each range, and which ranges are one overfull cell."""
+        import pandas as pd
+
+        for batch in batches:
+            place, hot = [], []
+            for counts in batch["counts"]:
+                full = counts > most * repetitions
+                before = np.cumsum(counts) - counts
+                # A new range starts at, and after, an overfull cell, and where the running count passes a multiple.
+                steps = np.floor(before / (most * repetitions))
+                starts = np.r_[True, (np.diff(steps) > 0) | full[1:] | full[:-1]]
+                place.append(np.flatnonzero(starts))
+                hot.append(np.unique(np.cumsum(starts)[full] - 1))
+            yield pd.DataFrame({**{k: batch[k] for k in keys}, "starts": place, "hot": hot})
+
+    counts = pairs.mapInPandas(histogram, f"{head}counts array<double>")
+    # Grouped by a constant beside the keys, since the sum of no vectors is an error without a group.
+    counts = counts.groupBy(*keys, F.lit(1).alias("one")).agg(vector_sum("counts").alias("counts"))
+    cuts = counts.mapInPandas(ranges, f"{head}starts array<int>, hot array<int>")
+    cuts = _written(cuts, "score-ranges")
+
+    def pack(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                values, cell, positive, rep = scores(row)
+                if not len(values):
+                    continue
+                part = np.searchsorted(row.starts, cell, side="right") - 1
+                order = np.argsort(part, kind="stable")
+                found, first = np.unique(part[order], return_index=True)
+                cut = lambda x: np.split(x[order], first[1:])
+                yield pd.DataFrame({
+                    **{k: [getattr(row, n)] * len(found) for k, n in zip(keys, names)}, "block": [row.block] * len(found), "part": found,
+                    "hot": np.isin(found, row.hot), "score": cut(values), "positive": cut(positive), "at": cut(rep)})
+
+    if keys:
+        named = cuts.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)], "starts", "hot")
+        cond = [pairs[f"k{i}"].eqNullSafe(named[f"c{i}"]) for i in range(len(keys))]
+        both = pairs.join(named, cond)
+    else:
+        both = pairs.crossJoin(cuts.limit(1))  # one row: the ranges of the only key
+    fields = "block bigint, part int, hot boolean, score array<double>, positive array<boolean>, at array<int>"
+    packed = _written(both.mapInPandas(pack, f"{head}{fields}"), "packed-scores")
+
+    def wins(batches):
+        """Pairs that the positive wins, ties by half, of each repetition in the range, with the counts of both classes."""
+        import pandas as pd
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                score, positive, at = (np.concatenate([np.asarray(v) for v in x]) for x in (row.score, row.positive, row.at))
+                order = np.lexsort((score, at))
+                score, positive, at = score[order], positive[order].astype(bool), at[order]
+                below = np.cumsum(~positive)
+                new = np.r_[True, (score[1:] != score[:-1]) | (at[1:] != at[:-1])]
+                tie = np.cumsum(new) - 1
+                ends = np.r_[np.flatnonzero(new)[1:], len(score)] - 1
+                upto = below[ends]
+                mid = (np.r_[0, upto[:-1]] + upto) / 2
+                seen, first = np.unique(at, return_index=True)
+                base = np.r_[0, below][first]
+                won = np.add.reduceat(np.where(positive, mid[tie], 0.0), first)
+                ones = np.add.reduceat(positive.astype(np.int64), first)
+                zeros = np.add.reduceat((~positive).astype(np.int64), first)
+                yield pd.DataFrame({
+                    **{k: [getattr(row, n)] * len(seen) for k, n in zip(keys, names)}, "rep": row.block * block + seen, "part": [row.part] * len(seen),
+                    "won": won - base * ones, "ones": ones, "zeros": zeros})
+
+    heads = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    usual = packed.where("not hot").repartition(_tasks(df), *keys, "block", "part").groupBy(*keys, "block", "part").agg(*[F.collect_list(x).alias(x) for x in ("score", "positive", "at")])
+    usual = usual.select(*heads, "block", "part", "score", "positive", "at")
+    found = usual.mapInPandas(wins, f"{head}rep bigint, part int, won double, ones bigint, zeros bigint")
+    dense = packed.where("hot").select(*keys, "block", "part", F.explode(F.arrays_zip("score", "positive", "at")).alias("x"))
+    dense = dense.select(*keys, (F.col("block") * block + F.col("x.at")).alias("rep"), "part", "x.score", F.col("x.positive").cast("int").alias("positive"))
+    if not cuts.where(F.size("hot") > 0).isEmpty():
+        areas = roc_auc(dense, [*keys, "rep", "part"], "positive", "score")
+        sizes = dense.groupBy(*keys, "rep", "part").agg(F.sum("positive").alias("ones"), F.sum(1 - F.col("positive")).alias("zeros"))
+        both = null_safe_join(sizes, areas, [*keys, "rep", "part"])
+        won = F.coalesce(F.col("roc_auc") * F.col("ones") * F.col("zeros"), F.lit(0.0))
+        found = found.unionByName(both.select(*keys, "rep", "part", won.alias("won"), "ones", "zeros"))
+    lower = Window.partitionBy(*keys, "rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("under", F.coalesce(F.sum("zeros").over(lower), F.lit(0)))
+    total = found.groupBy("rep", *keys).agg(
+        F.sum(F.col("won") + F.col("ones") * F.col("under")).alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    area = F.when((F.col("ones") > 0) & (F.col("zeros") > 0), F.col("won") / (F.col("ones").cast("double") * F.col("zeros")))
+    return total.select("rep", *keys, area.alias("roc_auc"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runsift.operators import metrics as M
 from runsift.operators import resampling as X
 from runsift.operators import trajectories as T
 
@@ -62,3 +63,23 @@ def test_missing_class_nulls_and_no_rows(spark):
     odd = run([(1, None, None, 1, [1.0, 0.0]), (2, 2, None, 0, [0.0, 1.0]), (3, 3, 0, 1, [1.0, 1.0]), (4, 4, 0, 0, [0.0, 2.0]), (5, 4, 1, 0, None)])
     assert len(odd) == 12 and all(r["score"] is not None for r in odd)
     assert run([]) == []
+
+
+@pytest.mark.parametrize("by", [["depth"], []])
+@pytest.mark.parametrize("cells, most", [(1 << 16, 4096), (64, 3), (2, 1)])
+def test_aucs_equal_ranking_all_scores(spark, by, cells, most):
+    rng = np.random.default_rng(9)
+    # Few distinct vectors, so that scores tie or differ in the last digit, by the order of sums; small cells and ranges put them on every path.
+    data = [(i, i % 6, i // 6, int(rng.integers(0, 2)), i % 2 if by else 0, rng.integers(0, 2, 3).astype(float).tolist()) for i in range(48)]
+    df = spark.createDataFrame(data, "id int, g int, v int, y int, depth int, vec array<double>").repartition(3)
+    args = ("id", "g", "v", "y", "vec", by, 7, SEED)
+    scored = M.roc_auc(T.null_scores(df, *args).where("score is not null"), ["rep", *by], "permuted", "score")
+    want = {tuple(r[k] for k in ("rep", *by)): r["roc_auc"] for r in scored.collect()}
+    got = {tuple(r[k] for k in ("rep", *by)): r["roc_auc"] for r in T.null_aucs(df, *args, bundle=5, block=3, cells=cells, most=most).collect()}
+    assert got.keys() == want.keys() and len(got) == 7 * (2 if by else 1)
+    assert all(abs(got[k] - want[k]) < 0.02 for k in want) and sum(abs(got[k] - want[k]) < 1e-9 for k in want) >= len(want) - 2
+
+
+def test_aucs_of_no_rows(spark):
+    df = spark.createDataFrame([], "id int, g int, v int, y int, vec array<double>")
+    assert T.null_aucs(df, "id", "g", "v", "y", "vec", [], 3, SEED).collect() == []
