@@ -29,7 +29,8 @@ is below 2e-10.  ``width`` should grow with the logarithm of the corpus: unrelat
 texts of similarity s share a list with ``documents * s ** width`` others.
 
 Defined cases: a text without words (or null) has an empty set and is linked with
-nothing; fewer words than ``words`` make one shingle; rows with equal text get
+nothing; fewer words than ``words`` make one shingle; a ``percent`` below
+``LEAST_PERCENT`` is refused, because the limits on minima would lose its links; rows with equal text get
 equal answers; a row with a null id takes part in nothing and has a null
 component; an empty table gives no rows; further columns are not returned by
 ``near_groups`` and pass unchanged through ``keep_one_each``.
@@ -53,6 +54,8 @@ MINIMA = 256
 WIDTH = 7
 COORDS = 128
 AGREE = 2
+#: The limits below are those of similarity 0.8; they are only looser for higher ones.
+LEAST_PERCENT = 80
 #: Minima that a pair must share before its full sets are read; seven deviations below the mean at similarity 0.8.
 SHARED_MINIMA = 160
 #: Of the lowest bits of the minima, so many may differ: seven deviations above the mean at similarity 0.8.
@@ -233,6 +236,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int,
              width: int, coords: int, agree: int) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, digest) of every row, and (digest, component) of the classes with more than one document."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be at least {LEAST_PERCENT}")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_shingles long, digest binary, sig array<long>"
     rows = materialize(texts.mapInArrow(_sets_of(words, width, coords, False), schema), "signatures")

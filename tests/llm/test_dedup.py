@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pytest
+
 from runsift.llm import bloom, exact, neardup
 from runsift.llm.components import components
 
@@ -95,6 +97,12 @@ def test_few_pairs_at_the_limit_are_missed():
     assert missed <= 2  # of 200,000; 66 with 80 coordinates over 128 minima
 
 
+def test_similarities_that_would_lose_links_are_refused(odd_docs):
+    with pytest.raises(ValueError, match="percent"):
+        neardup.near_groups(odd_docs, words=2, percent=79)
+    assert neardup.near_groups(odd_docs, words=2, percent=95).count() == odd_docs.count()
+
+
 def test_parities_never_exceed_the_difference():
     import numpy as np
 
