@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from runsift.functions.rationals import let
 from runsift.operators.scale import null_safe_join, top_k, with_totals
+from runsift.session import cut_lineage
 
 FLOOR = 1e-12
 
@@ -132,44 +133,45 @@ def leave_one_out_accuracy(df: DataFrame, row_id: str, label: str, vec: str, lay
     return scored.groupBy(layer).agg(F.avg(hit).alias("accuracy"), F.count("*").alias("rows"))
 
 
-def nearest_runs(reference: DataFrame, queries: DataFrame, row_id: str, vec: str, k: int = 8, max_queries: int = 4096) -> DataFrame:
-    """k most similar reference rows of each query by cosine, the query itself left out.
+def _packed(df: DataFrame, row_id: str, vec: str, size: int, part: str) -> DataFrame:
+    """(part, ids, flat): about ``size`` rows a part, dealt by hash; rows without id or vector are left out."""
+    rows = df.where(F.col(row_id).isNotNull() & F.col(vec).isNotNull()).select(F.col(row_id).alias("__id"), doubles(F.col(vec)).alias("__v"))
+    parts = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size))).scalar()
+    rows = rows.groupBy(F.pmod(F.xxhash64("__id"), parts).alias(part)).agg(F.collect_list(F.struct("__id", "__v")).alias("__r"))
+    return rows.select(part, F.transform("__r", lambda r: r["__id"]).alias(f"{part}_ids"), F.flatten(F.transform("__r", lambda r: r["__v"])).alias(f"{part}_flat"))
 
-    Queries go out in blocks of a checked size; each reference batch keeps only
-    its own k best per query, and those lists are merged per query.
+
+def nearest_runs(reference: DataFrame, queries: DataFrame, row_id: str, vec: str, k: int = 8, max_queries: int = 1024, shard_rows: int = 4096) -> DataFrame:
+    """(query_id, row, similarity, rank): the k most similar reference rows of each query by cosine, the query itself left out.
+
+    Queries and references are tables of packed blocks that meet by shard; a
+    meeting is one matrix product that keeps the k best a query, and those lists
+    are merged per query.  Rows without an id or a vector take no part, nor do
+    vectors of length zero; ties go to the smaller id; no queries give no rows.
     """
     import numpy as np
     import pandas as pd
 
-    n = queries.count()
-    blocks = max(1, -(-n // max_queries))
-    parts = []
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == b) if blocks > 1 else queries
-        table = mine.select(row_id, doubles(F.col(vec)).alias("v")).toPandas()
-        if table.empty:
-            continue
-        ids = table[row_id].to_numpy()
-        mat = np.stack(table["v"].to_numpy())
-        mat = mat / np.linalg.norm(mat, axis=1, keepdims=True)
-
-        def best(batches, ids=ids, mat=mat):
-            for batch in batches:
-                if batch.empty:
-                    continue
-                x = np.stack(batch["v"].to_numpy())
-                rid = batch[row_id].to_numpy()
-                sim = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ mat.T
-                sim[rid[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(rid[:, None], sim.shape), -sim), axis=0)[:k]
-                q = np.broadcast_to(np.arange(len(ids)), order.shape)
-                keep = np.isfinite(sim[order, q])
-                yield pd.DataFrame({"query_id": ids[q[keep]], row_id: rid[order[keep]], "similarity": sim[order, q][keep]})
-
-        kind = dict(reference.dtypes)[row_id]
-        src = reference.select(row_id, doubles(F.col(vec)).alias("v"))
-        parts.append(src.mapInPandas(best, f"query_id {kind}, {row_id} {kind}, similarity double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, ["query_id"], [F.desc("similarity"), F.col(row_id)], k)
+    shards = cut_lineage(_packed(reference, row_id, vec, shard_rows, "shard"))
+    blocks = _packed(queries, row_id, vec, max_queries, "block")
+    numbers = shards.agg(F.collect_set("shard")).scalar()
+    meet = blocks.withColumn("shard", F.explode(numbers)).join(shards, "shard")
+
+    def best(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ids, rid = np.asarray(row.block_ids), np.asarray(row.shard_ids)
+                q, x = (np.asarray(v, float).reshape(n, -1) for v, n in ((row.block_flat, len(ids)), (row.shard_flat, len(rid))))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T
+                sim[(rid[:, None] == ids[None, :]) | ~np.isfinite(sim)] = -np.inf
+                # By id first, so that a stable sort by similarity leaves ties in order of ids.
+                by_id = np.argsort(rid, kind="stable")
+                order = by_id[np.argsort(-sim[by_id], axis=0, kind="stable")[:k]]
+                at = np.broadcast_to(np.arange(len(ids)), order.shape)
+                keep = np.isfinite(sim[order, at])
+                yield pd.DataFrame({"query_id": ids[at[keep]], row_id: rid[order[keep]], "similarity": sim[order, at][keep]})
+
+    kind = dict(reference.dtypes)[row_id]
+    found = meet.select("block_ids", "block_flat", "shard_ids", "shard_flat").mapInPandas(best, f"query_id {kind}, `{row_id}` {kind}, similarity double")
+    return top_k(found, ["query_id"], [F.desc("similarity"), F.col(row_id)], k)

@@ -144,11 +144,21 @@ def test_fold_vocabulary_equals_counting(spark):
         assert got[fold] == set(kept)
 
 
-def test_nearest_runs(rows):
-    out = V.nearest_runs(rows, rows.where("row_id < 5"), "row_id", "vec", 3, max_queries=2).collect()
+@pytest.mark.parametrize("sizes", [{}, {"max_queries": 2, "shard_rows": 7}])
+def test_nearest_runs(rows, sizes):
+    out = V.nearest_runs(rows, rows, "row_id", "vec", 3, **sizes).collect()
+    assert len(out) == 3 * N
     u = unit(VEC)
-    for q in range(5):
+    for q in range(N):
         sim = u @ u[q]
         sim[q] = -9
         got = [r["row_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
         assert got == np.argsort(-sim)[:3].tolist()
+
+
+def test_nearest_runs_odd_rows(spark):
+    data = [("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [4.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(data, "id string, vec array<double>")
+    found = [(r["query_id"], r["id"], r["rank"]) for r in V.nearest_runs(df, df, "id", "vec", 1, 1, 1).collect()]
+    assert sorted(found) == [("a", "b", 1), ("b", "a", 1), ("c", "a", 1)]
+    assert V.nearest_runs(df, df.limit(0), "id", "vec").collect() == [] and V.nearest_runs(df.limit(0), df, "id", "vec").collect() == []
