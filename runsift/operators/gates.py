@@ -22,13 +22,6 @@ def row_problems(df: DataFrame, row_id: str, rules: dict[str, Column]) -> DataFr
     return df.select(F.explode(hits).alias("rule"), F.col(row_id).cast("string").alias("id"))
 
 
-def new_rows(batch: DataFrame, store: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Rows of a batch whose id is not stored yet, one per id (first by ``order``)."""
-    from runsift.operators.scale import keep_one
-
-    return keep_one(batch.join(store.select(key), key, "left_anti"), [key], order)
-
-
 def exact_ids(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     """Duplicate, missing and extra ids of an observed table against the planned one.
 

@@ -8,6 +8,7 @@ from runsift.plans.registry import query
 from runsift.session import scratch_path
 from runsift.sources import files as R
 from runsift.sources import sinks as W
+from runsift.sources.store import KeyedStore
 from runsift.streaming import ingest as I
 
 EVENT = "event_id bigint, user_id bigint, event_type string, value double"
@@ -121,7 +122,7 @@ def _(t):
     path = scratch_path(t.spark, "append")
     W.append_new(_events(t).where("event_id % 3 <> 0"), path, EVENT, "event_id", [F.col("user_id")])
     W.append_new(_events(t), path, EVENT, "event_id", [F.col("user_id")])
-    return R.read_jsonl(t.spark, path, EVENT)
+    return W.read_appended(t.spark, path, EVENT, "event_id")
 
 
 @query("snk03_csv_key_union", """
@@ -173,32 +174,38 @@ def _(t):
     rows = t.events.select("event_id", "event_type")
     rows.unionByName(rows.where("event_id % 4 = 0")).write.json(f"{root}/in")
     stream = I.read_stream(t.spark, f"{root}/in", "event_id bigint, event_type string", 1)
-    I.keyed_ingest(stream, f"{root}/store", f"{root}/checkpoint", "event_id", ["event_type"]).awaitTermination()
-    return t.spark.read.parquet(f"{root}/store").select("event_id", "event_type")
+    store = KeyedStore(t.spark, f"{root}/store", "event_id bigint, event_type string", ["event_id"])
+    I.keyed_ingest(stream, store, f"{root}/checkpoint", ["event_type"]).awaitTermination()
+    return store.read()
 
 
-@query("stm02_running_progress")
+@query("stm02_running_progress", """
+WITH beats AS (SELECT event_type, date_trunc('day', ts) AS beat_start, count(*) AS completed FROM events GROUP BY 1, 2)
+SELECT event_type, CAST(beat_start AS TIMESTAMP) AS beat_start, completed, CAST(sum(completed) OVER w AS BIGINT) AS so_far,
+  CAST(sum(completed) OVER (PARTITION BY event_type) AS BIGINT) AS expected, completed / 86400.0 AS rows_per_second,
+  CAST(sum(completed) OVER w AS DOUBLE) / sum(completed) OVER (PARTITION BY event_type) AS share
+FROM beats WINDOW w AS (PARTITION BY event_type ORDER BY beat_start)""")
 def _(t):
+    # Every batch holds rows of all days, so all but the first are late.
     root = scratch_path(t.spark, "progress")
-    t.events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).write.json(f"{root}/in")
-    stream = I.read_stream(t.spark, f"{root}/in", "event_id bigint, event_type string, ts timestamp")
-    expected = t.events.groupBy("event_type").agg(F.count("*").alias("expected"))
-    out = I.running_progress(stream, expected, ["event_type"], "ts", "1 day")
-    sink = lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}")
-    out.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").drop("batch")
+    rows = t.events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows.repartition(4, F.xxhash64("event_id")).write.json(f"{root}/in")
+    stream = I.read_stream(t.spark, f"{root}/in", "event_id bigint, event_type string, ts timestamp", 1)
+    store = I.progress_store(t.spark, f"{root}/store", "event_type string")
+    I.running_progress(stream, store, f"{root}/checkpoint", "ts", "1 day").awaitTermination()
+    return I.progress_report(store, t.events.groupBy("event_type").agg(F.count("*").alias("expected")))
 
 
 @query("stm03_resume", "SELECT event_id, event_type FROM events")
 def _(t):
     root = scratch_path(t.spark, "resume")
     rows = t.events.select("event_id", "event_type")
+    store = KeyedStore(t.spark, f"{root}/store", "event_id bigint, event_type string", ["event_id"])
     run = lambda: I.keyed_ingest(
-        I.read_stream(t.spark, f"{root}/in", "event_id bigint, event_type string"), f"{root}/store", f"{root}/checkpoint",
-        "event_id", ["event_type"]).awaitTermination()
+        I.read_stream(t.spark, f"{root}/in", "event_id bigint, event_type string"), store, f"{root}/checkpoint",
+        ["event_type"]).awaitTermination()
     rows.where("event_id % 2 = 0").write.mode("append").json(f"{root}/in")
     run()
     rows.write.mode("append").json(f"{root}/in")
     run()
-    return t.spark.read.parquet(f"{root}/store").select("event_id", "event_type")
+    return store.read()

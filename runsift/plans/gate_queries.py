@@ -7,6 +7,8 @@ from runsift.operators import gates as G
 from runsift.operators import joins as J
 from runsift.plans import standins  # noqa: F401
 from runsift.plans.registry import query
+from runsift.session import scratch_path
+from runsift.sources.store import KeyedStore
 
 MASKS = ["none", "question", "cot", "question_and_cot"]
 
@@ -15,9 +17,10 @@ MASKS = ["none", "question", "cot", "question_and_cot"]
 SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem
 WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1""")
 def _(t):
-    batch = t.lineitem.select("l_orderkey", "l_linenumber")
-    store = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return G.new_rows(batch, store, "l_orderkey", [F.col("l_linenumber")])
+    store = KeyedStore(t.spark, scratch_path(t.spark, "keyed"), "l_orderkey bigint, l_linenumber int", ["l_orderkey"])
+    stored = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"))
+    store.append(stored, [F.col("l_linenumber")])
+    return store.append(t.lineitem.select("l_orderkey", "l_linenumber"), [F.col("l_linenumber")])
 
 
 @query("set01_exact_ids", """

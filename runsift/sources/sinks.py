@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsift.functions.hashing import utc_timestamp
 from runsift.functions.projections import nested_as_json
-from runsift.operators.gates import new_rows
+from runsift.sources.store import KeyedStore
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -20,12 +20,18 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def append_new(batch: DataFrame, path: str, schema: str, key: str, order: Sequence[Column]) -> None:
-    """Append the rows whose id is not stored yet; running it twice changes nothing."""
-    from runsift.sources.files import read_jsonl
+def append_new(batch: DataFrame, path: str, schema: str, key: str, order: Sequence[Column]) -> DataFrame:
+    """Append the rows whose id is not stored yet to a keyed JSONL store; returns the rows stored.
 
-    store = read_jsonl(batch.sparkSession, path, schema)
-    append_jsonl(new_rows(batch, store, key, order), path)
+    Running it twice changes nothing.  Only the buckets of the batch's ids are
+    read; ``read_appended`` reads the whole store.
+    """
+    return KeyedStore(batch.sparkSession, path, schema, [key], "json").append(batch, order)
+
+
+def read_appended(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """All rows of a keyed JSONL store."""
+    return KeyedStore(spark, path, schema, [key], "json").read()
 
 
 def write_csv_union(parts: Sequence[DataFrame], path: str) -> None:

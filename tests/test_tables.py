@@ -14,7 +14,6 @@ from runsift.operators import scale
 from runsift.operators import summary as S
 from runsift.sources import files as R
 from runsift.sources import sinks as W
-from runsift.streaming import ingest as I
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -141,21 +140,12 @@ def test_append_is_idempotent_and_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b",\nc'), (2, None), (1, "z")], schema)
     for _ in range(2):
         W.append_new(df, path, schema, "id", [F.col("t")])
-    assert sorted(r["id"] for r in R.read_jsonl(spark, path, schema).collect()) == [1, 2]
+    assert sorted(r["id"] for r in W.read_appended(spark, path, schema, "id").collect()) == [1, 2]
     W.write_csv(df.limit(1).withColumn("n", F.struct("id")), str(tmp_path / "csv"))
     r = R.read_csv_strings(spark, str(tmp_path / "csv"), ["id", "t", "n"]).first()
     assert (r["t"], r["n"]) == ('a "b",\nc', '{"id":1}')
 
 
-def test_stream_ingest_is_idempotent(spark, tmp_path):
-    src, store, cp = (str(tmp_path / x) for x in ("in", "store", "cp"))
-    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "id int, t string")
-    for _ in range(2):
-        df.write.mode("append").json(src)
-        I.keyed_ingest(I.read_stream(spark, src, "id int, t string"), store, cp, "id", ["t"]).awaitTermination()
-    assert sorted((r["id"], r["t"]) for r in spark.read.parquet(store).collect()) == [(1, "a"), (2, "c")]
-
-
 def test_entry_needs_no_session_to_list_queries():
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
