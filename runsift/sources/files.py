@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runsift.operators.scale import with_totals
+from runsift.sources.blocks import blocks_of, json_elements
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:
@@ -79,8 +81,57 @@ def read_glob(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(pattern).withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def list_files(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
+    """(path, length) of all matching files; none is opened.
+
+    Tasks are planned by size.  Scans skip files of no bytes, so those are the
+    names of the listing that the scan does not return.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(pattern)
+    filled = found.select("path", "length")  # content is never read
+    names = [(unquote(uri).replace("file:///", "file:/", 1),) for uri in found.inputFiles()]
+    empty = spark.createDataFrame(names, "path string").join(filled, "path", "left_anti")
+    return filled.unionByName(empty.withColumn("length", F.lit(0).cast("bigint")))
+
+
+def read_array_glob(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """Rows of all matching files that hold one JSON array of objects (or one object) each.
+
+    Adds ``source_file`` and ``position``, the place in the array from 0.  A task
+    reads a file in blocks and passes its elements on as it finds them, so no
+    array is held whole.  No matching file, a torn or empty file, an element
+    that is no object, or one that does not fit the schema fails the job; an
+    empty array has no rows.  Schema columns of those two names raise.
+    """
+    taken = {"source_file", "position"} & set(spark.createDataFrame([], schema).columns)
+    if taken:
+        raise ValueError("columns added by the reader: " + ", ".join(sorted(taken)))
+    if not _exists(spark, pattern):
+        raise FileNotFoundError(pattern)
+    listed = list_files(spark, pattern).select("path")
+
+    def elements(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for path in batch["path"]:
+                name, rows, size = path.rsplit("/", 1)[-1], [], 0
+                for position, text in enumerate(json_elements(blocks_of(path), path)):
+                    rows.append((name, position, text))
+                    size += len(text)
+                    if size > 4 << 20:
+                        yield pd.DataFrame(rows, columns=["source_file", "position", "value"])
+                        rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=["source_file", "position", "value"])
+
+    found = listed.mapInPandas(elements, "source_file string, position bigint, value string")
+    return found.select("source_file", "position", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select(
+        "row.*", "source_file", "position")
+
+
 def latest_file(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Rows of the newest matching file (the last name on a tie); other files are listed, not opened."""
+    """Rows of the newest matching file that is not empty (the last name on a tie); other files are listed, not opened."""
     listed = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")  # content is never read
     newest = listed.agg(F.max(F.struct("modificationTime", "path"))["path"]).first()[0]
     if newest is None:
@@ -134,10 +185,30 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and sha256 of every file below a folder; temporary names are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = files.where(~F.element_at(F.split("path", "/"), -1).contains(".tmp"))
-    return kept.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, path below ``root``, size and sha256 of every file of a folder; temporary names are skipped.
+
+    The listing opens no file.  Tasks digest the files in blocks, so a file of
+    any size needs the memory of one block; large files get tasks of their own.
+    """
+    listed = list_files(spark, root, recursive=True).where(~F.element_at(F.split("path", "/"), -1).contains(".tmp"))
+
+    def digest(batches):
+        import hashlib
+
+        for batch in batches:
+            sums = []
+            for path in batch["path"]:
+                sha = hashlib.sha256()
+                for block in blocks_of(path):
+                    sha.update(block)
+                sums.append(sha.hexdigest())
+            yield batch.assign(sha256=sums)
+
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    below = F.when(F.startswith("path", F.lit(base + "/")), F.substring("path", len(base) + 2, 2**31 - 1)).otherwise(F.col("path"))
+    out = listed.mapInPandas(digest, "path string, length bigint, sha256 string")
+    return out.select("path", below.alias("relative_path"), F.col("length").alias("size_bytes"), "sha256")
 
 
 def count_lines(spark: SparkSession, pattern: str) -> DataFrame:
