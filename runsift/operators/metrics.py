@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runsift.functions.numeric import correlation_p
 from runsift.functions.projections import is_finite
 from runsift.operators.scale import null_safe_join, running_totals, with_totals
 from runsift.session import cut_lineage
@@ -80,7 +81,7 @@ def metric_bundle(df: DataFrame, keys: Sequence[str], label: str, score: str, gr
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "spearman") -> DataFrame:
-    """Rank correlation with average ranks; null when a side is constant.
+    """Rank correlation with average ranks and its two-sided p-value (``<name>_p``); null when a side is constant.
 
     Both rank tables are built from value counts; rows are collapsed to (a, b)
     counts before they meet their ranks.
@@ -103,4 +104,4 @@ def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "sp
     cov = c("sxy") - c("sx") * c("sy") / c("n")
     vx, vy = c("sxx") - c("sx") * c("sx") / c("n"), c("syy") - c("sy") * c("sy") / c("n")
     value = F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy))
-    return s.select(*keys, c("n"), value.alias(name))
+    return s.select(*keys, c("n"), value.alias(name)).withColumn(f"{name}_p", correlation_p(c(name), c("n")))

@@ -196,10 +196,14 @@ def _(t):
 
 @query("met05_spearman", """
 WITH r AS (SELECT condition, rank() OVER (PARTITION BY condition ORDER BY margin) + (count(*) OVER (PARTITION BY condition, margin) - 1) / 2.0 AS a,
-  rank() OVER (PARTITION BY condition ORDER BY pair_id) + (count(*) OVER (PARTITION BY condition, pair_id) - 1) / 2.0 AS b FROM runs)
-SELECT condition, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1""")
-def _(t):
-    return r6(M.spearman(t.runs, ["condition"], "margin", "pair_id"), "spearman")
+  rank() OVER (PARTITION BY condition ORDER BY pair_id) + (count(*) OVER (PARTITION BY condition, pair_id) - 1) / 2.0 AS b FROM runs),
+s AS (SELECT condition, count(*) AS n, corr(a, b) AS r, count(*) - 2 AS df FROM r GROUP BY 1),
+u AS (SELECT *, sqrt(1 - r * r) AS c FROM s),
+f AS (SELECT *, CASE WHEN df % 2 = 0 THEN abs(r) * list_sum(list_transform(range(df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0) - ln(pi()) / 2 + 2 * k * ln(c))))
+  ELSE 2 / pi() * (asin(abs(r)) + abs(r) * list_sum(list_transform(range((df - 1) // 2), lambda k: exp(lgamma(k + 1.0) + lgamma(1.5) - lgamma(k + 1.5) + (2 * k + 1) * ln(c))))) END AS inner_share FROM u)
+SELECT condition, n, round(r, 6) AS spearman, round(1 - inner_share, 6) AS spearman_p FROM f""")
+def _(t):
+    return r6(M.spearman(t.runs, ["condition"], "margin", "pair_id"), "spearman", "spearman_p")
 
 
 def _texts(t):
