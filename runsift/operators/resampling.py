@@ -11,9 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.operators.metrics import balanced, roc_auc
+from runsift.functions.projections import is_finite
+from runsift.operators.metrics import balanced, metric_bundle, roc_auc
 from runsift.operators.scale import global_row_number, null_safe_join
 from runsift.operators.trajectories import moves, strata
+from runsift.session import cut_lineage
 
 
 def _reps(df: DataFrame, n: int) -> DataFrame:
@@ -46,15 +48,33 @@ def max_statistic(df: DataFrame, rep: str, statistic: str) -> DataFrame:
 
 
 def group_draws(groups: DataFrame, group: str, repetitions: int, seed: int) -> DataFrame:
-    """(rep, group, times): as many groups as there are, drawn with replacement."""
+    """(rep, group, times): as many groups as there are, drawn with replacement.
+
+    A draw is 48 bits of the SHA-256 of seed, repetition and place, so any
+    engine can repeat it.
+    """
     indexed = global_row_number(groups.select(group).distinct(), [], [group], "__i")
     total = groups.select(F.countDistinct(group)).scalar()
     draws = _reps(indexed.select("__i"), repetitions).withColumn("__n", total)
-    pick = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col("__i")), F.col("__n")) + 1).alias("__i")
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("rep"), F.col("__i")), 256)
+    pick = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.col("__n") + 1).alias("__i")
     counted = draws.select("rep", pick).groupBy("rep", "__i").agg(F.count("*").alias("times"))
     return counted.join(indexed, "__i").select("rep", group, "times")
 
 
+def comparison(long: DataFrame, keys: Sequence[str], label: str, score: str, group: str, repetitions: int = 5000,
+               seed: int = 20260710) -> DataFrame:
+    """Monitors stacked in long form beside all metrics and the bootstrap bounds of the balanced accuracy.
+
+    All monitors share the draws, so their bounds can be compared.  Rows without
+    a finite score count for no monitor; a monitor whose draws never hold both
+    classes has null bounds.
+    """
+    rows = cut_lineage(long.where(is_finite(F.col(score))).select(*keys, label, score, group))
+    bounds = cluster_bootstrap(rows, keys, group, label, score, "balanced_accuracy", repetitions, seed)
+    return null_safe_join(metric_bundle(rows, keys, label, score, group), bounds, list(keys), "left")
+
+
 def cluster_bootstrap(df: DataFrame, keys: Sequence[str], group: str, label: str, score: str, metric: str = "balanced_accuracy",
                       repetitions: int = 5000, seed: int = 20260710) -> DataFrame:
     """2.5 and 97.5 percentiles of a metric over group draws; one-class draws are skipped.

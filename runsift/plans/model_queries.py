@@ -170,9 +170,12 @@ def _margins(t):
         F.floor(c("margin") / 700).cast("double").alias("score"))
 
 
-@query("met02_metric_bundle", MARGIN_SQL.rstrip() + BUNDLE.replace("FROM b x JOIN b y ON x.depth = y.depth AND x.label = 1 AND y.label = 0 GROUP BY 1",
-       "FROM (SELECT depth, score, 1 AS label, count(*) AS k, sum(w) AS w FROM b WHERE label = 1 GROUP BY 1, 2) x JOIN (SELECT depth, score, count(*) AS k, sum(w) AS w FROM b WHERE label = 0 GROUP BY 1, 2) y ON x.depth = y.depth GROUP BY 1")
-       .replace("avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END)", "sum(x.k * y.k * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) / sum(x.k * y.k)") + "SELECT * FROM f")
+COUNTED_BUNDLE = (BUNDLE.replace("FROM b x JOIN b y ON x.depth = y.depth AND x.label = 1 AND y.label = 0 GROUP BY 1",
+                  "FROM (SELECT depth, score, 1 AS label, count(*) AS k, sum(w) AS w FROM b WHERE label = 1 GROUP BY 1, 2) x JOIN (SELECT depth, score, count(*) AS k, sum(w) AS w FROM b WHERE label = 0 GROUP BY 1, 2) y ON x.depth = y.depth GROUP BY 1")
+                  .replace("avg(CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END)", "sum(x.k * y.k * CASE WHEN x.score > y.score THEN 1.0 WHEN x.score = y.score THEN 0.5 ELSE 0 END) / sum(x.k * y.k)"))
+
+
+@query("met02_metric_bundle", MARGIN_SQL.rstrip() + COUNTED_BUNDLE + "SELECT * FROM f")
 def _(t):
     return r6(M.metric_bundle(_margins(t), ["depth"], "label", "score", "group_id"), *METRICS)
 
@@ -291,15 +294,32 @@ def _(t):
     return Q.long_predictions({"majority": Q.majority(rows), "direct_margin": rows.withColumn("score", c("margin"))}, ["run_id"])
 
 
-@query("mod08_monitor_comparison", """
-WITH p AS (SELECT 'majority' AS monitor, (trace_branch = 'QSTAR')::INT AS y, 1.0 AS s FROM runs UNION ALL SELECT 'direct_margin', (trace_branch = 'QSTAR')::INT, margin FROM runs)
-SELECT monitor, count(*) AS n, round(avg(((s >= 0)::INT = y)::INT), 6) AS accuracy,
-  round((avg((s >= 0)::INT) FILTER (WHERE y = 1) + avg((s < 0)::INT) FILTER (WHERE y = 0)) / 2, 6) AS balanced_accuracy FROM p GROUP BY 1""")
+# Bounds of the balanced accuracy over draws of groups, from a table s(depth, group_id, label, score).
+BOUNDS = """,
+ix AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT group_id FROM s)),
+dw AS (SELECT rep, CAST('0x' || substr(sha256(concat('20260710:', rep, ':', i)), 1, 12) AS BIGINT) % n + 1 AS i FROM ix, (SELECT unnest(range(5000)) AS rep)),
+tm AS (SELECT rep, i, count(*) AS times FROM dw GROUP BY ALL),
+ce AS (SELECT depth, group_id, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 1 AND score >= 0) AS tp,
+  count(*) FILTER (WHERE label = 0) AS q, count(*) FILTER (WHERE label = 0 AND score < 0) AS tn FROM s GROUP BY ALL),
+dr AS (SELECT depth, rep, sum(p * times) AS p, sum(tp * times) AS tp, sum(q * times) AS q, sum(tn * times) AS tn FROM ce JOIN ix USING (group_id) JOIN tm USING (i) GROUP BY ALL),
+bo AS (SELECT depth, count(*) AS repetitions, round(quantile_cont(ba, 0.025), 6) AS ci_low, round(quantile_cont(ba, 0.975), 6) AS ci_high
+  FROM (SELECT depth, (tp / p + tn / q) / 2 AS ba FROM dr WHERE p > 0 AND q > 0) GROUP BY 1)
+"""
+COMPARED = PRIOR[:PRIOR.rstrip().rindex("\n")].rstrip() + """,
+o AS (SELECT run_id, pair_id AS group_id, (trace_branch = 'QSTAR')::INT AS label, margin FROM runs),
+s AS (SELECT 'majority' AS depth, group_id, label, 1.0::DOUBLE AS score FROM o UNION ALL SELECT 'direct_margin', group_id, label, margin::DOUBLE FROM o
+  UNION ALL SELECT 'condition_prior', o.group_id, label, ln(p.p / (1 - p.p)) FROM o JOIN r USING (run_id) JOIN p ON r.condition = p.condition AND r.pair_id = p.pair_id)
+"""
+
+
+@query("mod08_monitor_comparison", COMPARED.rstrip() + COUNTED_BUNDLE.rstrip() + BOUNDS
+       + "SELECT f.* EXCLUDE (depth) REPLACE (CASE WHEN isnan(mcc) OR mcc IS NULL THEN 0 ELSE mcc END AS mcc), f.depth AS monitor, repetitions, ci_low, ci_high FROM f JOIN bo USING (depth)")
 def _(t):
     rows = _labelled(t)
-    long = Q.long_predictions({"majority": Q.majority(rows), "direct_margin": rows.withColumn("score", c("margin"))}, ["run_id", "pair_id", "label"])
-    out = M.metric_bundle(long, ["monitor"], "label", "score", "pair_id")
-    return r6(out.select("monitor", "n", "accuracy", "balanced_accuracy"), "accuracy", "balanced_accuracy")
+    monitors = {"majority": Q.majority(rows), "direct_margin": rows.withColumn("score", c("margin")),
+                "condition_prior": Q.condition_prior(rows, "condition", "pair_id", "label")}
+    long = Q.long_predictions(monitors, ["run_id", "pair_id", "label"])
+    return r6(X.comparison(long, ["monitor"], "label", "score", "pair_id"), *METRICS, "ci_low", "ci_high")
 
 
 # Draws of a repetition: the groups of equal coverage by SHA-256 of seed, repetition and group.
@@ -338,7 +358,7 @@ def _(t):
     return r6(X.permutation_p(null, observed, "roc_auc"), "p_value", "null_q95")
 
 
-@query("rsm03_cluster_bootstrap")
+@query("rsm03_cluster_bootstrap", MARGIN_SQL.rstrip() + BOUNDS + "SELECT * FROM bo")
 def _(t):
     return r6(X.cluster_bootstrap(_margins(t), ["depth"], "group_id", "label", "score", repetitions=5000), "ci_low", "ci_high")
 

@@ -122,6 +122,27 @@ def test_bootstrap_draws_and_bounds(rows):
         assert 0 <= r["ci_low"] <= r["ci_high"] <= 1
 
 
+def test_comparison_shares_draws_and_equals_plain_bounds(spark, rows):
+    import hashlib
+
+    scored = rows.withColumn("score", F.col("vec")[0])
+    long = scored.withColumn("monitor", F.lit("a")).unionByName(scored.withColumn("monitor", F.lit("b"))).unionByName(
+        scored.withColumn("monitor", F.lit("none")).withColumn("score", F.lit(float("nan"))))
+    got = {r["monitor"]: r.asDict() for r in X.comparison(long, ["monitor"], "label", "score", "g", 60, 5).collect()}
+    assert set(got) == {"a", "b"}
+    assert {k: v for k, v in got["a"].items() if k != "monitor"} == {k: v for k, v in got["b"].items() if k != "monitor"}
+    local = scored.select("g", "label", "score").toPandas()
+    groups, values = sorted(local["g"].unique()), []
+    for rep in range(60):
+        picks = [groups[int(hashlib.sha256(f"5:{rep}:{i}".encode()).hexdigest()[:12], 16) % len(groups)] for i in range(1, len(groups) + 1)]
+        drawn = [local[local["g"] == g] for g in picks]
+        y, up = np.concatenate([d["label"] for d in drawn]), np.concatenate([d["score"] >= 0 for d in drawn])
+        if 0 < y.sum() < len(y):
+            values.append((up[y == 1].mean() + (~up[y == 0]).mean()) / 2)
+    assert got["a"]["repetitions"] == len(values)
+    assert np.allclose([got["a"]["ci_low"], got["a"]["ci_high"]], np.percentile(values, [2.5, 97.5]))
+
+
 def test_fold_vocabulary_equals_counting(spark):
     docs = [(i, i % 3, " ".join(RNG.choice(list("abcdefgh"), size=12))) for i in range(30)]
     df = spark.createDataFrame(docs, "d int, g int, t string")
