@@ -91,9 +91,15 @@ def _(t):
     return df.select("event_id", "event_type", "value", "position", F.col("source_file").startswith("part-").alias("named"))
 
 
-@query("src07_latest_file")
+@query("src07_latest_file", "SELECT event_id, event_type FROM events WHERE event_id // 1000 = (SELECT max(event_id) // 1000 FROM events)")
 def _(t):
-    return R.latest_file(t.spark, f"{_by_type(t)}/kind=*/*.json", EVENT).groupBy("event_type").agg(F.count("*").alias("rows"))
+    # One file per range of ids; the last range is written after all others.
+    root = scratch_path(t.spark, "newest")
+    rows = _events(t).withColumn("range", F.floor(F.col("event_id") / 1000))
+    last = rows.agg(F.max("range")).scalar()
+    for part in (rows.where(F.col("range") < last), rows.where(F.col("range") == last)):
+        part.repartition("range").write.mode("append").partitionBy("range").json(root)
+    return R.latest_file(t.spark, f"{root}/range=*/*.json", EVENT).select("event_id", "event_type")
 
 
 @query("src08_largest_run", """
