@@ -55,7 +55,9 @@ def group_draws(groups: DataFrame, group: str, repetitions: int, seed: int) -> D
     """
     indexed = global_row_number(groups.select(group).distinct(), [], [group], "__i")
     total = groups.select(F.countDistinct(group)).scalar()
-    draws = _reps(indexed.select("__i"), repetitions).withColumn("__n", total)
+    # The groups are few rows, which adaptive execution would leave to one task; their draws are many.
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = _reps(indexed.select("__i").repartition(tasks, "__i"), repetitions).withColumn("__n", total)
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("rep"), F.col("__i")), 256)
     pick = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.col("__n") + 1).alias("__i")
     counted = draws.select("rep", pick).groupBy("rep", "__i").agg(F.count("*").alias("times"))
