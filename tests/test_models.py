@@ -122,6 +122,30 @@ def test_bootstrap_draws_and_bounds(rows):
         assert 0 <= r["ci_low"] <= r["ci_high"] <= 1
 
 
+def test_draws_meet_cells_by_block(spark, monkeypatch):
+    """Draws go packed through many blocks and units; a plan that joins them as rows is taken for small and broadcast."""
+    import hashlib
+
+    monkeypatch.setattr(X, "PLACES", 4)
+    monkeypatch.setattr(X, "DRAWN", 5)
+    data = [(g, k, int(y), float(s)) for g in range(11) for k in ("a", None) for y, s in RNG.normal(size=(4, 2)).round(1) > 0]
+    df = spark.createDataFrame(data, "g int, k string, label int, score double").withColumn("score", F.col("score") - 0.5)
+    pick = lambda rep, i: int(hashlib.sha256(f"3:{rep}:{i}".encode()).hexdigest()[:12], 16) % 11
+    picks = [[pick(rep, i) for i in range(1, 12)] for rep in range(30)]
+    got = {(r["rep"], r["g"]): r["times"] for r in X.group_draws(df, "g", 30, 3).collect()}
+    assert got == {(rep, g): drawn.count(g) for rep, drawn in enumerate(picks) for g in set(drawn)}
+    out = X.cluster_bootstrap(df, ["k"], "g", "label", "score", repetitions=30, seed=3)
+    for r in out.collect():
+        values = []
+        for drawn in picks:
+            rows = np.array([(y, s >= 0.5) for g in drawn for h, k, y, s in data if h == g and k == r["k"]])
+            y, up = rows[:, 0] == 1, rows[:, 1] == 1
+            if 0 < y.sum() < len(y):
+                values.append((up[y].mean() + (~up[~y]).mean()) / 2)
+        assert r["repetitions"] == len(values) and np.allclose([r["ci_low"], r["ci_high"]], np.percentile(values, [2.5, 97.5]))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_comparison_shares_draws_and_equals_plain_bounds(spark, rows):
     import hashlib
 
