@@ -10,7 +10,7 @@ for a repetition, and a hot group is many bundles.
 
 A row of the tables holds (groups of a stratum) x (vector length) numbers, or
 ``BLOCK`` x (vector length).  The scores are rows x repetitions, as the exact
-statistic of each repetition needs them all.
+statistic of each repetition needs them all; for areas they are ranked where they are made.
 """
 
 from __future__ import annotations
@@ -18,10 +18,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.operators.metrics import roc_auc
 from runsift.operators.scale import global_row_number, null_safe_join
 from runsift.operators.vectors import doubles, l2_normalise, vector_sum
 from runsift.session import scratch_path
@@ -65,8 +64,8 @@ def moves(places: DataFrame, group: str, repetitions: int, seed: int) -> DataFra
 
 
 def _scored_bundles(df: DataFrame, row_id: str, group: str, variant: str, label: str, vec: str, keys: list[str],
-                    repetitions: int, seed: int, bundle: int, block: int) -> tuple[DataFrame, str]:
-    """(k0..., block, n, u, labels, src, c): bundles beside the centroids of their group, and the schema of the keys."""
+                    repetitions: int, seed: int, bundle: int, block: int) -> tuple[DataFrame, DataFrame, str]:
+    """(k0..., block, stratum, pos, part, n, u, labels, src, c): bundles beside the centroids of their group; the bundles; the schema of the keys."""
     rows = df.where(F.col(vec).isNotNull())
     places = _written(strata(df.select(group, variant).distinct(), group, variant), "strata")
     known = null_safe_join(df.groupBy(group, variant).agg(F.coalesce(F.max(label).cast("int"), F.lit(0)).alias("__l")), places, [group])
@@ -77,7 +76,7 @@ def _scored_bundles(df: DataFrame, row_id: str, group: str, variant: str, label:
     counts = rows.groupBy(*keys, group).agg(size.alias("__b"))
     rows = null_safe_join(null_safe_join(rows, counts, [*keys, group]), places, [group])
     rows = null_safe_join(rows, known, ["stratum", variant])
-    dealt = rows.groupBy(*keys, "stratum", "pos", F.pmod(F.xxhash64(row_id), F.col("__b")).alias("__part")).agg(
+    dealt = rows.groupBy(*keys, "stratum", "pos", F.pmod(F.xxhash64(row_id), F.col("__b")).alias("part")).agg(
         F.flatten(F.collect_list("__u")).alias("u"), F.flatten(F.collect_list("labels")).alias("labels"), F.count("*").alias("n"))
     bundles = _written(dealt, "bundles")
 
@@ -147,9 +146,8 @@ def _scored_bundles(df: DataFrame, row_id: str, group: str, variant: str, label:
     middle = _written(middle, "centroids")
 
     pairs = null_safe_join(bundles, middle, [*keys, "stratum", "pos"])
-    pairs = pairs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "block", "n", "u", "labels", "src", "c")
-    # The products behind this are dear for the bytes they read, so their number of tasks is not left to the size of the rows.
-    return pairs.repartition(_tasks(df)), head
+    pairs = pairs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "block", "stratum", "pos", "part", "n", "u", "labels", "src", "c")
+    return pairs, bundles, head
 
 
 def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str, vec: str, by: Sequence[str],
@@ -162,7 +160,9 @@ def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str
     A null group is a group and a null variant a variant.
     """
     keys = list(by)
-    pairs, head = _scored_bundles(df, row_id, group, variant, label, vec, keys, repetitions, seed, bundle, block)
+    pairs, _, head = _scored_bundles(df, row_id, group, variant, label, vec, keys, repetitions, seed, bundle, block)
+    # The products are dear for the bytes they read, so their number of tasks is not left to the size of the rows.
+    pairs = pairs.repartition(_tasks(df))
 
     def score(batches):
         import pandas as pd
@@ -181,125 +181,76 @@ def null_scores(df: DataFrame, row_id: str, group: str, variant: str, label: str
 
 
 def null_aucs(df: DataFrame, row_id: str, group: str, variant: str, label: str, vec: str, by: Sequence[str],
-              repetitions: int, seed: int, bundle: int = BUNDLE, block: int = BLOCK, cells: int = 1 << 16, most: int = 4096) -> DataFrame:
+              repetitions: int, seed: int, bundle: int = BUNDLE, block: int = BLOCK, cells: int = 1 << 24, most: int = 1 << 22) -> DataFrame:
     """(rep, by..., roc_auc) of the null scores, exact; null where a repetition has one class.
 
-    Scores lie in [-2, 2].  A histogram of ``cells`` cells over all repetitions cuts
-    them into ranges of about ``most`` scores a repetition; scores move packed by
-    (block, range) and are ranked there, and ranges meet through their counts.  A
-    single cell with more scores than that is ranked row by row over many tasks.
+    Scores never move: bundles do, with the centroids of a block of repetitions, and
+    a task scores and ranks all rows of a key for ``most`` scores at a time.  A key
+    with more than ``cells`` numbers in its bundles is dealt into chunks, and the
+    positives of each chunk meet the negatives of every chunk in a task of the two.
     """
     keys = list(by)
-    pairs, head = _scored_bundles(df, row_id, group, variant, label, vec, keys, repetitions, seed, bundle, block)
+    pairs, bundles, _ = _scored_bundles(df, row_id, group, variant, label, vec, keys, repetitions, seed, bundle, block)
     names = [f"k{i}" for i in range(len(keys))]
-
-    def scores(row):
-        n, r = int(row.n), len(row.src)
-        values = (row.u.reshape(n, -1) @ row.c.reshape(r, -1).T).ravel()
-        at = np.flatnonzero(~np.isnan(values))
-        values = values[at]
-        cell = np.clip(((values + 2) * (cells / 4)).astype(np.int64), 0, cells - 1)
-        return values, cell, row.labels.reshape(n, -1)[:, row.src].ravel()[at].astype(bool), np.tile(np.arange(r), n)[at]
-
-    def histogram(batches):
-        import pandas as pd
-
-        total = {}
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in names)
-                total[key] = total.get(key, 0) + np.bincount(scores(row)[1], minlength=cells)
-        if total:
-            out = pd.DataFrame(list(total), columns=keys) if keys else pd.DataFrame(index=range(len(total)))
-            out["counts"] = [v.astype(float) for v in total.values()]
-            yield out
-
-    def ranges(batches):
-        """First cell of each range, and which ranges are one overfull cell."""
-        import pandas as pd
-
-        for batch in batches:
-            place, hot = [], []
-            for counts in batch["counts"]:
-                full = counts > most * repetitions
-                before = np.cumsum(counts) - counts
-                # A new range starts at, and after, an overfull cell, and where the running count passes a multiple.
-                steps = np.floor(before / (most * repetitions))
-                starts = np.r_[True, (np.diff(steps) > 0) | full[1:] | full[:-1]]
-                place.append(np.flatnonzero(starts))
-                hot.append(np.unique(np.cumsum(starts)[full] - 1))
-            yield pd.DataFrame({**{k: batch[k] for k in keys}, "starts": place, "hot": hot})
-
-    counts = pairs.mapInPandas(histogram, f"{head}counts array<double>")
-    # Grouped by a constant beside the keys, since the sum of no vectors is an error without a group.
-    counts = counts.groupBy(*keys, F.lit(1).alias("one")).agg(vector_sum("counts").alias("counts"))
-    cuts = counts.mapInPandas(ranges, f"{head}starts array<int>, hot array<int>")
-    cuts = _written(cuts, "score-ranges")
-
-    def pack(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                values, cell, positive, rep = scores(row)
-                if not len(values):
-                    continue
-                part = np.searchsorted(row.starts, cell, side="right") - 1
-                order = np.argsort(part, kind="stable")
-                found, first = np.unique(part[order], return_index=True)
-                cut = lambda x: np.split(x[order], first[1:])
-                yield pd.DataFrame({
-                    **{k: [getattr(row, n)] * len(found) for k, n in zip(keys, names)}, "block": [row.block] * len(found), "part": found,
-                    "hot": np.isin(found, row.hot), "score": cut(values), "positive": cut(positive), "at": cut(rep)})
-
-    if keys:
-        named = cuts.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)], "starts", "hot")
-        cond = [pairs[f"k{i}"].eqNullSafe(named[f"c{i}"]) for i in range(len(keys))]
-        both = pairs.join(named, cond)
-    else:
-        both = pairs.crossJoin(cuts.limit(1))  # one row: the ranges of the only key
-    fields = "block bigint, part int, hot boolean, score array<double>, positive array<boolean>, at array<int>"
-    packed = _written(both.mapInPandas(pack, f"{head}{fields}"), "packed-scores")
+    # Keys travel as text and are joined back, so that they may have any type.
+    tag = lambda columns: F.to_json(F.struct(*[F.col(c).alias(k) for c, k in zip(columns, keys)])) if keys else F.lit("")
+    numbers = F.size("u") * (1 + min(block, repetitions) / F.col("n"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.sum(numbers) / cells)).alias("chunks")
+    sizes = _written(bundles.groupBy(*keys).agg(chunks).select(*keys, tag(keys).alias("tag"), F.coalesce("chunks", F.lit(1)).alias("chunks")), "chunks")
+    positive = F.transform("labels", lambda v: v != 0).alias("positive")
+    rows = pairs.select(tag(names).alias("tag"), "block", "stratum", "pos", "part", "n", "u", positive, "src", "c").join(sizes.select("tag", "chunks"), "tag")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("stratum", "pos", "part"), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    rows = rows.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
+    meet = ["tag", "block", "a", "b"]
+    rows = rows.select(*meet, "chunk", "stratum", "pos", "n", "u", "positive", "src", "c").repartition(4 * _tasks(df), *meet).sortWithinPartitions(*meet)
+
+    def won(positives, negatives):
+        """Pairs that the positive wins, ties by half, of sorted scores."""
+        return float(np.searchsorted(negatives, positives, "left").sum() + np.searchsorted(negatives, positives, "right").sum()) / 2
+
+    def ranked(key, held):
+        tag, number, a, b = key
+        units, reps = {}, len(held[0].src)
+        for row in held:
+            units.setdefault((row.chunk, row.stratum, row.pos), []).append(row)
+        parts = [(chunk, np.concatenate([np.asarray(r.u).reshape(int(r.n), -1) for r in some]),
+                  np.concatenate([np.asarray(r.positive, bool).reshape(int(r.n), -1) for r in some]),
+                  np.asarray(some[0].src), np.asarray(some[0].c).reshape(reps, -1)) for (chunk, _, _), some in units.items()]
+        first = np.concatenate([np.full(len(u), chunk == a) for chunk, u, *_ in parts])
+        step, out = max(1, most // len(first)), []
+        for at in range(0, reps, step):
+            some = slice(at, at + step)
+            values = np.concatenate([c[some] @ u.T for _, u, _, _, c in parts], axis=1)
+            ones = np.concatenate([labels[:, src[some]].T for _, _, labels, src, _ in parts], axis=1)
+            for i, (value, one) in enumerate(zip(values, ones)):
+                known = ~np.isnan(value)
+                cut = lambda of: np.sort(value[known & of])
+                if a == b:
+                    pos, neg = cut(one), cut(~one)
+                    out.append((tag, number * block + at + i, won(pos, neg), len(pos), len(neg)))
+                else:
+                    out.append((tag, number * block + at + i, won(cut(one & first), cut(~one & ~first)) + won(cut(one & ~first), cut(~one & first)), 0, 0))
+        return out
 
     def wins(batches):
-        """Pairs that the positive wins, ties by half, of each repetition in the range, with the counts of both classes."""
+        """Wins and class sizes of each repetition; the rows that meet follow one another."""
         import pandas as pd
 
+        columns = ["tag", "rep", "won", "ones", "zeros"]
+        key, held = None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                score, positive, at = (np.concatenate([np.asarray(v) for v in x]) for x in (row.score, row.positive, row.at))
-                order = np.lexsort((score, at))
-                score, positive, at = score[order], positive[order].astype(bool), at[order]
-                below = np.cumsum(~positive)
-                new = np.r_[True, (score[1:] != score[:-1]) | (at[1:] != at[:-1])]
-                tie = np.cumsum(new) - 1
-                ends = np.r_[np.flatnonzero(new)[1:], len(score)] - 1
-                upto = below[ends]
-                mid = (np.r_[0, upto[:-1]] + upto) / 2
-                seen, first = np.unique(at, return_index=True)
-                base = np.r_[0, below][first]
-                won = np.add.reduceat(np.where(positive, mid[tie], 0.0), first)
-                ones = np.add.reduceat(positive.astype(np.int64), first)
-                zeros = np.add.reduceat((~positive).astype(np.int64), first)
-                yield pd.DataFrame({
-                    **{k: [getattr(row, n)] * len(seen) for k, n in zip(keys, names)}, "rep": row.block * block + seen, "part": [row.part] * len(seen),
-                    "won": won - base * ones, "ones": ones, "zeros": zeros})
-
-    heads = [F.col(k).alias(n) for k, n in zip(keys, names)]
-    usual = packed.where("not hot").repartition(_tasks(df), *keys, "block", "part").groupBy(*keys, "block", "part").agg(*[F.collect_list(x).alias(x) for x in ("score", "positive", "at")])
-    usual = usual.select(*heads, "block", "part", "score", "positive", "at")
-    found = usual.mapInPandas(wins, f"{head}rep bigint, part int, won double, ones bigint, zeros bigint")
-    dense = packed.where("hot").select(*keys, "block", "part", F.explode(F.arrays_zip("score", "positive", "at")).alias("x"))
-    dense = dense.select(*keys, (F.col("block") * block + F.col("x.at")).alias("rep"), "part", "x.score", F.col("x.positive").cast("int").alias("positive"))
-    if not cuts.where(F.size("hot") > 0).isEmpty():
-        areas = roc_auc(dense, [*keys, "rep", "part"], "positive", "score")
-        sizes = dense.groupBy(*keys, "rep", "part").agg(F.sum("positive").alias("ones"), F.sum(1 - F.col("positive")).alias("zeros"))
-        both = null_safe_join(sizes, areas, [*keys, "rep", "part"])
-        won = F.coalesce(F.col("roc_auc") * F.col("ones") * F.col("zeros"), F.lit(0.0))
-        found = found.unionByName(both.select(*keys, "rep", "part", won.alias("won"), "ones", "zeros"))
-    lower = Window.partitionBy(*keys, "rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("under", F.coalesce(F.sum("zeros").over(lower), F.lit(0)))
-    total = found.groupBy("rep", *keys).agg(
-        F.sum(F.col("won") + F.col("ones") * F.col("under")).alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+                at = (row.tag, row.block, row.a, row.b)
+                if held and at != key:
+                    yield pd.DataFrame(ranked(key, held), columns=columns)
+                    held = []
+                key = at
+                held.append(row)
+        if held:
+            yield pd.DataFrame(ranked(key, held), columns=columns)
+
+    found = rows.mapInPandas(wins, "tag string, rep bigint, won double, ones bigint, zeros bigint")
+    total = found.groupBy("tag", "rep").agg(*[F.sum(x).alias(x) for x in ("won", "ones", "zeros")]).where("ones + zeros > 0")
     area = F.when((F.col("ones") > 0) & (F.col("zeros") > 0), F.col("won") / (F.col("ones").cast("double") * F.col("zeros")))
-    return total.select("rep", *keys, area.alias("roc_auc"))
+    return total.join(sizes, "tag").select("rep", *keys, area.alias("roc_auc"))

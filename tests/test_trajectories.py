@@ -83,3 +83,17 @@ def test_aucs_equal_ranking_all_scores(spark, by, cells, most):
 def test_aucs_of_no_rows(spark):
     df = spark.createDataFrame([], "id int, g int, v int, y int, vec array<double>")
     assert T.null_aucs(df, "id", "g", "v", "y", "vec", [], 3, SEED).collect() == []
+
+
+def test_aucs_move_no_scores(spark, monkeypatch):
+    """Rows x repetitions of scores went to disk before; chunks of few numbers meet in pairs and give the same areas."""
+    rng = np.random.default_rng(10)
+    data = [(i, i % 5, i // 5, int(rng.integers(0, 2)), None if i % 2 else "a", rng.normal(size=3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "id int, g int, v int, y int, k string, vec array<double>")
+    written, keep = [], T._written
+    monkeypatch.setattr(T, "_written", lambda rows, name: written.append(rows) or keep(rows, name))
+    args = ("id", "g", "v", "y", "vec", ["k"], 6, SEED)
+    run = lambda **sizes: {(r["rep"], r["k"]): r["roc_auc"] for r in T.null_aucs(df, *args, **sizes).collect()}
+    whole, cut = run(), run(bundle=2, block=4, cells=40, most=1)
+    assert len(whole) == 12 and whole.keys() == cut.keys() and all(abs(whole[k] - cut[k]) < 1e-9 for k in whole)
+    assert written and not any({"score", "positive"} & set(rows.columns) for rows in written)
