@@ -9,13 +9,19 @@ this size takes seconds to build from single Column calls.
 
 from __future__ import annotations
 
+import math
+import re
+import sys
 from collections.abc import Callable
 from itertools import count
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"[-+]?(?:\d+\s*/\s*\d+|\d+\.\d+|\d+)"
+RATIO, POINT = re.compile(r"([-+]?[0-9]+)(?:/(-?[0-9]+))?"), re.compile(r"([-+]?[0-9]+)[.]([0-9]+)")
 RATIONAL_TYPE = "struct<num:string,den:string>"
 DIGITS = 9
 LIMB = f"{10**DIGITS}L"
@@ -206,6 +212,30 @@ def parse(token: Column) -> Column:
     return _with(F.replace(token, F.lit(" "), F.lit("")), lambda t: _let(sides(t), lambda s: f"if({s} is not null, {_reduced(f'{s}.num', f'{s}.den')}, null)"))
 
 
+def parse_all(tokens: Column) -> Column:
+    """``parse`` of every element of an array column, in Arrow batches, each distinct token once; not for use inside lambdas."""
+
+    def values(tokens: pa.Array) -> pa.Array:
+        sys.set_int_max_str_digits(0)
+        flat = tokens.flatten().dictionary_encode()
+        nums, dens, odd = [], [], []
+        for token in flat.dictionary.to_pylist():
+            t = token.replace(" ", "")
+            ratio, point = RATIO.fullmatch(t), POINT.fullmatch(t)
+            num, den = (int(ratio[1]), int(ratio[2] or 1)) if ratio else (int(point[1] + point[2]), 10 ** len(point[2])) if point else (0, 0)
+            common = math.gcd(num, den) * (-1 if den < 0 else 1) or 1
+            nums.append(str(num // common))
+            dens.append(str(den // common))
+            odd.append(den == 0)
+        at = flat.indices.fill_null(len(odd))  # the last entry stands for a null token
+        sides = [pa.array([*side, ""], pa.string()).take(at) for side in (nums, dens)]
+        found = pa.StructArray.from_arrays(sides, ["num", "den"], mask=pa.array([*odd, True], pa.bool_()).take(at))
+        starts = pc.subtract(tokens.offsets, tokens.offsets[0])
+        return pa.ListArray.from_arrays(starts, found, mask=tokens.is_null() if tokens.null_count else None)
+
+    return F.arrow_udf(values, f"array<{RATIONAL_TYPE}>")(tokens)
+
+
 def as_double(value: Column) -> Column:
     return let(value, lambda v: v["num"].cast("double") / v["den"].cast("double"))
 

@@ -137,10 +137,13 @@ def packet_text(c: Column) -> Column:
     return F.regexp_replace(v, r"(?U)\s+", " ")
 
 
+def _number_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(normalise_math(c), F.lit(rf"((?<![A-Za-z0-9_]){R.NUMBER}(?![A-Za-z0-9_]))"), 1)
+
+
 def numbers(c: Column) -> Column:
     """Exact values of all free-standing numbers of a text."""
-    found = F.regexp_extract_all(normalise_math(c), F.lit(rf"((?<![A-Za-z0-9_]){R.NUMBER}(?![A-Za-z0-9_]))"), 1)
-    return F.filter(F.transform(found, R.parse), lambda v: v.isNotNull())
+    return F.filter(R.parse_all(_number_tokens(c)), lambda v: v.isNotNull())
 
 
 LATEX_FRACTION = r"\\frac\s*\{\s*(-?\d+)\s*\}\s*\{\s*(-?\d+)\s*\}"
@@ -157,7 +160,7 @@ def audit_numbers(c: Column) -> Column:
     frac = F.transform(whole, lambda m: F.regexp_replace(m, LATEX_FRACTION, "$1/$2"))
     token = r"((?<![\w/.-])-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?(?![\w/.-]))"
     plain = F.regexp_extract_all(plain_fractions(t), F.lit(token), 1)
-    return F.filter(F.transform(F.concat(frac, plain), R.parse), lambda v: v.isNotNull())
+    return F.filter(R.parse_all(F.concat(frac, plain)), lambda v: v.isNotNull())
 
 
 def assignments(c: Column, variables: Sequence[str] = ("x", "y", "z")) -> Column:
@@ -166,7 +169,7 @@ def assignments(c: Column, variables: Sequence[str] = ("x", "y", "z")) -> Column
     fields = []
     for var in variables:
         found = F.regexp_extract_all(plain, F.lit(rf"(?iU)\b{var}\s*=\s*(-?\d+(?:\.\d+)?(?:\s*/\s*-?\d+)?)"), 1)
-        values = F.filter(F.transform(found, R.parse), lambda v: v.isNotNull())
+        values = F.filter(R.parse_all(found), lambda v: v.isNotNull())
         fields.append(F.try_element_at(values, F.lit(-1)).alias(var))
     return F.struct(*fields)
 
@@ -174,7 +177,8 @@ def assignments(c: Column, variables: Sequence[str] = ("x", "y", "z")) -> Column
 def tuple_candidate(c: Column, length: int) -> Column:
     """Values of the last innermost (...) or [...] that holds exactly ``length`` numbers."""
     inner = F.regexp_extract_all(normalise_math(c), F.lit(r"[(\[]([^()\[\]]+)[)\]]"), 1)
-    fit = F.filter(F.transform(inner, numbers), lambda v: F.size(v) == length)
+    inside = lambda x: F.filter(F.transform(_number_tokens(x), R.parse), lambda v: v.isNotNull())
+    fit = F.filter(F.transform(inner, inside), lambda v: F.size(v) == length)
     return F.try_element_at(fit, F.lit(-1))
 
 

@@ -421,11 +421,13 @@ SELECT o_orderkey, 3 AS found, concat('1', repeat(lpad('1', CAST(length(k) AS IN
 def _(t):
     """Numbers of up to 80 digits: an order number written n times, over itself, alone, and a decimal as a fraction."""
     key, n = (c("o_orderkey") + 1).cast("string"), (c("o_orderkey") % 10 + 3).cast("int")
-    rows = t.orders.select("o_orderkey", key.alias("k"), F.repeat(key, n).alias("long"))
+    # Long numbers are dear for the bytes their orders take, so the number of tasks is not left to the size of the table.
+    orders = t.orders.select("o_orderkey").repartition(4 * t.spark.sparkContext.defaultParallelism)
+    rows = orders.select("o_orderkey", key.alias("k"), F.repeat(key, n).alias("long"))
     decimal = F.concat(F.lit("0."), F.repeat(F.lit("3"), F.lit(20)), "k")
     spelled = F.concat(F.repeat(F.lit("3"), F.lit(20)), "k", F.lit("/1"), F.repeat(F.lit("0"), F.length("k") + 20))
     text = F.concat(F.lit("first "), "long", F.lit(" / "), "k", F.lit(" then 000"), "long", F.lit(" and "), decimal)
-    rows = rows.withColumn("v", S.numbers(text)).withColumn("same", R.equal(c("v")[2], R.parse(spelled)))
+    rows = rows.withColumn("v", S.numbers(text)).withColumn("same", R.equal(c("v")[2], R.parse_all(F.array(spelled))[0]))
     return rows.select("o_orderkey", F.size("v").alias("found"), R.to_text(c("v")[0]).alias("ratio"), R.to_text(c("v")[1]).alias("whole"), "same")
 
 
