@@ -140,7 +140,8 @@ class KeyedStore:
         if state["live"]:
             stored = self._rows(state, self._touched(placed)).select(*[F.col(k).alias(f"stored_{i}") for i, k in enumerate(self.keys)])
             same = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(stored[f"stored_{i}"]) for i, k in enumerate(self.keys)])
-            placed = placed.join(stored, same, "left_anti")
+            # The keys of a bucket never pass through the driver, which a broadcast in each batch would make them do.
+            placed = placed.join(stored.hint("merge"), same, "left_anti")
         _, written = self._write(keep_one(placed, self.keys, order), state)
         for bucket, part in written.items():
             state["live"].setdefault(bucket, []).append(part)

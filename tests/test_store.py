@@ -29,6 +29,16 @@ def test_first_row_of_a_key_stays_and_null_is_a_key(spark, tmp_path):
     assert store.doubled_keys().count() == 0
 
 
+def test_stored_keys_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    """The join with the stored keys was a broadcast in each batch, so the driver received them all again and again."""
+    plans, store = [], _store(spark, tmp_path)
+    write = store._write
+    monkeypatch.setattr(store, "_write", lambda placed, state: plans.append(placed._jdf.queryExecution().executedPlan().toString()) or write(placed, state))
+    for _ in range(2):
+        store.append(spark.createDataFrame([(1, "b"), (None, "n")], SCHEMA), [F.col("t")])
+    assert "SortMergeJoin" in plans[1] and "Broadcast" not in plans[1] and store.read().count() == 2
+
+
 def test_the_last_batch_reads_as_much_as_the_first(spark, tmp_path):
     store = _store(spark, tmp_path, buckets=2, target_bytes=8000, max_parts=2)
     for i in range(10):
