@@ -85,7 +85,12 @@ def edited_interventions(items: DataFrame, item: str, number: Column, question:
 
 def probe_rows(items: DataFrame, item: str, q: str, qstar: str, source: str, priors: DataFrame | None = None,
                variants: Sequence[tuple] = vocab.PROBE_VARIANTS) -> DataFrame:
-    """Item x probe variant: suffixed question or trace, prior labels joined where known."""
+    """Item x probe variant: suffixed question or trace, prior labels joined where known.
+
+    The labels join the items, so that an item moves once and not once a variant.
+    """
+    labels = [] if priors is None else [k for k in priors.columns if k != item]
+    items = items if priors is None else items.join(priors, item, "left")
     fields = ("probe_variant", "probe_family", "__suffix", "__ask", "__only")
     rows = expand_variants(items, [dict(zip(fields, v)) for v in variants])
     ask, suffix = F.lit(""), F.lit("")
@@ -105,7 +110,7 @@ def probe_rows(items: DataFrame, item: str, q: str, qstar: str, source: str, pri
         "answer_format": F.when(only, "answer_only").otherwise("normal"), "max_new_tokens": F.when(only, 256).otherwise(2048)})
     rows = rows.withColumn("injected_raw_prefix", S.ensure_thought(F.col("injected_thought"), True))
     rows = rows.drop("__suffix", "__ask", "__only", "__asked", "__said")
-    return rows if priors is None else rows.join(priors, item, "left")
+    return rows.select(*[k for k in rows.columns if k not in labels], *labels)
 
 
 def focused_subset(rows: DataFrame, item: str, items: DataFrame, variant: str, variants: Sequence[str]) -> DataFrame:
