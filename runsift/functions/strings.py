@@ -382,10 +382,22 @@ def answer_score(df: DataFrame, c: Column, answer: Column, name: str) -> DataFra
     Single values: 6 for an equal number, else 3 per part for the exact text
     and 2 per part token.
     """
-    out = df.withColumns({
-        "__norm": loose_text(c), "__exact": loose_text(answer), "__parts": R.answer_parts(text(answer)),
-        "__vals": R.answer_values(text(answer)), "__asg": assignments(c), "__nums": audit_numbers(c),
-    })
+    return _scored(_evidence(df, c), answer, name).drop(*EVIDENCE)
+
+
+EVIDENCE = ("__norm", "__asg", "__nums")
+
+
+def _evidence(df: DataFrame, c: Column) -> DataFrame:
+    """Adds what a text shows, whichever answer it is compared with."""
+    return df.withColumns({"__norm": loose_text(c), "__asg": assignments(c), "__nums": audit_numbers(c)})
+
+
+def _scored(df: DataFrame, answer: Column, name: str) -> DataFrame:
+    parts = R.answer_parts(text(answer))
+    out = df.withColumns({"__exact": loose_text(answer), "__parts": parts, "__vals": R.parse_all(parts)})
+    # As R.answer_values: null as soon as one part does not parse.
+    out = out.withColumn("__vals", F.when(F.forall("__vals", lambda v: v.isNotNull()), F.col("__vals")))
     norm, exact, parts, vals, asg = (F.col(f"__{k}") for k in ("norm", "exact", "parts", "vals", "asg"))
     matched = F.lit(0)
     for i, var in enumerate("xyz"):
@@ -407,14 +419,15 @@ def answer_score(df: DataFrame, c: Column, answer: Column, name: str) -> DataFra
         F.when(vals.isNotNull() & (F.size(vals) > 1), F.when(any_asg, 4 * matched).when(in_text, 4 * F.size(vals)).otherwise(0))
         .when(vals.isNotNull() & (F.size(vals) == 1) & hit, 6).otherwise(loose)
     )
-    return out.withColumn(name, score).drop("__norm", "__exact", "__parts", "__vals", "__asg", "__nums")
+    return out.withColumn(name, score).drop("__exact", "__parts", "__vals")
 
 
 def answer_relation(df: DataFrame, c: Column, original: Column, wrong: Column, prefix: str) -> DataFrame:
     """Adds ``<prefix>_relation`` and both scores over the last 2500 characters."""
     out = df.withColumn("__tail", F.right(text(c), F.lit(2500)))
-    out = answer_score(out, F.col("__tail"), original, f"{prefix}_original_score")
-    out = answer_score(out, F.col("__tail"), wrong, f"{prefix}_wrong_score")
+    out = _evidence(out, F.col("__tail"))
+    out = _scored(out, original, f"{prefix}_original_score")
+    out = _scored(out, wrong, f"{prefix}_wrong_score").drop(*EVIDENCE)
     o, w = F.col(f"{prefix}_original_score"), F.col(f"{prefix}_wrong_score")
     relation = (
         F.when((o == 0) & (w == 0), "unclear").when(w > o, "counterfactual_or_edited_wrong")
