@@ -16,13 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsift.operators import foldpca
-from runsift.operators.scale import null_safe_join, top_k, with_totals
+from runsift.operators.scale import null_safe_join, top_k
 from runsift.operators.vectors import vector_sum
-from runsift.session import cut_lineage
+from runsift.session import cut_lineage, written
 
 #: Numbers that the folds of one block may hold on the driver (256 MB).
 BLOCK_STATE = 1 << 25
@@ -33,7 +33,8 @@ BLOCK_STATE = 1 << 25
 def ngrams(df: DataFrame, row_id: str, group: str, text: str) -> DataFrame:
     """(row, group, term, tf) of lower-cased words and word pairs."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)(\b[\w/+=-]+\b)"), 1)
-    rows = df.select(row_id, group, words.alias("__w"))
+    # Texts are dealt by row, so that the counts of a row are made where its text is and terms do not move.
+    rows = df.select(row_id, group, text).repartition(row_id, group).select(row_id, group, words.alias("__w"))
     n = F.size("__w")
     pairs = F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
                         lambda i: F.concat_ws(" ", F.col("__w")[i], F.col("__w")[i + 1]))
@@ -57,15 +58,17 @@ def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2,
     folds = [r[0] for r in (terms if docs is None else docs).select(group).distinct().limit(max_folds + 1).collect()]
     if len(folds) > max_folds:
         raise ValueError(f"more than {max_folds} folds")
-    own = cut_lineage(terms.groupBy(group, "term").agg(F.count("*").alias("__df"), F.sum("tf").alias("__tf")))
+    own = written(terms.groupBy(group, "term").agg(F.count("*").alias("__df"), F.sum("tf").alias("__tf")), "own-terms")
     total = own.groupBy("term").agg(F.sum("__df").alias("__tdf"), F.sum("__tf").alias("__ttf")).where(F.col("__tdf") >= min_df)
-    top = total.orderBy(F.desc("__ttf"), "term").limit(max_features)
-    reduced = top.join(own, "term", "left").select(
+    # The top terms and the candidates are few and written, so that the counts of all terms meet them without an exchange.
+    top = written(total.orderBy(F.desc("__ttf"), "term").limit(max_features), "top-terms")
+    reduced = own.join(top, "term").select(
         F.when(F.col("__tdf") - F.coalesce("__df", F.lit(0)) >= min_df, F.col("__ttf") - F.coalesce("__tf", F.lit(0))).otherwise(1).alias("c"),
         "__ttf")
     floor = reduced.agg(F.least(F.min("c"), F.min("__ttf"))).scalar()
-    grid = total.where(F.col("__ttf") >= floor).withColumn("fold", F.explode(F.array(*map(F.lit, folds))))
-    mine = own.withColumnRenamed(group, "fold")
+    candidates = written(total.where(F.col("__ttf") >= floor), "candidate-terms")
+    grid = candidates.withColumn("fold", F.explode(F.array(*map(F.lit, folds))))
+    mine = own.join(candidates.select("term"), "term", "left_semi").withColumnRenamed(group, "fold")
     both = grid.join(mine, ["fold", "term"], "left").select(
         "fold", "term", (F.col("__tdf") - F.coalesce("__df", F.lit(0))).alias("df"),
         (F.col("__ttf") - F.coalesce("__tf", F.lit(0))).alias("count"))
@@ -80,9 +83,11 @@ def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2,
 
 def held_out_tfidf(terms: DataFrame, vocabulary: DataFrame, row_id: str, group: str) -> DataFrame:
     """L2-normalised (row, term, weight) of each row under the vocabulary of its own fold."""
-    rows = terms.withColumnRenamed(group, "fold").join(vocabulary, ["fold", "term"])
+    # The vocabulary is written, so that terms outside of it are left out before anything moves.
+    rows = terms.withColumnRenamed(group, "fold").join(written(vocabulary, "vocabulary"), ["fold", "term"])
     rows = rows.withColumn("__w", (1.0 + F.log("tf")) * F.col("idf"))
-    rows = with_totals(rows, [row_id], __sq=F.sum(F.col("__w") * F.col("__w")))
+    # A row has at most as many terms as the vocabularies, so its window is bounded.
+    rows = rows.withColumn("__sq", F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(row_id)))
     return rows.select(row_id, "fold", "term", (F.col("__w") / F.sqrt("__sq")).alias("weight"))
 
 

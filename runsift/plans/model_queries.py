@@ -16,7 +16,7 @@ from runsift.plans import standins  # noqa: F401
 from runsift.plans.registry import query
 from runsift.plans.summary_queries import r6
 from runsift.plans.vector_data import VECTORS_SQL, vectors
-from runsift.session import cut_lineage
+from runsift.session import cut_lineage, written
 
 c = F.col
 UNIT = VECTORS_SQL.rstrip() + """,
@@ -229,7 +229,7 @@ SELECT doc_id, terms, round(total, 5) AS total FROM s
 
 @query("mod01_tfidf", TFIDF)
 def _(t):
-    terms = cut_lineage(Q.ngrams(_texts(t), "doc_id", "grp", "text"))
+    terms = written(Q.ngrams(_texts(t), "doc_id", "grp", "text"), "terms")
     vocab = Q.fold_vocabulary(terms, "doc_id", "grp")
     out = Q.held_out_tfidf(terms, vocab, "doc_id", "grp")
     out = out.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("weight").alias("total"))

@@ -207,3 +207,15 @@ def test_nearest_runs_odd_rows(spark):
     found = [(r["query_id"], r["id"], r["rank"]) for r in V.nearest_runs(df, df, "id", "vec", 1, 1, 1).collect()]
     assert sorted(found) == [("a", "b", 1), ("b", "a", 1), ("c", "a", 1)]
     assert V.nearest_runs(df, df.limit(0), "id", "vec").collect() == [] and V.nearest_runs(df.limit(0), df, "id", "vec").collect() == []
+
+
+def test_terms_outside_the_vocabulary_do_not_move(spark):
+    docs = [(i, i % 3, " ".join(RNG.choice(list("abcdefgh"), size=12))) for i in range(30)] + [(1, 1, "a a b")]
+    df = spark.createDataFrame(docs, "d int, g int, t string")
+    terms = Q.ngrams(df, "d", "g", "t")
+    assert terms._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the texts
+    assert terms.where("d = 1 and term = 'a a'").count() == 1
+    vocabulary = Q.fold_vocabulary(terms, "d", "g", 2, 10)
+    out = Q.held_out_tfidf(terms, vocabulary, "d", "g")
+    squares = {r["d"]: r["s"] for r in out.groupBy("d").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()}
+    assert squares and all(abs(v - 1) < 1e-9 for v in squares.values())
