@@ -52,8 +52,9 @@ def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2,
     The number of folds is checked, as every fold has a vocabulary of its own.
 
     Leaving a group out only lowers counts, so a term whose total is below the
-    smallest held-out count of the overall top terms cannot enter any fold and
-    is left out of the fold grid.
+    held-out count of a fold's last place among the overall top terms (twice as
+    many as are kept, so that terms of one group do not lower that count) cannot
+    enter the fold and is left out of its grid.
     """
     folds = [r[0] for r in (terms if docs is None else docs).select(group).distinct().limit(max_folds + 1).collect()]
     if len(folds) > max_folds:
@@ -61,18 +62,26 @@ def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2,
     own = written(terms.groupBy(group, "term").agg(F.count("*").alias("__df"), F.sum("tf").alias("__tf")), "own-terms")
     total = own.groupBy("term").agg(F.sum("__df").alias("__tdf"), F.sum("__tf").alias("__ttf")).where(F.col("__tdf") >= min_df)
     # The top terms and the candidates are few and written, so that the counts of all terms meet them without an exchange.
-    top = written(total.orderBy(F.desc("__ttf"), "term").limit(max_features), "top-terms")
-    reduced = own.join(top, "term").select(
-        F.when(F.col("__tdf") - F.coalesce("__df", F.lit(0)) >= min_df, F.col("__ttf") - F.coalesce("__tf", F.lit(0))).otherwise(1).alias("c"),
-        "__ttf")
-    floor = reduced.agg(F.least(F.min("c"), F.min("__ttf"))).scalar()
-    candidates = written(total.where(F.col("__ttf") >= floor), "candidate-terms")
-    grid = candidates.withColumn("fold", F.explode(F.array(*map(F.lit, folds))))
-    mine = own.join(candidates.select("term"), "term", "left_semi").withColumnRenamed(group, "fold")
-    both = grid.join(mine, ["fold", "term"], "left").select(
-        "fold", "term", (F.col("__tdf") - F.coalesce("__df", F.lit(0))).alias("df"),
-        (F.col("__ttf") - F.coalesce("__tf", F.lit(0))).alias("count"))
-    kept = top_k(both.where(F.col("df") >= min_df), ["fold"], [F.desc("count"), F.col("term")], max_features)
+    top = written(total.orderBy(F.desc("__ttf"), "term").limit(2 * max_features), "top-terms")
+    kind = dict(own.dtypes)[group]
+    names = F.array(*map(F.lit, folds)) if folds else F.array().cast(f"array<{kind}>")
+
+    def held_out(grid: DataFrame, mine: DataFrame) -> DataFrame:
+        return grid.join(mine.withColumnRenamed(group, "fold"), ["fold", "term"], "left").select(
+            "fold", "term", (F.col("__tdf") - F.coalesce("__df", F.lit(0))).alias("df"),
+            (F.col("__ttf") - F.coalesce("__tf", F.lit(0))).alias("count")).where(F.col("df") >= min_df)
+
+    first = held_out(top.withColumn("fold", F.explode(names)), own.join(top.select("term"), "term"))
+    first = top_k(first, ["fold"], [F.desc("count"), F.col("term")], max_features).groupBy("fold")
+    # One row a fold, and their number is checked.
+    floors = {r["fold"]: r["floor"] for r in first.agg(F.when(F.count("*") == max_features, F.min("count")).otherwise(1).alias("floor")).collect()}
+    floors = {fold: floors.get(fold, 1) for fold in folds}
+    candidates = written(total.where(F.col("__ttf") >= min(floors.values(), default=1)), "candidate-terms")
+    each = [F.struct(F.lit(fold).alias("fold"), F.lit(floor).cast("bigint").alias("floor")) for fold, floor in floors.items()]
+    each = F.array(*each) if each else F.array().cast(f"array<struct<fold:{kind},floor:bigint>>")
+    grid = candidates.select("*", F.inline(each)).where(F.col("__ttf") >= F.col("floor")).drop("floor")
+    both = held_out(grid, own.join(candidates.select("term"), "term"))
+    kept = top_k(both, ["fold"], [F.desc("count"), F.col("term")], max_features)
     if docs is None:
         docs = terms.groupBy(group).agg(F.countDistinct(row_id).alias("__n"))
     n = docs.withColumn("__all", docs.agg(F.sum("__n")).scalar()).select(

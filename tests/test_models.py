@@ -219,3 +219,22 @@ def test_terms_outside_the_vocabulary_do_not_move(spark):
     out = Q.held_out_tfidf(terms, vocabulary, "d", "g")
     squares = {r["d"]: r["s"] for r in out.groupBy("d").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()}
     assert squares and all(abs(v - 1) < 1e-9 for v in squares.values())
+
+
+def test_terms_of_one_group_do_not_widen_the_grid(spark, monkeypatch):
+    """A frequent term of one group only let every term of the table into the grid of all folds."""
+    docs = [(i, i % 3, "own own own own " + f"a{i % 7} b{i % 5} c{i}" if i % 3 == 0 else f"a{i % 7} b{i % 5} c{i} c{i}") for i in range(60)]
+    df = spark.createDataFrame(docs * 2, "d int, g int, t string").withColumn("d", F.monotonically_increasing_id())
+    written, keep = {}, Q.written
+    monkeypatch.setattr(Q, "written", lambda rows, name: written.setdefault(name, keep(rows, name)))
+    terms = Q.ngrams(df, "d", "g", "t").cache()
+    got = Q.fold_vocabulary(terms, "d", "g", 2, 5).groupBy("fold").agg(F.sort_array(F.collect_set("term")).alias("terms")).collect()
+    assert written["candidate-terms"].count() < 20 < written["own-terms"].select("term").distinct().count()
+    for r in got:
+        rows = [x for x in docs * 2 if x[1] != r["fold"]]
+        count = {}
+        for _, _, t in rows:
+            w = t.split()
+            for x in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+                count[x] = count.get(x, 0) + 1
+        assert r["terms"] == sorted(sorted(count, key=lambda x: (-count[x], x))[:5])
