@@ -36,8 +36,9 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def fold_features(terms: DataFrame, vocabulary: DataFrame, row_id: str) -> DataFrame:
     """(fold, row, idx, val): L2-normalised tf-idf of every row under the vocabulary of every fold, by place in it."""
     place = F.row_number().over(Window.partitionBy("fold").orderBy("term")) - 1  # as many as the vocabulary has
-    numbered = vocabulary.withColumn("place", place)
-    cells = terms.select(row_id, "term", "tf").join(numbered, "term")
+    numbered = _written(vocabulary.withColumn("place", place), "text-vocabulary")
+    # Dealt by row before they meet the folds, so that a term moves once and not once a fold.
+    cells = terms.select(row_id, "term", "tf").repartition(row_id).join(numbered, "term")
     cells = cells.select("fold", row_id, "place", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
     rows = cells.groupBy("fold", row_id).agg(
         F.sort_array(F.collect_list(F.struct("place", "w"))).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
