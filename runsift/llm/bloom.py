@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runsift.llm.shared import materialize
+
 BLOCK = 32768
 BITS_PER_ROW = 16
 #: 2^28 bits are 32 MB, the most that is ever broadcast.
@@ -57,3 +59,9 @@ def with_maybe(rows: DataFrame, key: str, table: DataFrame, bits: int, name: str
         side = table.select(F.col("block").alias(f"__b{i}"), F.col("block_bits").alias(f"__m{i}"))
         out = out.join(F.broadcast(side), (F.col(f"__p{i}") / BLOCK).cast("int") == F.col(f"__b{i}"), "left")
     return out.select(*[F.col(c) for c in kept], (_is_set("__m1", "__p1") & _is_set("__m2", "__p2")).alias(name))
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows whose key may be among those of ``wanted``, by a bit filter of bounded size."""
+    bits = size_for(wanted.count())
+    return with_maybe(rows, key, materialize(present_bits(wanted, key, bits), name), bits, "maybe").where("maybe").drop("maybe")

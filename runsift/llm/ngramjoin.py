@@ -17,7 +17,8 @@
    merged into components.  A list whose members are in one component is done.
    Only texts of pairs to check move, and their sets are made anew.  When few pairs that cross components are left, or rounds hardly lower their
    number, all of them are joined under the filters, in salted blocks of
-   ``BLOCK_ROWS`` members, so no link that could join two components is lost.
+   ``BLOCK_ROWS`` members, so no link that could join two components is lost.  A pair
+   is left out where it has met in the list of an n-gram shortly before.
 
 Links are exact up to equal 64-bit hashes of different n-grams or sets.
 
@@ -52,6 +53,8 @@ SLOT_BLOCK = 1 << 16
 PARITIES = 256
 #: Columns of these bits, 64 in each.
 PARITY = [f"p{k}" for k in range(1, PARITIES // 64 + 1)]
+#: The shared n-grams right before a posted one: a pair that shares one of them has met already.
+BEFORE = ["before1", "before2"]
 #: Larger sets also have so many parities, with which their pairs are filtered once more before any text moves.
 WIDE_FROM, WIDE_PARITIES = 600, 4096
 #: Members of a list in one salted block of the last join.
@@ -185,15 +188,35 @@ def _proposals(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select(*_pair("node", "best.hub"), F.col("best.n").alias("n")).distinct()
 
 
-def _crossing(lists: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a list that crosses components and passes the filters, a block of members at a time."""
+def _posts(nodes: DataFrame) -> DataFrame:
+    """A row for each shared n-gram of a node, with the ``BEFORE`` shared ones in front of it."""
+    before = lambda i: [F.get("posts", i - k)["key"].alias(name) for k, name in enumerate(BEFORE, 1)]
+    posts = F.transform("posts", lambda post, i: F.struct(post["key"].alias("key"), post["pos"].alias("pos"), post["held"].alias("held"), *before(i)))
+    post = nodes.select("node", "comp", "n", *PARITY, F.explode(posts).alias("post"))
+    return post.select("node", "comp", "n", *PARITY, "post.key", "post.pos", "post.held", *[f"post.{name}" for name in BEFORE])
+
+
+def _meetings(lists: DataFrame, percent: int) -> DataFrame:
+    """The crossing pairs of the lists that pass the filters, a block of members at a time.
+
+    Near copies share run after run of n-grams.  Two sets that share one of the n-grams
+    right before this one have met in its list, where the filters hold as well if the
+    pair links, so nearly all pairs become one row and not one for each shared n-gram.
+    """
     blocks = F.ceil(F.col("held") / BLOCK_ROWS).cast("int")
     left = lists.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("held")
     right = lists.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in lists.columns if c != "held"],
                          F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     apart = (F.col("node") > F.col("o_node")) & (F.col("comp") != F.col("o_comp"))
-    pairs = left.join(right, ["key", "block"]).where(apart & _may_link("", "o_", percent))
-    return pairs.select(*_pair("node", "o_node"), (F.col("n") + F.col("o_n")).alias("n")).distinct()
+    for one in BEFORE:
+        for other in BEFORE:
+            apart &= F.coalesce(F.col(one) != F.col(f"o_{other}"), F.lit(True))
+    return left.join(right, ["key", "block"]).where(apart & _may_link("", "o_", percent))
+
+
+def _crossing(lists: DataFrame, percent: int) -> DataFrame:
+    """Every pair that crosses components and passes the filters wherever it meets."""
+    return _meetings(lists, percent).select(*_pair("node", "o_node"), (F.col("n") + F.col("o_n")).alias("n")).distinct()
 
 
 def _open_pairs(lists: DataFrame) -> tuple[int, int]:
@@ -212,12 +235,6 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.coalesce(apart * (100 + percent) <= F.col("n") * (100 - percent), F.lit(True))).select("a", "b", "n")
 
 
-def _maybe_in(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
-    """The rows whose key may be among those of ``wanted``, by a bit filter of bounded size."""
-    bits = bloom.size_for(wanted.count())
-    return bloom.with_maybe(rows, key, materialize(bloom.present_bits(wanted, key, bits), name), bits, "maybe").where("maybe").drop("maybe")
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs with a boolean ``linked``, from their full sets.
 
@@ -235,7 +252,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
     asked = binned.select("bin", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id"), "node")
     # An id may have several texts; all of them move with it.
     asked = materialize(asked.groupBy("id").agg(F.collect_set("bin").alias("bins")), "asked")
-    found = _maybe_in(texts, asked, "id", "asked-bits").join(asked, "id").select("id", "text", F.explode("bins").alias("bin"))
+    found = bloom.maybe_in(texts, asked, "id", "asked-bits").join(asked, "id").select("id", "text", F.explode("bins").alias("bin"))
     return found.groupBy("bin").cogroup(binned.groupBy("bin")).applyInArrow(_checked(words, percent), "a long, b long, linked boolean")
 
 
@@ -245,14 +262,11 @@ def _links(texts: DataFrame, nodes: DataFrame, shared: DataFrame, words: int, pe
     held = F.col("held").cast("double")
     members, crossing = [int(x) for x in shared.agg(F.sum(held), F.sum(held * (held - 1) / 2)).first()]
     while True:
-        post = [F.col("node"), F.col("comp"), F.col("n"), *map(F.col, PARITY), F.explode("posts").alias("post")]
-        flat = ["node", "comp", "n", *PARITY, "post.key", "post.pos", "post.held"]
         if turn == 0:
-            lists = nodes.withColumn("comp", F.col("node")).select(*post).select(*flat)
+            lists = _posts(nodes.withColumn("comp", F.col("node")))
         else:
             named = nodes if labels is None else nodes.join(labels, nodes["node"] == labels["member"], "left")
-            named = named.withColumn("comp", F.col("node") if labels is None else F.coalesce("component", "node"))
-            posts = named.select(*post).select(*flat)
+            posts = _posts(named.withColumn("comp", F.col("node") if labels is None else F.coalesce("component", "node")))
             unsettled = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             lists = materialize(posts.join(unsettled, "key", "left_semi"), "lists")
             members, crossing = _open_pairs(lists)
@@ -280,13 +294,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = summaries.where("block is null").select("id", "n_shingles", "node")
     classes = materialize(rows.where("id is not null and node is not null").groupBy("node").agg(F.min("id").alias("id")), "classes")
     # Few copies get through the bit filter; they post the same class again, which changes no list of two classes.
-    first = _maybe_in(texts.where("id is not null"), classes, "id", "class-bits")
+    first = bloom.maybe_in(texts.where("id is not null"), classes, "id", "class-bits")
     prefixes = first.mapInArrow(
         _prefixes(words, percent, _order(summaries)), f"id long, node long, n int, keys array<long>, {', '.join(f'{p} long' for p in PARITY)}, wide array<long>")
     prefixes = materialize(prefixes.where("n > 0"), "prefixes")
     posts = prefixes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = materialize(posts.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared-ngrams")
-    own = _maybe_in(posts, shared, "key", "shared-bits").join(shared, "key").groupBy("node").agg(F.collect_set(F.struct("key", "pos", "held")).alias("posts"))
+    own = bloom.maybe_in(posts, shared, "key", "shared-bits").join(shared, "key").groupBy("node").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "key", "held"))).alias("posts"))
     nodes = own.join(prefixes.drop("keys", "id").dropDuplicates(["node"]), "node").join(classes, "node")
     nodes = materialize(nodes, "nodes")
 

@@ -115,3 +115,22 @@ def test_join_cases(spark, odd_docs, no_docs):
     assert sorted(map(tuple, joined(spark, two))) == [(0, 3, 0), (1, 2, 1), (1, 3, 0), (1, 3, 0), (5, 1, 5)]
     odd = spark.createDataFrame([(1, "a b c", 2, 3)], "`i.d` long, `te.xt` string, n int, node int")
     assert ngramjoin.join_components(odd, "i.d", "te.xt").collect()[0].component_id == 1
+
+
+def test_near_copies_meet_once(spark):
+    posts = [(node, node, 100, [(pos, 1000 + pos, 3) for pos in range(11)]) for node in (1, 2, 3)]
+    nodes = spark.createDataFrame(posts, "node long, comp long, n int, posts array<struct<pos:int,key:long,held:long>>")
+    nodes = nodes.selectExpr("*", *[f"0L AS {p}" for p in ngramjoin.PARITY])
+    met = ngramjoin._meetings(ngramjoin._posts(nodes), 90)
+    assert sorted((r.node, r.o_node) for r in met.collect()) == [(2, 1), (3, 1), (3, 2)]
+
+
+def test_pairs_with_broken_runs_meet(spark):
+    rng = random.Random(9)
+    lists = {node: sorted(rng.sample(range(12), 5)) for node in range(1, 9)}
+    held = {key: sum(key in keys for keys in lists.values()) for key in range(12)}
+    posts = [(node, node, 100, [(pos, key, held[key]) for pos, key in enumerate(keys)]) for node, keys in lists.items()]
+    nodes = spark.createDataFrame(posts, "node long, comp long, n int, posts array<struct<pos:int,key:long,held:long>>")
+    nodes = nodes.selectExpr("*", *[f"0L AS {p}" for p in ngramjoin.PARITY])
+    met = {(r.a, r.b) for r in ngramjoin._crossing(ngramjoin._posts(nodes), 90).collect()}
+    assert met == {(x, y) for x in lists for y in lists if x > y and set(lists[x]) & set(lists[y])}
