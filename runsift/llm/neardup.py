@@ -175,6 +175,8 @@ def _lists(reps: DataFrame, coords: int, agree: int) -> DataFrame:
     """(id, keys): the shared pairs in the prefix of each representative that has enough of them."""
     posts = reps.select("id", F.explode("sig").alias("key"))
     often = materialize(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "pair-counts")
+    # Most pairs are held by one document alone; a bit filter keeps them from the exchange.
+    posts = bloom.maybe_in(posts, often, "key", "pair-bits")
     shared = posts.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
     prefix = F.slice("keys", 1, F.size("keys") - (agree - 1))
     return shared.where(F.size("keys") >= agree).select("id", F.transform(prefix, lambda pair: pair["key"]).alias("keys"))
@@ -213,21 +215,25 @@ def _crossing(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _open_pairs(open_lists: DataFrame) -> tuple[int, int]:
-    """Members of the lists, and pairs in them that cross components."""
+    """Members of the lists with more than one component, and pairs in them that cross components."""
     held = open_lists.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n"))
-    lists = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    lists = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n * n > same")
     row = lists.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("same")) / 2).first()
     return int(row[0] or 0), int(row[1] or 0)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with a boolean ``linked``: enough shared minima, and then similar on the full sets."""
+    """The pairs with a boolean ``linked``: enough shared minima, and then similar on the full sets.
+
+    Only sets that a pair asks for move, behind a bit filter.
+    """
 
     def both_sides(rows: DataFrame, column: str) -> DataFrame:
-        left, right = (sets.select(F.col("id").alias(k), F.col(column).alias(f"{column}_{k}")) for k in ("a", "b"))
+        asked = bloom.maybe_in(sets.select("id", column), rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", f"{column}-bits")
+        left, right = (asked.select(F.col("id").alias(k), F.col(column).alias(f"{column}_{k}")) for k in ("a", "b"))
         return rows.join(left, "a").join(right, "b")
 
-    close = both_sides(pairs, "minima").select("a", "b", (_collisions("minima_a", "minima_b") >= SHARED_MINIMA).alias("close"))
+    close = both_sides(materialize(pairs, "pairs"), "minima").select("a", "b", (_collisions("minima_a", "minima_b") >= SHARED_MINIMA).alias("close"))
     close = materialize(close, "collisions")
     full = both_sides(close.where("close").select("a", "b"), "items").select("a", "b", _similar("items_a", "items_b", percent).alias("linked"))
     return full.unionByName(close.where("not close").select("a", "b", F.lit(False).alias("linked")))
@@ -259,13 +265,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     nodes = materialize(lists.join(sets.select("id", "n", *SKETCH), "id"), "candidates")
     checked, labels, rounds, new, before = None, None, 0, 1, float("inf")
     while True:
+        member = ["id", "comp", "n", *SKETCH, F.explode("keys").alias("key")]
         if labels is None:
-            labelled = nodes.withColumn("comp", F.col("id"))
+            open_lists = nodes.withColumn("comp", F.col("id")).select(*member)  # a list of one member proposes nothing
         else:
-            labelled = nodes.join(labels, nodes["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id"))
-        labelled = labelled.select("id", "comp", "n", *SKETCH, F.explode("keys").alias("key"))
-        unsettled = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        open_lists = materialize(labelled.join(unsettled, "key", "left_semi"), "open-lists")
+            labelled = nodes.join(labels, nodes["id"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "id")).select(*member)
+            unsettled = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            unsettled = materialize(unsettled, "unsettled")
+            open_lists = materialize(bloom.maybe_in(labelled, unsettled, "key", "unsettled-bits").join(unsettled, "key", "left_semi"), "open-lists")
         members, crossing = _open_pairs(open_lists)
         last = crossing <= 4 * members or not new or crossing > 0.7 * before
         before = crossing

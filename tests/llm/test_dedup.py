@@ -129,3 +129,25 @@ def test_near_cases(odd_docs, no_docs):
 def test_components_of_a_path(spark):
     edges = spark.range(40).selectExpr("id as a", "id + 1 as b")
     assert {(r.node, r.component) for r in components(edges).collect()} == {(i, 0) for i in range(41)}
+
+
+def test_only_what_is_asked_for_moves(spark, monkeypatch):
+    passed, real = {}, bloom.maybe_in
+
+    def spy(rows, wanted, key, name):
+        out = real(rows, wanted, key, name)
+        passed[name] = (rows.count(), out.count())
+        return out
+
+    monkeypatch.setattr(bloom, "maybe_in", spy)
+    alone = [(i, [1000 * i + k for k in range(11)]) for i in range(3, 200)]
+    reps = spark.createDataFrame([(i, [1000 * i + k for k in range(9)] + [7, 8]) for i in (1, 2)] + alone, "id long, sig array<long>")
+    lists = neardup._lists(reps, 11, 2).collect()
+    assert sorted((r.id, r["keys"]) for r in lists) == [(1, [7]), (2, [7])]
+    assert passed["pair-bits"][0] == 199 * 11 and passed["pair-bits"][1] < 40
+
+    sets = spark.createDataFrame([(i, list(range(256)), list(range(i, i + 100))) for i in range(300)], "id long, minima array<int>, items array<long>")
+    pairs = spark.createDataFrame([(5, 4), (90, 4)], "a long, b long")
+    found = neardup._verified(pairs, sets, 80)
+    assert sorted(map(tuple, found.collect())) == [(5, 4, True), (90, 4, False)]
+    assert passed["minima-bits"][1] < 20 and passed["items-bits"][1] < 20
