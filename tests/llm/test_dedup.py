@@ -1,8 +1,9 @@
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
-from runsift.llm import bloom, exact, neardup
+from runsift.llm import bloom, exact, neardup, shared
 from runsift.llm.components import components
 
 
@@ -151,3 +152,16 @@ def test_only_what_is_asked_for_moves(spark, monkeypatch):
     found = neardup._verified(pairs, sets, 80)
     assert sorted(map(tuple, found.collect())) == [(5, 4, True), (90, 4, False)]
     assert passed["minima-bits"][1] < 20 and passed["items-bits"][1] < 20
+
+
+def test_batches_are_bounded_while_rows_are_written(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    texts = spark.range(0, 12, 1, 1).selectExpr("repeat('x', 1 << 20) AS text")
+    largest = shared.materialize(texts.mapInArrow(sizes, "size long"), "sizes").agg({"size": "max"}).first()[0]
+    assert largest <= shared.BATCH_BYTES + (2 << 20) and spark.conf.get(name) == before
