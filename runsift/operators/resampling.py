@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsift.functions.projections import is_finite
-from runsift.operators.metrics import balanced, metric_bundle, roc_auc
+from runsift.operators.metrics import balanced, bundle_of, roc_auc
 from runsift.operators.scale import global_row_number, null_safe_join
 from runsift.operators.trajectories import moves, strata
 from runsift.session import cut_lineage, scratch_path
@@ -64,13 +64,24 @@ def _drawn(groups: DataFrame, group: str, repetitions: int, seed: int) -> tuple[
     places = places.select(F.floor(place / PLACES).alias("block"), (place % PLACES).alias("at"), group)
     chunks = -(-n // DRAWN) if total else 0
 
+    def hashed(head, tails):
+        """The first 48 bits of the SHA-256 of ``head`` and each tail; the head is taken in once and its state copied."""
+        start, digests = hashlib.sha256(head).copy, []
+        for tail in tails:
+            state = start()
+            state.update(tail)
+            digests.append(state.digest())
+        return (np.frombuffer(b"".join(digests), ">u8")[::4] >> np.uint64(16)).astype(np.int64)
+
     def draw(batches):
+        held, numbers = None, []
         for batch in batches:
             for unit in batch["id"].tolist():
-                rep, chunk = divmod(unit, chunks)
-                head, first = f"{seed}:{rep}:".encode(), chunk * DRAWN
-                digests = b"".join([hashlib.sha256(b"%b%d" % (head, i)).digest() for i in range(first + 1, min(n, first + DRAWN) + 1)])
-                picks = np.sort((np.frombuffer(digests, ">u8")[::4] >> np.uint64(16)).astype(np.int64) % total)
+                chunk, rep = divmod(unit, repetitions)
+                if chunk != held:  # the units of a task share the numbers of a chunk
+                    held, first = chunk, chunk * DRAWN
+                    numbers = [b"%d" % i for i in range(first + 1, min(n, first + DRAWN) + 1)]
+                picks = np.sort(hashed(f"{seed}:{rep}:".encode(), numbers) % total)
                 block, start = np.unique(picks // PLACES, return_index=True)
                 parts = np.split((picks % PLACES).astype("<u2"), start[1:])
                 yield pd.DataFrame({"rep": np.full(len(block), rep), "block": block, "picks": [x.tobytes() for x in parts]})
@@ -112,9 +123,9 @@ def comparison(long: DataFrame, keys: Sequence[str], label: str, score: str, gro
     a finite score count for no monitor; a monitor whose draws never hold both
     classes has null bounds.
     """
-    rows = cut_lineage(long.where(is_finite(F.col(score))).select(*keys, label, score, group))
+    rows = cut_lineage(long.where(is_finite(F.col(score))).select(*keys, group, label, score))
     bounds = cluster_bootstrap(rows, keys, group, label, score, "balanced_accuracy", repetitions, seed)
-    return null_safe_join(metric_bundle(rows, keys, label, score, group), bounds, list(keys), "left")
+    return null_safe_join(bundle_of(rows, keys, label, score, group), bounds, list(keys), "left")
 
 
 def _drawn_counts(cells: DataFrame, keys: Sequence[str], drawn: DataFrame, places: DataFrame, group: str) -> DataFrame:

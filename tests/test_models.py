@@ -167,6 +167,21 @@ def test_comparison_shares_draws_and_equals_plain_bounds(spark, rows):
     assert np.allclose([got["a"]["ci_low"], got["a"]["ci_high"]], np.percentile(values, [2.5, 97.5]))
 
 
+def test_bundle_joins_group_sizes_once(spark, rows, monkeypatch):
+    """Rows with the sizes of their groups are written; the cells and the areas read them and do not join again."""
+    kept, real = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: kept.append(real(df)) or kept[-1])
+    out = M.metric_bundle(rows.withColumn("score", F.col("vec")[0]).withColumn("one", F.lit(1)), ["one"], "label", "score", "g")
+    sized = [df for df in kept if "__size" in df.columns]
+    assert len(sized) == 1 and {(r["g"], r["__size"]) for r in sized[0].collect()} == {(int(g), int((GROUP == g).sum())) for g in np.unique(GROUP)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # the areas with the sums of earlier parts, and with the cells
+    up = VEC[:, 0] >= 0
+    size = 1 / np.array([(GROUP == g).sum() for g in GROUP])
+    share = lambda y: (size * (LABEL == y) * (up == y)).sum() / (size * (LABEL == y)).sum()
+    assert np.isclose(out.first()["weighted_balanced_accuracy"], (share(0) + share(1)) / 2)
+
+
 def test_fold_vocabulary_equals_counting(spark):
     docs = [(i, i % 3, " ".join(RNG.choice(list("abcdefgh"), size=12))) for i in range(30)]
     df = spark.createDataFrame(docs, "d int, g int, t string")
