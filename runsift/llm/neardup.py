@@ -12,13 +12,14 @@
    and need no list, and the most frequent lists are skipped and only probed when
    the collisions of a candidate are counted.
 3. Inside a list not all pairs are emitted.  Each round a list proposes its
-   members against one or two of them; proposals that share ``SHARED_MINIMA``
+   members against one or two of them; proposals whose parities, a lower bound
+   of the difference of two sets, allow a link and that share ``SHARED_MINIMA``
    minima are compared on their full sets, and the links are merged into
    components.  A list whose members are all in one component needs nothing more.
    When few pairs that cross components are left, or rounds hardly lower their
    number, each of them is compared, so no link that could join two components is
-   lost; the parities of two sets, a lower bound of their difference, rule most of
-   these pairs out inside the join, before they become rows.
+   lost; parities rule most of these pairs out inside the join, before they become
+   rows.
 
 The only chance is in the signature.  Coordinates draw from the same minima, so
 their agreements are correlated and the miss rate is simulated, with the picks
@@ -199,18 +200,32 @@ def _proposals(open_lists: DataFrame, rounds: int, percent: int) -> DataFrame:
     return pairs.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
 
 
-def _crossing(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a list that crosses components and may link.
+def _few_apart(one: str, other: str, percent: int) -> Column:
+    """False only for pairs whose parities rule a link out.
 
     An item that only one of two sets has flips one parity, so sets with more
     different parities than the items they may differ in are not similar.
     """
+    apart = sum(F.bit_count(F.col(f"{one}parity")[k].bitwiseXOR(F.col(f"{other}parity")[k])) for k in range(PARITIES // 64))
+    return apart * (100 + percent) <= (F.col(f"{one}n") + F.col(f"{other}n")) * (100 - percent)
+
+
+def _without_apart(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parities do not rule out, before minima and sets are asked for.
+
+    Around a large group many texts are near it and few are linked, so most
+    proposals end here.
+    """
+    left, right = (sets.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.col("parity").alias(f"{k}_parity")) for k in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(_few_apart("a_", "b_", percent)).select("a", "b").distinct()
+
+
+def _crossing(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a list that crosses components and may link."""
     lists = materialize(open_lists.join(sets.select("id", "parity"), "id"), "parity-lists")
     other = lists.select(*[F.col(c).alias(c if c == "key" else f"o_{c}") for c in lists.columns])
-    apart = sum(F.bit_count(F.col("parity")[k].bitwiseXOR(F.col("o_parity")[k])) for k in range(PARITIES // 64))
-    near = apart * (100 + percent) <= (F.col("n") + F.col("o_n")) * (100 - percent)
     crossing = (F.col("id") > F.col("o_id")) & (F.col("comp") != F.col("o_comp"))
-    pairs = lists.join(other, "key").where(crossing & _may_link("", "o_", percent) & near)
+    pairs = lists.join(other, "key").where(crossing & _may_link("", "o_", percent) & _few_apart("", "o_", percent))
     return pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
@@ -229,7 +244,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
 
     def both_sides(rows: DataFrame, column: str) -> DataFrame:
-        asked = bloom.maybe_in(sets.select("id", column), rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", f"{column}-bits")
+        wanted = materialize(rows.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{column}-asked")  # counted and read again
+        asked = bloom.maybe_in(sets.select("id", column), wanted, "id", f"{column}-bits")
         left, right = (asked.select(F.col("id").alias(k), F.col(column).alias(f"{column}_{k}")) for k in ("a", "b"))
         return rows.join(left, "a").join(right, "b")
 
@@ -279,6 +295,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
         pairs = _crossing(open_lists, sets, percent) if last else _proposals(open_lists, rounds, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        if not last:
+            pairs = _without_apart(pairs, sets, percent)
         found = materialize(_verified(pairs, sets, percent), "compared")
         new = found.where("linked").count()
         checked = found if checked is None else checked.unionByName(found)

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -165,3 +166,26 @@ def test_batches_are_bounded_while_rows_are_written(spark):
     texts = spark.range(0, 12, 1, 1).selectExpr("repeat('x', 1 << 20) AS text")
     largest = shared.materialize(texts.mapInArrow(sizes, "size long"), "sizes").agg({"size": "max"}).first()[0]
     assert largest <= shared.BATCH_BYTES + (2 << 20) and spark.conf.get(name) == before
+
+
+def test_unlike_proposals_are_ruled_out_before_they_are_compared(spark, monkeypatch):
+    """Texts around one base, similar by 0.67 to each other: they share lists and sketches, but parities rule them out."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(80):
+        words = [f"w{k}" for k in range(200)]
+        for at in rng.choice(200, 20, replace=False):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows.append((80, rows[5][1] + " more"))
+    compared, real = [], neardup._verified
+
+    def spy(pairs, sets, percent):
+        pairs = pairs.cache()
+        compared.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(neardup, "_verified", spy)
+    out = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: 5 if i == 80 else i for i in range(81)}
+    assert 1 <= sum(compared) <= 10
