@@ -30,21 +30,29 @@ BLOCK_STATE = 1 << 25
 
 # ---- text features -----------------------------------------------------------------
 
+def words(text: Column) -> Column:
+    """Lower-cased words of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b[\w/+=-]+\b)"), 1)
+
+
+def grams(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., term): the words and word pairs of every row, as often as they come."""
+    after = F.slice(column, 2, F.greatest(F.size(column) - 1, F.lit(0)))
+    pairs = df.select(*keep, F.explode(F.arrays_zip(F.col(column).alias("a"), after.alias("b"))).alias("__p"))
+    both = F.array("__p.a", F.concat_ws(" ", "__p.a", "__p.b"))
+    return pairs.select(*keep, F.explode(F.when(F.col("__p.b").isNull(), F.array("__p.a")).otherwise(both)).alias("term"))
+
+
 def ngrams(df: DataFrame, row_id: str, group: str, text: str) -> DataFrame:
     """(row, group, term, tf) of lower-cased words and word pairs."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)(\b[\w/+=-]+\b)"), 1)
     # Texts are dealt by row, so that the counts of a row are made where its text is and terms do not move.
-    rows = df.select(row_id, group, text).repartition(row_id, group).select(row_id, group, words.alias("__w"))
-    n = F.size("__w")
-    pairs = F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
-                        lambda i: F.concat_ws(" ", F.col("__w")[i], F.col("__w")[i + 1]))
-    rows = rows.select(row_id, group, F.explode(F.concat("__w", pairs)).alias("term"))
-    return rows.groupBy(row_id, group, "term").agg(F.count("*").alias("tf"))
+    rows = df.select(row_id, group, text).repartition(row_id, group).select(row_id, group, words(F.col(text)).alias("__w"))
+    return grams(rows, "__w", [row_id, group]).groupBy(row_id, group, "term").agg(F.count("*").alias("tf"))
 
 
 def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2, max_features: int = 3000,
                     max_folds: int = 2000, docs: DataFrame | None = None) -> DataFrame:
-    """(fold, term, idf) per held-out group: totals minus the group's own counts.
+    """(fold, term, count, idf) per held-out group: totals minus the group's own counts.
 
     Kept are the max_features most frequent terms with enough documents, ties
     by term; idf is ln((1 + n) / (1 + df)) + 1 over the training documents, those with a
@@ -87,7 +95,7 @@ def fold_vocabulary(terms: DataFrame, row_id: str, group: str, min_df: int = 2,
     n = docs.withColumn("__all", docs.agg(F.sum("__n")).scalar()).select(
         F.col(group).alias("fold"), (F.col("__all") - F.col("__n")).alias("__train"))
     idf = F.log((F.lit(1.0) + F.col("__train")) / (1.0 + F.col("df"))) + 1.0
-    return kept.join(n, "fold").select("fold", "term", idf.alias("idf"))
+    return kept.join(n, "fold").select("fold", "term", "count", idf.alias("idf"))
 
 
 def held_out_tfidf(terms: DataFrame, vocabulary: DataFrame, row_id: str, group: str) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from runsift.operators import textmodel as X
 
@@ -79,3 +81,82 @@ def test_one_class_and_unfinished_fits(spark):
     few = {r.id: r.converged for r in X.text_scores(df, "id", "grp", "y", "t", passes=2).collect()}
     assert few[3] is False
     assert X.text_scores(df.where("id < 0"), "id", "grp", "y", "t").count() == 0
+
+
+def many_groups(spark, groups):
+    rng = random.Random(8)
+    rows = [(i, f"g{i % groups}", rng.randrange(2), " ".join(f"w{int(rng.paretovariate(0.7)) % 50}" for _ in range(30))) for i in range(120)]
+    return spark.createDataFrame(rows, "id int, grp string, y int, t string")
+
+
+def test_rows_are_written_once_and_not_once_a_fold(spark, monkeypatch):
+    keep, entries = X._written, []
+
+    def written(df, name):
+        out, lists = keep(df, name), [k for k, kind in df.dtypes if kind.startswith("array")]
+        if lists and name != "text-state":  # the state holds one row a fold
+            entries[-1] += out.agg(sum(F.coalesce(F.sum(F.size(k)), F.lit(0)) for k in lists)).first()[0]
+        return out
+
+    monkeypatch.setattr(X, "_written", written)
+    for groups in (3, 24):
+        entries.append(0)
+        assert X.text_scores(many_groups(spark, groups), "id", "grp", "y", "t", max_features=40, passes=2).count() == 120
+    assert 0 < entries[1] < 1.5 * entries[0]
+
+
+@pytest.mark.parametrize("hot, rounds", [(False, 1), (True, 2)])
+def test_vocabularies_from_terms_of_large_counters(spark, monkeypatch, hot, rounds):
+    """Only terms of large counters are counted, and again from a lower count where a vocabulary reaches below it."""
+    monkeypatch.setattr(X, "SLOTS", 4096)
+    rng = random.Random(9)
+    draw = lambda: " ".join(f"w{min(int(rng.paretovariate(0.6)), 4000)}" for _ in range(40))
+    rows = [(i, f"g{i % 6}", draw()) for i in range(150)]
+    if hot:  # few texts with most of the words, all of them in one group
+        rows += [(1000 + i, "g0", " ".join(f"own{(i * j) % 37}" for j in range(1500))) for i in range(3)]
+    keep, written = X._written, []
+    monkeypatch.setattr(X, "_written", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    base = spark.createDataFrame([(i, g, t.split()) for i, g, t in rows], "id int, key string, words array<string>")
+    docs = base.groupBy("key").agg(F.count("*").alias("__n"))
+    terms, vocabulary = X.frequent_terms(base, "id", 2, 25, 100, docs)
+    got = {}
+    for r in vocabulary.collect():
+        got.setdefault(r["fold"], {})[r["term"]] = r["idf"]
+    for fold in {r[1] for r in rows}:
+        want = features_of([t for _, g, t in rows if g != fold], 2, 25)
+        assert got[fold].keys() == want.keys() and all(abs(got[fold][k] - idf) < 1e-9 for k, (_, idf) in want.items())
+    assert [name for name, _ in written].count("text-terms") == rounds
+    every = {k for *_, t in rows for w in [TOKEN.findall(t)] for k in w + [" ".join(p) for p in zip(w, w[1:])]}
+    assert terms.select("term").distinct().count() < len(every) / 2
+
+
+def test_repeated_and_null_ids(spark):
+    """Texts of an id are counted together inside of a group; rows without an id have no features."""
+    rng = random.Random(10)
+    word = lambda: rng.choice(["a", "b", "c", "d", "e", "f"])
+    rows = [(i, rng.choice(["p", "q", "r"]), i % 2, " ".join(word() for _ in range(8))) for i in range(40)]
+    rows += [(1, "p", 1, "a b a"), (1, "p", 1, "f f"), (1, "q", 0, "c d"), (None, "p", 0, "e e e"), (None, "r", 1, "b")]
+    got = X.text_scores(spark.createDataFrame(rows, "id int, grp string, y int, t string"), "id", "grp", "y", "t").collect()
+    assert len(got) == len(rows)
+    counts = {}
+    for i, g, _, t in rows:
+        w = t.split()
+        counts.setdefault((i, g), Counter()).update(w + [" ".join(p) for p in zip(w, w[1:])])
+    sizes = Counter(r[1] for r in rows)
+    for held in sizes:
+        train, df = [r for r in rows if r[1] != held], Counter(k for (_, g), c in counts.items() if g != held for k in c)
+        places = {k: i for i, k in enumerate(sorted(k for k in df if df[k] >= 2))}
+
+        def vector_of(id):
+            w = [(places[k], (1 + math.log(n)) * (math.log((1 + len(train)) / (1 + df[k])) + 1))
+                 for (i, _), c in counts.items() if i == id and id is not None for k, n in c.items() if k in places]
+            out = np.zeros(len(places))
+            np.add.at(out, [p for p, _ in w], [v for _, v in w])
+            return out / (math.sqrt(sum(v * v for _, v in w)) or 1.0)
+
+        y = np.array([r[2] for r in train])
+        w = np.array([1 / sizes[r[1]] for r in train]) * np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+        beta = newton(np.array([vector_of(r[0]) for r in train]), y, w)
+        want = sorted((str(r[0]), r[2], vector_of(r[0]) @ beta[:-1] + beta[-1]) for r in rows if r[1] == held)
+        found = sorted((str(r.id), r.label, r.score) for r in got if r.grp == held)
+        assert [x[:2] for x in found] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(found, want))
